@@ -9,6 +9,7 @@ summary with one row per (key, slice), so no task ever sees a whole hot key.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
@@ -69,7 +70,8 @@ class OrderedGroups:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    splits: tuple[float, ...] | None
+    #: Cut points per leading order column: the second level refines the single-value slices of the first, and so on.
+    splits: tuple[tuple[float, ...], ...] | None
 
     def scan(self, backward: bool = False, **steps: Step) -> "OrderedGroups":
         """Add one column per step. ``backward`` runs from the last row to the first."""
@@ -84,11 +86,24 @@ class OrderedGroups:
         """Same layout over derived rows (keys, order columns and their values must be unchanged)."""
         return replace(self, df=df)
 
+    def sliced_rows(self) -> DataFrame:
+        """The rows with their slice number; slices of a key follow the order of its rows."""
+        if self.splits is None:
+            return self.df.withColumn(SLICE, F.lit(0).cast("bigint"))
+        rows, number, refine = self.df, F.lit(0).cast("bigint"), F.lit(True)
+        for level, cuts in enumerate(self.splits):
+            lead, at = f"__lead{level}", f"__at{level}"
+            rows = rows.withColumn(lead, F.coalesce(_lead_number(rows, self.order[level]), F.lit(float("-inf"))))
+            rows = Bucketizer(splits=list(cuts), inputCol=lead, outputCol=at, handleInvalid="keep").transform(rows)
+            number = number * len(cuts) + F.when(refine, F.col(at).cast("bigint")).otherwise(F.lit(0))
+            singles = [float(n) for n, (low, high) in enumerate(zip(cuts, cuts[1:])) if high == math.nextafter(low, math.inf)]
+            refine = refine & F.col(at).isin(singles)
+        made = [f"__{c}{n}" for n in range(len(self.splits)) for c in ("lead", "at")]
+        return rows.withColumn(SLICE, number).drop(*made)
+
     def _sliced(self, backward: bool, direction, steps: dict[str, Step]) -> DataFrame:
         columns = self.df.columns
-        lead = F.coalesce(_lead_number(self.df, self.order[0]), F.lit(float("-inf")))
-        rows = Bucketizer(splits=list(self.splits), inputCol="__lead", outputCol=SLICE, handleInvalid="keep") \
-            .transform(self.df.withColumn("__lead", lead)).drop("__lead")
+        rows = self.sliced_rows()
         # inputs of the steps become columns, so that carry rows can leave them null
         inputs = {f"__in_{name}": step.value for name, step in steps.items()}
         rows = rows.withColumns(inputs).withColumn(ROW, F.lit(1))
@@ -172,18 +187,38 @@ def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> Ordere
     limit = group_rows or setting(df.sparkSession, GROUP_ROWS)
     if largest_group(df, keys) <= limit:
         return OrderedGroups(df, keys, order, None)
-    lead = df.select(*keys, _lead_number(df, order[0]).alias("__lead"))
+    hot_rows = df
     if keys:
-        hot = df.groupBy(*keys).count().filter(F.col("count") > limit)
+        hot = df.groupBy(*keys).count().filter(F.col("count") > limit).drop("count")
         same = F.lit(True)
         for key in keys:
-            same = same & lead[key].eqNullSafe(hot[key])
-        lead = lead.join(hot, same, "left_semi")
+            same = same & df[key].eqNullSafe(hot[key])
+        hot_rows = df.join(hot, same, "left_semi")
+    levels: list[tuple[float, ...]] = []
+    for column in order:
+        if not _is_number(df, column):
+            break
+        cuts, heavy = _cuts(hot_rows.select(_lead_number(df, column).alias("__lead")), limit)
+        levels.append(cuts)
+        if not heavy:
+            break
+        hot_rows = hot_rows.filter(_lead_number(df, column).isin(heavy))
+    return OrderedGroups(df, keys, order, tuple(levels))
+
+
+def _is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))
+
+
+def _cuts(lead: DataFrame, limit: int) -> tuple[tuple[float, ...], list[float]]:
+    """Quantile cuts of one column; values that fill a whole slice get a slice of their own and are returned."""
     count = lead.count()
     pieces = min(MAX_SLICES, max(2, -(-2 * count // limit)))
-    cuts = lead.agg(F.percentile_approx("__lead", [i / pieces for i in range(1, pieces)], 20 * pieces)).first()[0]
-    inner = sorted({float(c) for c in cuts or [] if c is not None})
-    return OrderedGroups(df, keys, order, (float("-inf"), *inner, float("inf")))
+    at = [i / pieces for i in range(1, pieces)]
+    found = [float(c) for c in lead.agg(F.percentile_approx("__lead", at, 20 * pieces)).first()[0] or []]
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b} | ({found[0]} if len(found) == 1 else set()))
+    inner = {*found, *heavy, *(math.nextafter(v, math.inf) for v in heavy)}
+    return (float("-inf"), *sorted(inner), float("inf")), heavy
 
 
 def group_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float]) -> DataFrame:

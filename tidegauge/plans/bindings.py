@@ -28,8 +28,8 @@ BINDINGS = {
                CASE WHEN k % 13 = 0 THEN '[1]'
                     WHEN k % 9 = 0 THEN '{"quest_id": "Quest ' || CAST(k AS VARCHAR(9)) || '!", "ranged": true}'
                     ELSE '{"quest_id": "Quest ' || CAST(k AS VARCHAR(9)) || '!", "quest_name": "Name ' || CAST(k AS VARCHAR(9))
-                         || '", "guild": ' || CAST(guild_id AS VARCHAR(9)) || ', "new_rank": "'
-                         || CASE WHEN k % 5 = 0 THEN 'none' ELSE CAST(k % 7 AS VARCHAR(9)) END || '"}' END AS payload
+                         || '", "guild": ' || CAST(guild_id AS VARCHAR(9)) || ', "new_rank": '
+                         || CASE WHEN k % 5 = 0 THEN '"none"' ELSE CAST(k % 7 AS VARCHAR(9)) END || '}' END AS payload
         FROM b_events""",
     "b_boundary": """
         SELECT event_id, us, 1 AS schema_version, k % 3 AS event_version,
