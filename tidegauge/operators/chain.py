@@ -70,16 +70,26 @@ def threshold_picks(df: DataFrame, keys: list[str], order: list[str], trigger: C
     types = ", ".join(f"`{k}` {sliced.schema[k].dataType.simpleString()}" for k in keys)
     types = types + ", " if types else ""
 
-    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        steps = summarise(pdf["__trigger"].tolist(), pdf["__after"].tolist())
-        out = pd.DataFrame(steps, columns=["low", "high", "out"])
-        for position, name in enumerate(group):
-            out.insert(position, name, pdf[name].iloc[0])
-        return out
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, triggers, afters = None, [], []
+
+        def close() -> pd.DataFrame:
+            made = [(*name, *step) for step in summarise(triggers, afters)] if name is not None else []
+            return pd.DataFrame(made, columns=[*group, "low", "high", "out"])
+
+        for pdf in batches:
+            for now, trigger, after in zip(pdf[group].itertuples(index=False, name=None), pdf["__trigger"].tolist(), pdf["__after"].tolist()):
+                if now != name:
+                    if name is not None:
+                        yield close()
+                    name, triggers, afters = now, [], []
+                triggers.append(trigger)
+                afters.append(after)
+        yield close()
 
     steps = sliced.select(*group, *[c for c in order if c not in group], "__trigger", "__after") \
-        .groupBy(*group).applyInPandas(tabulate, f"{types}`{SLICE}` bigint, low bigint, high bigint, out bigint")
+        .repartition(*group).sortWithinPartitions(*group, *order) \
+        .mapInPandas(tabulate, f"{types}`{SLICE}` bigint, low bigint, high bigint, out bigint")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, here, entry, state = None, None, NEVER, NEVER
