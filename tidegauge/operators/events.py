@@ -173,9 +173,10 @@ def boundary_long(events: DataFrame) -> DataFrame:
 
     ``events`` has ``event_type, schema_version, event_version`` and ``data`` as JSON text.
     """
-    from tidegauge.functions.json import lenient_str
+    from tidegauge.functions.json import json_fields, lenient_str
 
-    s = lambda k: lenient_str(F.col("data"), k)
+    events = events.withColumn("__f", json_fields(F.col("data")))
+    s = lambda k: lenient_str(F.col("__f"), k)
     kind = F.col("event_type")
     auth, ident = kind == "authorization.decided", kind == "identity.resolved"
     request, delivery = kind == "request.completed", kind.startswith("zdo.")
@@ -203,7 +204,7 @@ def boundary_long(events: DataFrame) -> DataFrame:
 
 def boundary_totals(events: DataFrame) -> DataFrame:
     """The twelve delivery totals; queued and polled envelopes count for their own event type only."""
-    from tidegauge.functions.json import lenient_long
+    from tidegauge.functions.json import json_fields, lenient_long
 
     # Total -> (data field, event type it is limited to).
     fields = {
@@ -215,9 +216,10 @@ def boundary_totals(events: DataFrame) -> DataFrame:
         "pending_count": ("pending", None), "priority_fast_lane_applied": ("priority_fast_lane_applied", None),
     }
     def total(field: str, only: str | None) -> Column:
-        value = lenient_long(F.col("data"), field)
+        value = lenient_long(F.col("__f"), field)
         return F.sum(value if only is None else F.when(F.col("event_type") == only, value).otherwise(0))
-    return events.filter(F.col("event_type").startswith("zdo.")).agg(
+    rows = events.filter(F.col("event_type").startswith("zdo.")).withColumn("__f", json_fields(F.col("data")))
+    return rows.agg(
         *[F.coalesce(total(f, only), F.lit(0)).alias(name) for name, (f, only) in fields.items()])
 
 
@@ -234,9 +236,10 @@ def duration_summary(events: DataFrame, duration: str, by: str = "event_type") -
 
 def missing_fields(events: DataFrame, fields: list[str]) -> DataFrame:
     """How often each data field is absent, null or blank, per ``type.field``."""
-    from tidegauge.functions.json import lenient_str
+    from tidegauge.functions.json import json_fields, lenient_str
 
-    marks = F.array(*[F.when(lenient_str(F.col("data"), f).isin("<missing>", "<empty>", "<null>"), F.lit(f))
+    events = events.withColumn("__f", json_fields(F.col("data")))
+    marks = F.array(*[F.when(lenient_str(F.col("__f"), f).isin("<missing>", "<empty>", "<null>"), F.lit(f))
                       for f in fields])
     return (events.select("event_type", F.explode(F.array_compact(marks)).alias("f"))
             .groupBy(F.concat_ws(".", "event_type", "f").alias("field")).agg(F.count(F.lit(1)).alias("n")))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.operators.ordered import ordered, position
-from tidegauge.runtime import cut_lineage
+from tidegauge.runtime import BROADCAST_ROWS, cut_lineage, setting
 
 # Cell coordinates are packed three to a BIGINT; each must lie in (-HALF, HALF).
 HALF = 1 << 20
@@ -38,14 +38,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     graph = cut_lineage(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"),
                                                           F.greatest("src", "dst").alias("dst")).distinct())
     maps: list[DataFrame] = []
-    while not graph.isEmpty():
+    limit = setting(edges.sparkSession, BROADCAST_ROWS)
+    while (size := graph.count()) > 0:
+        # vertices number at most twice the edges
+        side = F.broadcast if 2 * size <= limit else lambda df: df
         both = graph.unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hop = cut_lineage(both.groupBy("src").agg(F.min(priority("dst")).alias("best"))
-                          .select(F.col("src").alias("node"),
-                                  F.least(F.col("best"), priority("src"))["v"].alias("to")))
+        hop = cut_lineage(both.groupBy("src").agg(F.min(priority("dst")).alias("best")).select(
+            F.col("src").alias("node"), F.least(F.col("best"), priority("src"))["v"].alias("to")))
         maps.append(hop)
-        left = hop.select(F.col("node").alias("src"), F.col("to").alias("a"))
-        right = hop.select(F.col("node").alias("dst"), F.col("to").alias("b"))
+        left = side(hop.select(F.col("node").alias("src"), F.col("to").alias("a")))
+        right = side(hop.select(F.col("node").alias("dst"), F.col("to").alias("b")))
         graph = cut_lineage(graph.join(left, "src").join(right, "dst").filter("a <> b")
                             .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     if not maps:
@@ -72,6 +74,7 @@ def connected_cells(cells: DataFrame) -> DataFrame:
 
     Ids run 1.. by number of cells, largest first, then by smallest cell.
     """
+    cells = cut_lineage(cells)  # read by the edges, the labels and the result
     half = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
     node = pack(F.col("cx"), F.col("cy"), F.col("cz"))
     edges = neighbour_edges(cells, node, lambda o: pack(F.col("cx") + o[0], F.col("cy") + o[1], F.col("cz") + o[2]), half)

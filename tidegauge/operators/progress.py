@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.json import payload_match
+from tidegauge.functions.json import fields_match, json_fields
 from tidegauge.operators.ordered import ordered, running_max, running_sum
 from tidegauge.runtime import literal_rows, small_side
 
@@ -27,12 +27,13 @@ DAY = 86_400_000_000
 def challenge_matches(events: DataFrame, challenges: DataFrame) -> DataFrame:
     """Events that count for a challenge: active, same type, inside its window, filter met, guild present."""
     rules = small_side(challenges.filter("active").select(
-        "challenge_id", F.col("trigger_event").alias("event_type"), "filters", "window_start", "window_end", "mode", "target",
+        "challenge_id", F.col("trigger_event").alias("event_type"), json_fields(F.col("filters")).alias("__want"), "window_start", "window_end", "mode", "target",
         "rewards"))
     inside = ((F.col("window_start").isNull() | (F.col("window_start") <= F.col("us")))
               & (F.col("window_end").isNull() | (F.col("window_end") >= F.col("us"))))
     return (events.filter(F.col("guild_id").isNotNull() & (F.col("guild_id").cast("string") != ""))
-            .join(rules, "event_type").filter(inside & payload_match(F.col("filters"), F.col("payload"))))
+            .withColumn("__have", json_fields(F.col("payload"))).join(rules, "event_type")
+            .filter(inside & fields_match(F.col("__want"), F.col("__have"))).drop("__want", "__have"))
 
 
 def challenge_progress(events: DataFrame, challenges: DataFrame, increment: Column | None = None) -> DataFrame:
@@ -95,12 +96,12 @@ def achievements(events: DataFrame, now: Column) -> DataFrame:
     for name, _, _, _, rule, kind, n in ACHIEVEMENTS:
         if rule == "nth":
             rows = ev.filter(F.col("event_type") == kind).orderBy("us", "event_id").limit(n)
-            pick = F.array_sort(F.collect_list(proof))
+            pick = F.sort_array(F.collect_list(proof))
             parts.append(_unlocked(rows, name, n, pick, F.array(F.element_at("all", 1), F.element_at("all", -1))))
         if rule == "actors":
             rows = ev.filter((F.col("event_type") == kind) & F.col("actor_id").isNotNull() & (F.col("actor_id").cast("string") != ""))
             rows = rows.groupBy("actor_id").agg(F.min(proof).alias("e")).select("e.*").orderBy("us", "event_id").limit(n)
-            parts.append(_unlocked(rows, name, n, F.array_sort(F.collect_list(proof)), F.col("all")))
+            parts.append(_unlocked(rows, name, n, F.sort_array(F.collect_list(proof)), F.col("all")))
         if rule == "age":
             first = ev.agg(F.min(proof).alias("e"))
             parts.append(first.filter(now - F.col("e.us") >= n * DAY).select(

@@ -296,7 +296,7 @@ def rolling_percentile(df: DataFrame, keys: list[str], order: list[str], value:
     else:
         rows = rows.withColumn("__block", F.lit(0).cast("bigint"))
     window = W.partitionBy(*keys, "__block").orderBy("__n").rowsBetween(-(n - 1), 0)
-    values = F.array_sort(F.collect_list(value).over(window))
+    values = F.sort_array(F.collect_list(value).over(window))
     size = F.size("__v")
     at = F.least(F.greatest(F.ceil(size * F.lit(q)), F.lit(1)), size).cast("int")
     out = rows.withColumn("__v", values)

@@ -33,14 +33,13 @@ def event_page(spark, sf):
       FROM b_boundary)
     SELECT *, CASE WHEN reason <> '<missing>' THEN reason ELSE result END AS first_of FROM f""")
 def lenient_fields(spark, sf):
-    data = F.col("data")
-    return bind(spark, sf, "b_boundary").select(
-        "event_id", J.lenient_str(data, "recipient_id").alias("recipient"), J.lenient_str(data, "reason").alias("reason"),
-        J.lenient_str(data, "pending").alias("pending"), J.lenient_str(data, "result").alias("result"),
-        J.lenient_long(data, "accepted_count").alias("accepted"), J.lenient_long(data, "pending").alias("pending_n"),
-        J.lenient_double(data, "duration_ms").alias("duration_ms"),
-        J.first_present(J.lenient_str(data, "nothing"), J.lenient_str(data, "reason"), J.lenient_str(data, "result"))
-        .alias("first_of"))
+    f = F.col("f")
+    return bind(spark, sf, "b_boundary").withColumn("f", J.json_fields(F.col("data"))).select(
+        "event_id", J.lenient_str(f, "recipient_id", F.col("data")).alias("recipient"), J.lenient_str(f, "reason").alias("reason"),
+        J.lenient_str(f, "pending").alias("pending"), J.lenient_str(f, "result").alias("result"),
+        J.lenient_long(f, "accepted_count").alias("accepted"), J.lenient_long(f, "pending").alias("pending_n"),
+        J.lenient_double(f, "duration_ms").alias("duration_ms"),
+        J.first_present(J.lenient_str(f, "nothing"), J.lenient_str(f, "reason"), J.lenient_str(f, "result")).alias("first_of"))
 
 
 @query("detail_kv", """
@@ -301,7 +300,7 @@ def unknown_types(spark, sf):
     SELECT event_type, COUNT(*) AS n, MIN(k % 50) AS min_ms, MAX(k % 50) AS max_ms, ROUND(AVG(k % 50), 6) AS mean_ms
     FROM b_boundary GROUP BY event_type""")
 def duration_summary(spark, sf):
-    ev = bind(spark, sf, "b_boundary").withColumn("ms", J.lenient_double(F.col("data"), "duration_ms").cast("bigint"))
+    ev = bind(spark, sf, "b_boundary").withColumn("ms", J.lenient_double(J.json_fields(F.col("data")), "duration_ms").cast("bigint"))
     return E.duration_summary(ev, "ms").withColumn("mean_ms", F.round("mean_ms", 6))
 
 
