@@ -14,7 +14,7 @@ def json_fields(data: Column) -> Column:
 
 
 def lenient_str(fields: Column, key: str, data: Column | None = None) -> Column:
-    """Field as text: absent, blank and null get their own sentinel, numbers stay raw, bools are lower case.
+    """Field as text: absent, blank and null get their own sentinel, bools are lower case, decimals lose trailing zeros.
 
     With the raw ``data`` given, containers name their kind; a look at the parsed document is taken only for texts that
     begin like a container.
@@ -49,7 +49,7 @@ def fields_match(want: Column, have: Column) -> Column:
     """Every wanted field is there with equal text. An unusable filter (NULL) or a payload that is no object matches."""
     equal = F.forall(F.map_entries(want), lambda e: F.map_contains_key(have, e["key"])
                      & (F.coalesce(F.element_at(have, e["key"]), F.lit("")) == F.coalesce(e["value"], F.lit(""))))
-    return F.coalesce(equal, F.lit(True))
+    return F.when(want.isNull() | have.isNull(), True).otherwise(equal)
 
 
 def payload_match(wanted: Column, payload: Column) -> Column:

@@ -236,11 +236,13 @@ def session_pairs(links: DataFrame, objects: DataFrame) -> tuple[DataFrame, Data
     ``objects`` are ``(object_id, tag)``, ``links`` are ``(object_id, target_id)``. A link whose target is gone or has
     another tag is dropped; unlinked objects of a tag are then paired two by two in id order, an odd one stays single.
     """
-    mine = objects.join(links, "object_id", "left")
     target = objects.select(F.col("object_id").alias("target_id"), F.col("tag").alias("target_tag"))
-    checked = mine.join(target, "target_id", "left").withColumn(
-        "broken", F.col("target_id").isNotNull() & ~F.coalesce(F.col("target_tag") == F.col("tag"), F.lit(False)))
-    free = checked.filter(F.col("target_id").isNull() | F.col("broken")).select("tag", "object_id")
+    stored = links.filter(F.col("target_id").isNotNull())
+    # unlinked objects never enter the target join, so they cannot pile up on its NULL key
+    checked = objects.join(stored, "object_id").join(target, "target_id", "left").withColumn(
+        "broken", ~F.coalesce(F.col("target_tag") == F.col("tag"), F.lit(False)))
+    free = objects.join(stored, "object_id", "left_anti").select("tag", "object_id").unionByName(
+        checked.filter("broken").select("tag", "object_id"))
     numbered = ordered(free, ["tag"], ["object_id"]).scan(n=position()).df
     pairs = (numbered.groupBy("tag", F.expr("(n - 1) div 2").alias("pair"))
              .agg(F.min("object_id").alias("first_id"), F.max("object_id").alias("second_id"), F.count(F.lit(1)).alias("size"))

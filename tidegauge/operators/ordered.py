@@ -221,35 +221,38 @@ def _cuts(lead: DataFrame, limit: int) -> tuple[tuple[float, ...], list[float]]:
     return (float("-inf"), *sorted(inner), float("inf")), heavy
 
 
+def _ranked_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per key with their count, the rank they reach and the size of the group.
+
+    Both sums come from ordered passes over the counted values, so no join is needed and a NULL key is a group like any
+    other.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    g = ordered(counts, keys, [value]).scan(__upto=running_sum(F.col("__n")))
+    g = g.scan(backward=True, __down=running_sum(F.col("__n")))
+    return g.df.withColumn("__total", F.col("__upto") + F.col("__down") - F.col("__n"))
+
+
+def _at_rank(value: str, rank: Column) -> Column:
+    inside = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
+    return F.max(F.when(inside, F.col(value)))
+
+
 def group_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Nearest-rank quantiles per key: the sorted value at position ceil(q*n), clamped to 1..n.
 
     Equal values are counted before the shuffle, then ranked by cumulative count.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ordered(counts, keys, [value]).scan(__upto=running_sum(F.col("__n"))).df
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    if keys:
-        ranked = ranked.join(totals, keys)
-    else:
-        ranked = ranked.withColumn("__total", totals.scalar())
-    def at(q: float) -> Column:
-        rank = F.least(F.greatest(F.ceil(F.lit(q) * F.col("__total")), F.lit(1)), F.col("__total"))
-        inside = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
-        return F.max(F.when(inside, F.col(value)))
-    return ranked.groupBy(*keys).agg(*[at(q).alias(name) for name, q in quantiles.items()])
+    def rank(q: float) -> Column:
+        return F.least(F.greatest(F.ceil(F.lit(q) * F.col("__total")), F.lit(1)), F.col("__total"))
+    return _ranked_counts(df, keys, value).groupBy(*keys).agg(
+        *[_at_rank(value, rank(q)).alias(name) for name, q in quantiles.items()])
 
 
 def group_median(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     """Exact median per key (mean of the two middle values for even counts), ranked like ``group_quantiles``."""
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ordered(counts, keys, [value]).scan(__upto=running_sum(F.col("__n"))).df
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("__total", totals.scalar())
-    low = F.expr("(__total + 1) div 2")
-    high = F.expr("(__total + 2) div 2")
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank), F.col(value)))
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    low, high = F.expr("(__total + 1) div 2"), F.expr("(__total + 2) div 2")
+    return _ranked_counts(df, keys, value).groupBy(*keys).agg(
+        ((_at_rank(value, low) + _at_rank(value, high)) / 2).alias(name))

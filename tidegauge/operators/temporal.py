@@ -67,8 +67,12 @@ def role_summary(samples: DataFrame, run: str, order: list[str], role: str, coun
 
 def since_last_marker(rows: DataFrame, keys: list[str], line: str, marker: Column) -> DataFrame:
     """Rows at or after the last marker row of each key; all rows of a key without one."""
-    last = rows.groupBy(*keys).agg(F.max(F.when(marker, F.col(line))).alias("__last"))
-    return rows.join(last, keys).filter(F.col("__last").isNull() | (F.col(line) >= F.col("__last"))).drop("__last")
+    last = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.when(marker, F.col(line))).alias("__last"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    kept = rows.join(last, same).filter(F.col("__last").isNull() | (F.col(line) >= F.col("__last")))
+    return kept.drop("__last", *[f"__{k}" for k in keys])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

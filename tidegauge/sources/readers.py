@@ -77,6 +77,7 @@ def judge_lines(lines: DataFrame, required: list[str] | None = None) -> DataFram
                   (~json_kind(F.col("value")).startswith("OBJECT"), "malformed"), (F.size("absent") > 0, "malformed"),
                   (~shaped, "malformed"), default="good")
     error = ladder((F.trim("value") == "", None), (bad, F.concat(at, F.lit(": malformed JSON"))),
+                   (~json_kind(F.col("value")).startswith("OBJECT"), None),
                    (F.size("absent") > 0, F.concat(at, F.lit(": missing "), F.array_join("absent", ","))))
     return judged.withColumns({"fate": fate, "error": error}).drop("absent")
 
