@@ -30,6 +30,12 @@ def test_witness(spark, tmp_path):
     assert rows(drained(df, tmp_path, "at", lambda s: S.witness_stream(s, 9)), "report_id", "action") == rows(I.witness_merge(df, 9), "report_id", "action")
 
 
+def test_first_hit(spark, tmp_path):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.randrange(4), rng.randrange(2000), i, rng.choice(["hit", "hit", "hit", "death"])) for i in range(300)], "target_id bigint, at bigint, hit_id bigint, kind string")
+    assert rows(drained(df, tmp_path, "at", lambda s: S.first_hit_stream(s, 30)), "hit_id", "emitted") == rows(I.first_hit(df, 30), "hit_id", "emitted")
+
+
 def test_hysteresis(spark, tmp_path):
     rng = random.Random(3)
     data = {(rng.randrange(3), rng.randrange(4), rng.randrange(60)) for _ in range(300)}

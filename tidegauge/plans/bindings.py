@@ -8,12 +8,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from tidegauge.operators.ordered import ordered, position
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+              "l_linestatus", "l_shipdate"]
+
 BINDINGS = {
+    "b_event_rows": """
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events""",
+    "b_line_rows": f"""
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(LINE_ORDER)}) AS n FROM lineitem""",
     "b_events": """
         SELECT event_id, ts AS occurred_at, MICROS(ts) AS us, event_type, user_id AS actor_id,
                'region-' || CAST(user_id % 5 AS VARCHAR(9)) AS region_id,
@@ -61,8 +70,7 @@ BINDINGS = {
                ((n - 1) % 50 + 1) * 3 AS received,
                (n - 1) % 50 + 1 AS applied,
                CASE WHEN n % 11 = 0 THEN NULL ELSE CAST(FLOOR((n - 1) / 20.0) AS BIGINT) % 2 = 1 END AS is_apply
-        FROM (SELECT user_id, MICROS(ts) AS us,
-                     ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) t""",
+        FROM (SELECT user_id, MICROS(ts) AS us, n FROM b_event_rows) t""",
     "b_ticks": """
         SELECT user_id % 10 AS stream, event_id AS tick, MICROS(ts) AS us,
                CAST(ROUND(value) AS BIGINT) % 100 AS total_ms,
@@ -76,16 +84,13 @@ BINDINGS = {
         SELECT window_id, recipient_id, n + CAST(FLOOR((n - 1) / 12.0) AS BIGINT)
                  - CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS seq,
                prefab, source, distance, priority_rank, acked, empty_body, us, line
-        FROM (SELECT l_suppkey % 10 AS window_id, l_suppkey AS recipient_id,
-                     ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey,
-                       l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n,
-                     l_returnflag || l_linestatus AS prefab,
+        FROM (SELECT l_suppkey % 10 AS window_id, l_suppkey AS recipient_id, n, l_returnflag || l_linestatus AS prefab,
                      CASE WHEN l_linenumber <= 3 THEN 'near' ELSE 'far' END AS source,
                      l_partkey % 300 AS distance,
                      CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS priority_rank,
                      l_returnflag = 'R' AS acked, l_discount = 0 AS empty_body, MICROS(l_shipdate) AS us,
                      l_orderkey AS line
-              FROM lineitem) t""",
+              FROM b_line_rows) t""",
     "b_journal": """
         SELECT CASE WHEN l_partkey % 50 = 0 THEN 'old' ELSE 'now' END AS world_epoch,
                l_partkey AS object_id, l_orderkey AS object_revision,
@@ -113,9 +118,8 @@ BINDINGS = {
     "b_motion": """
         SELECT user_id AS entity, n AS sequence, us / 1000000 AS produced_s, us / 1000000 + k AS arrived_s,
                CAST(ROUND(value) AS BIGINT) AS x, k AS y
-        FROM (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
-                     CAST(FLOOR(MICROS(ts) / 1000000.0) AS BIGINT) * 1000000 AS us,
-                     CAST(JSON(props, 'k') AS BIGINT) AS k, value FROM events) t""",
+        FROM (SELECT user_id, n, CAST(FLOOR(MICROS(ts) / 1000000.0) AS BIGINT) * 1000000 AS us,
+                     CAST(JSON(props, 'k') AS BIGINT) AS k, value FROM b_event_rows) t""",
     "b_positions": """
         SELECT l_linenumber AS sample, l_suppkey AS entity, 'r' || CAST(l_suppkey % 5 AS VARCHAR(9)) AS region,
                CAST(SUM(l_partkey) % 300 AS DOUBLE) AS x, CAST(SUM(l_orderkey) % 300 AS DOUBLE) AS z
@@ -123,6 +127,10 @@ BINDINGS = {
 }
 
 
+#: Row numbers per key come from an ordered pass on Spark, so that one hot key does not end up in one task.
+NUMBERED = {"b_event_rows": ("events", "user_id", ["ts", "event_id"]), "b_line_rows": ("lineitem", "l_suppkey", LINE_ORDER)}
+
+
 def _dialect(text: str, engine: str) -> str:
     if engine == "spark":
         text = re.sub(r"JSON\((\w+), '(\w+)'\)", r"GET_JSON_OBJECT(\1, '$.\2')", text)
@@ -140,6 +148,9 @@ def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table or one of the bindings over it."""
     if name in TABLES:
         return table(spark, folder, name)
+    if name in NUMBERED:
+        source, key, order = NUMBERED[name]
+        return ordered(table(spark, folder, source), [key], order).scan(n=position()).df
     text = _dialect(BINDINGS[name], "spark")
     text = re.sub(r"us / 1000000\b", "us div 1000000", text)
     text = text.replace("{", "{{").replace("}", "}}")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators.events import PUBLIC_TYPES
 from tidegauge.plans.bindings import bind, table
-from tidegauge.plans.interest import HOUR, spaced_sql
+from tidegauge.plans.interest import HITS, HOUR, spaced_sql
 from tidegauge.plans.registry import query
 from tidegauge.sources.sinks import scratch
 from tidegauge.streaming import streams as S
@@ -39,6 +38,16 @@ def cooldown_stream(spark, sf):
     return _drain(spark, out, "cooldown-out").select("event_id", "picked")
 
 
+@query("first_hit_stream", f"""
+    WITH RECURSIVE {spaced_sql(f"SELECT *, CASE WHEN death THEN -1 ELSE deaths END AS part FROM ({HITS}) h", "target_id, part", 6 * HOUR)}
+    SELECT s.event_id AS hit_id, CASE WHEN p.us IS NULL THEN 'none' WHEN death THEN 'killing_blow' ELSE 'first_hit' END AS emitted
+    FROM src s LEFT JOIN p ON p.target_id = s.target_id AND p.part = s.part AND p.us = s.us""")
+def first_hit_stream(spark, sf):
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "death").otherwise("hit")
+    hits = bind(spark, sf, "b_events").select(F.col("k").alias("target_id"), F.col("us").alias("at"), F.col("event_id").alias("hit_id"), kind.alias("kind"))
+    return _drain(spark, S.first_hit_stream(_stream(spark, hits, "hits", "at"), 6 * HOUR), "hits-out").select("hit_id", "emitted")
+
+
 JOURNAL = """WITH t AS (SELECT *, MAX(object_revision) OVER (PARTITION BY object_id ORDER BY ship_us, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b_journal WHERE world_epoch = 'now' AND NOT delivery_only)"""
 

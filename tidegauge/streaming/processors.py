@@ -45,6 +45,33 @@ class SpacedPicks(StatefulProcessor):
         yield pdf[self.columns].assign(picked=picked)
 
 
+class FirstHit(StatefulProcessor):
+    """First hit per target and window since the last emitted one; a death clears it and is itself spaced."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "hit bigint, death bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, ["at", "hit_id"])
+        if not len(pdf):
+            return
+        hit, death = self.state.get() if self.state.exists() else (None, None)
+        emitted = []
+        for at, kind in zip(pdf["at"].tolist(), pdf["kind"].tolist()):
+            last = death if kind == "death" else hit
+            fresh = last is None or at - last >= self.window
+            if kind == "death":
+                hit, death = None, at if fresh else death
+            elif fresh:
+                hit = at
+            emitted.append(("killing_blow" if kind == "death" else "first_hit") if fresh else "none")
+        self.state.update((hit, death))
+        yield pdf[["target_id", "at", "hit_id", "kind"]].assign(emitted=emitted)
+
+
 class JournalState(StatefulProcessor):
     """Applies a journal row only when its revision is above the current one; emits every row with its verdict."""
 

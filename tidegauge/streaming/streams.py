@@ -1,4 +1,8 @@
-"""Streaming forms of the keyed operators: DataFrame in, DataFrame out, same rows as the batch forms."""
+"""Streaming forms of the keyed operators: DataFrame in, DataFrame out, same rows as the batch forms.
+
+Rows of one key within a micro-batch are sorted in memory, so the size of a micro-batch is the bound on a hot key: set
+``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` (or the like) on the source. State per key is a few numbers.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +47,11 @@ def spaced_stream(sdf: DataFrame, keys: list[str], at: str, tie: list[str], gap:
     return _stateful(sdf, keys, P.SpacedPicks(gap, [at, *tie], columns, reset), _types(sdf, columns) + ", picked boolean")
 
 
+def first_hit_stream(sdf: DataFrame, window: int) -> DataFrame:
+    """First hits and killing blows on a stream; see ``first_hit``."""
+    return _stateful(sdf, ["target_id"], P.FirstHit(window), _types(sdf, ["target_id", "at", "hit_id", "kind"]) + ", emitted string")
+
+
 def journal_stream(sdf: DataFrame, keys: list[str], order: list[str], revision: str, active_epoch: str) -> DataFrame:
     """Verdicts of journal rows of the active epoch; delivery-only rows never change state."""
     rows = sdf.filter((F.col("world_epoch") == active_epoch) & ~F.col("delivery_only"))
