@@ -50,7 +50,16 @@ def first_hit(spark, sf):
     return I.first_hit(hits, 6 * HOUR).select("hit_id", "emitted")
 
 
-@query("witness_merge")
+# Witness merging in the checking engine: one step per report, the witnesses of the open action carried as a list.
+WITNESS = """
+    WITH RECURSIVE o AS (SELECT guild_id AS basis, actor_id AS witness, us, event_id, ROW_NUMBER() OVER (PARTITION BY guild_id ORDER BY us, event_id) AS n FROM b_events),
+    s AS (SELECT basis, n, us, event_id, CAST(1 AS BIGINT) AS action, [witness] AS seen FROM o WHERE n = 1
+      UNION ALL SELECT basis, n, us, event_id, CASE WHEN fresh THEN action + 1 ELSE action END, CASE WHEN fresh THEN [witness] ELSE list_append(seen, witness) END
+      FROM (SELECT o.*, s.action, s.seen, o.us - s.us > 3600000000 OR list_contains(s.seen, o.witness) AS fresh FROM s JOIN o ON o.basis = s.basis AND o.n = s.n + 1) x)
+    SELECT event_id AS report_id, action FROM s"""
+
+
+@query("witness_merge", WITNESS)
 def witness_merge(spark, sf):
     reports = bind(spark, sf, "b_events").select(F.col("guild_id").alias("basis"), F.col("actor_id").alias("witness"), F.col("us").alias("at"), F.col("event_id").alias("report_id"))
     return I.witness_merge(reports, HOUR).select("report_id", "action")
@@ -71,14 +80,17 @@ def band_decision(spark, sf):
     return I.band_decision(obs, 5.0, 60.0, 24 * HOUR).select("obs_id", "action")
 
 
-@query("hysteresis", """
+HYSTERESIS = """
     WITH o AS (SELECT guild_id AS object_id, actor_id AS peer_id, us // 21600000000 AS tick, MIN(value) AS d FROM b_events GROUP BY 1, 2, 3),
     t AS (SELECT o.*, n FROM o JOIN (SELECT object_id, tick, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY tick) AS n FROM (SELECT DISTINCT object_id, tick FROM o) x) y USING (object_id, tick)),
     g AS (SELECT *, COALESCE(n - LAG(n) OVER (PARTITION BY object_id, peer_id ORDER BY tick) > 1, TRUE) AS gap FROM t),
     r AS (SELECT *, CAST(SUM(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY object_id, peer_id ORDER BY tick) AS BIGINT) AS run, CASE WHEN d <= 60 THEN TRUE WHEN d > 90 THEN FALSE END AS dec FROM g),
     w AS (SELECT *, COALESCE(LAST_VALUE(dec IGNORE NULLS) OVER (PARTITION BY object_id, peer_id, run ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS within FROM r),
     h AS (SELECT *, COALESCE(LAG(within) OVER (PARTITION BY object_id, peer_id, run ORDER BY tick), FALSE) AS had FROM w)
-    SELECT object_id, peer_id, tick, CASE WHEN within AND had THEN 'retained' WHEN within THEN 'entered' WHEN had THEN 'left' ELSE 'outside' END AS transition, within FROM h""")
+    SELECT object_id, peer_id, tick, CASE WHEN within AND had THEN 'retained' WHEN within THEN 'entered' WHEN had THEN 'left' ELSE 'outside' END AS transition, within FROM h"""
+
+
+@query("hysteresis", HYSTERESIS)
 def hysteresis(spark, sf):
     obs = bind(spark, sf, "b_events").groupBy(F.col("guild_id").alias("object_id"), F.col("actor_id").alias("peer_id"), F.expr("us div 21600000000").alias("tick")).agg(F.min("value").alias("distance"))
     return I.hysteresis(obs, 60.0, 30.0).drop("distance")

@@ -168,7 +168,7 @@ def _interest_inputs(spark, sf):
     return accepted, interests, acks
 
 
-@query("interest_deliveries", """
+INTEREST = """
     WITH l AS (SELECT *, ship_us + l_linenumber AS tm, MAX(CASE WHEN world_epoch = 'now' AND NOT delivery_only THEN object_revision END) OVER (PARTITION BY object_id
         ORDER BY ship_us + l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b_journal),
     m AS (SELECT object_id, object_revision AS revision, tombstone, object_id % 12 AS zx, object_id // 12 % 12 AS zy, tm FROM l WHERE world_epoch = 'now' AND NOT delivery_only AND (top IS NULL OR object_revision > top)),
@@ -180,20 +180,34 @@ def _interest_inputs(spark, sf):
     c AS (SELECT recipient, object_id, revision, tombstone, tm, 'delta' AS what, 1 AS phase, FALSE AS refresh FROM m JOIN i ON ABS(zx - ix) <= 1 AND ABS(zy - iy) <= 1 AND tm > since AND (until IS NULL OR tm <= until)
       UNION ALL SELECT recipient, object_id, revision, tombstone, since, 'snapshot', 0, refresh FROM life JOIN i ON replays AND ABS(zx - ix) <= 1 AND ABS(zy - iy) <= 1 AND tm <= since AND (gone IS NULL OR gone > since)
       UNION ALL SELECT s_suppkey, object_id, revision, NULL, tm + 40 * 86400000000 + 7, 'ack', 2, FALSE FROM m JOIN supplier ON revision % 50 = s_suppkey % 50),
-    d AS (SELECT *, LAG(what) OVER (PARTITION BY recipient, object_id, revision ORDER BY tm, phase) AS b FROM c),
+    d AS (SELECT *, LAG(what) OVER (PARTITION BY recipient, object_id, revision ORDER BY tm, phase) AS b FROM c)"""
+
+
+@query("interest_deliveries", INTEREST + """,
     k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY recipient ORDER BY tm, phase, object_id, revision) AS seq FROM d WHERE what = 'delta' OR (what = 'snapshot' AND (refresh OR b IS NULL OR b = 'ack')))
     SELECT recipient, seq, object_id, revision, CASE WHEN tombstone THEN 'tombstone' ELSE what END AS kind, tm AS "at" FROM k""")
 def interest_deliveries(spark, sf):
     return L.interest_deliveries(*_interest_inputs(spark, sf))[0]
 
 
-@query("interest_acks")
+@query("interest_acks", INTEREST + " SELECT recipient, COALESCE(b IN ('delta', 'snapshot'), FALSE) AS known, COUNT(*) AS n FROM d WHERE what = 'ack' GROUP BY 1, 2")
 def interest_acks(spark, sf):
     return L.interest_deliveries(*_interest_inputs(spark, sf))[1].groupBy("recipient", "known").agg(F.count(F.lit(1)).alias("n"))
 
 
-LEASE_OPS = """(SELECT event_id AS op_id, k % 20 AS object_id, us AS at, CASE event_type WHEN 'click' THEN 'issue' WHEN 'view' THEN 'validate' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'reclaim' ELSE 'validate' END AS op,
-      'run' AS run_id, CAST(actor_id % 3 AS VARCHAR(9)) AS holder, CAST(ROW_NUMBER() OVER (PARTITION BY k % 20 ORDER BY us, event_id) / 5 AS BIGINT) AS epoch, 3 * 3600000000 AS duration FROM b_events)"""
+# Leases in the checking engine: one step per operation, the state carried along.
+LEASES = """
+    WITH RECURSIVE o AS (SELECT event_id AS op_id, k % 20 AS object_id, us, CASE event_type WHEN 'click' THEN 'issue' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'reclaim' ELSE 'validate' END AS op,
+        CAST(actor_id % 3 AS VARCHAR) AS holder, n, CAST(ROUND(n / 5.0) AS BIGINT) AS claim FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY k % 20 ORDER BY us, event_id) AS n FROM b_events) e),
+    s AS (SELECT object_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS epoch, CAST('' AS VARCHAR) AS holder, CAST(0 AS BIGINT) AS expires, CAST('' AS VARCHAR) AS state, CAST(-1 AS BIGINT) AS op_id, CAST(0 AS BIGINT) AS us,
+        CAST('' AS VARCHAR) AS op, CAST('' AS VARCHAR) AS reason FROM o WHERE n = 1
+      UNION ALL SELECT object_id, n, CASE WHEN op = 'issue' THEN epoch + 1 ELSE epoch END, CASE WHEN op = 'issue' THEN claimant ELSE holder END, CASE WHEN op = 'issue' THEN us + 10800000000 ELSE expires END,
+        CASE reason WHEN 'issued' THEN 'active' WHEN 'reclaimed' THEN 'reclaimed' WHEN 'lease_expired' THEN 'expired' WHEN 'accepted' THEN CASE WHEN op = 'complete' THEN 'completed' ELSE state END ELSE state END,
+        op_id, us, op, reason FROM (SELECT o.object_id, o.n, s.epoch, s.holder, s.expires, s.state, o.op_id, o.us, o.op, o.holder AS claimant,
+          CASE WHEN o.op = 'issue' THEN 'issued' WHEN s.epoch = 0 THEN 'lease_missing' WHEN o.op = 'reclaim' THEN CASE WHEN s.holder = o.holder AND s.state = 'active' THEN 'reclaimed' ELSE 'not_reclaimed' END
+            WHEN s.holder <> o.holder THEN 'holder_mismatch' WHEN s.epoch <> o.claim THEN 'epoch_mismatch' WHEN s.state <> 'active' THEN 'lease_' || s.state WHEN o.us >= s.expires THEN 'lease_expired' ELSE 'accepted' END AS reason
+          FROM s JOIN o ON o.object_id = s.object_id AND o.n = s.n + 1) x)
+    SELECT object_id, op_id, us AS "at", op, epoch AS lease_epoch, reason FROM s WHERE n > 0"""
 
 
 def _lease_ops(spark, sf):
@@ -206,7 +220,7 @@ def _lease_ops(spark, sf):
                            F.lit(3 * 3_600_000_000).alias("duration"))
 
 
-@query("lease_state")
+@query("lease_state", LEASES)
 def lease_state(spark, sf):
     return L.lease_state(_lease_ops(spark, sf))
 

@@ -363,11 +363,18 @@ def early_completions(spark, sf):
     return G.early_completions(nodes, nodes.filter("node > 1").select("node", F.expr("node div 2").alias("depends_on")))
 
 
-@query("spread_pick")
+@query("spread_pick", """
+    WITH RECURSIVE c AS (SELECT CAST(FLOOR(x / 16) AS BIGINT) AS cx, CAST(FLOOR(z / 16) AS BIGINT) AS cz, COUNT(*) AS pieces, MIN(l_suppkey) AS owner FROM b_points GROUP BY 1, 2),
+    o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY pieces DESC, cx, cz) AS n FROM c),
+    s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS cells, CAST([] AS BIGINT[]) AS owners, CAST(NULL AS BIGINT) AS picked
+      UNION ALL SELECT n, CASE WHEN ok THEN list_append(cells, cx * 100000 + cz) ELSE cells END, CASE WHEN ok THEN list_append(owners, owner) ELSE owners END, CASE WHEN ok THEN n END
+      FROM (SELECT o.*, s.cells, s.owners, LEN(s.cells) < 12 AND NOT list_contains(s.owners, o.owner) AND NOT list_has_any(s.cells, [(o.cx + -1) * 100000 + o.cz + -1, (o.cx + -1) * 100000 + o.cz + 0, (o.cx + -1) * 100000 + o.cz + 1, (o.cx + 0) * 100000 + o.cz + -1, (o.cx + 0) * 100000 + o.cz + 0, (o.cx + 0) * 100000 + o.cz + 1, (o.cx + 1) * 100000 + o.cz + -1, (o.cx + 1) * 100000 + o.cz + 0, (o.cx + 1) * 100000 + o.cz + 1]) AS ok
+        FROM s JOIN o ON o.n = s.n + 1) x)
+    SELECT cx, cz, pieces, owner, ROW_NUMBER() OVER (ORDER BY o.n) AS pick FROM s JOIN o ON o.n = s.picked""")
 def spread_pick(spark, sf):
     cells = bind(spark, sf, "b_points").groupBy(S.cell_of(F.col("x"), CELL).alias("cx"), S.cell_of(F.col("z"), CELL).alias("cz")).agg(
-        F.count(F.lit(1)).alias("pieces"), F.mode("l_suppkey", True).alias("owner"))
-    return G.spread_pick(cells, 12)
+        F.count(F.lit(1)).alias("pieces"), F.min("l_suppkey").alias("owner"))
+    return G.spread_pick(cells, 12).withColumn("pick", F.col("pick").cast("bigint"))
 
 
 @query("camera_fanout", f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.plans.bindings import bind, table
-from tidegauge.plans.interest import HITS, HOUR, spaced_sql
+from tidegauge.plans.interest import HITS, HOUR, HYSTERESIS, WITNESS, spaced_sql
+from tidegauge.plans.ledgers import LEASES, _lease_ops
 from tidegauge.plans.registry import query
 from tidegauge.sources.sinks import scratch
 from tidegauge.streaming import streams as S
@@ -74,13 +75,13 @@ def receipt_ledger(spark, sf):
     return _drain(spark, out, "receipts-out").select("window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "pending", "min_seq", "max_seq", "missing", "shed")
 
 
-@query("witness_stream")
+@query("witness_stream", WITNESS)
 def witness_stream(spark, sf):
     reports = bind(spark, sf, "b_events").select(F.col("guild_id").alias("basis"), F.col("actor_id").alias("witness"), F.col("us").alias("at"), F.col("event_id").alias("report_id"))
     return _drain(spark, S.witness_stream(_stream(spark, reports, "witness", "at"), HOUR), "witness-out").select("report_id", "action")
 
 
-@query("hysteresis_stream")
+@query("hysteresis_stream", HYSTERESIS.replace("AS transition, within FROM h", "AS transition FROM h"))
 def hysteresis_stream(spark, sf):
     from tidegauge.operators.ordered import ordered, position
 
@@ -90,10 +91,8 @@ def hysteresis_stream(spark, sf):
     return _drain(spark, out, "hysteresis-out")
 
 
-@query("lease_stream")
+@query("lease_stream", LEASES)
 def lease_stream(spark, sf):
-    from tidegauge.plans.ledgers import _lease_ops
-
     return _drain(spark, S.lease_stream(_stream(spark, _lease_ops(spark, sf), "lease", "at")), "lease-out")
 
 
