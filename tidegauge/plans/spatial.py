@@ -48,7 +48,7 @@ def _clusters(spark, sf):
 def cluster_report(spark, sf, min_pieces: int = 400):
     """Object table to ranked cluster report: grid, components, statistics, attribution, landmarks, score."""
     points = bind(spark, sf, "b_points")
-    cells = _clusters(spark, sf)
+    cells = cut_lineage(_clusters(spark, sf))  # read by five joins below
     pieces = S.cell_join(points.filter(F.col("category") == "BUILDING"), cells.drop("pieces"), CELL, Y_CELL)
     stats = S.cluster_stats(pieces, min_pieces)
     landmarks = S.category_pivot(S.footprint_join(points.filter(F.col("category").isin("PORTAL", "BED")), cells, CELL),

@@ -35,8 +35,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast hint, given only after the row count was found within the limit."""
     limit = limit or setting(df.sparkSession, BROADCAST_ROWS)
-    fits = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if fits else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
