@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -17,6 +18,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+#: ``STRICT=1`` compares doubles bit by bit and tells 3 from 3.0.
+STRICT = bool(os.environ.get("STRICT"))
+
+
 def session(cores: int = 8):
     from pyspark.sql import SparkSession
 
@@ -43,7 +48,7 @@ def _plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return round(value, 6) + 0.0
+        return (value if STRICT else round(value, 6)) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(_plain(v) for v in value)
     return value
@@ -65,11 +70,10 @@ def compare(spark, con, name, fn, sql, folder):
     want = canonical([d[0] for d in con.description], con.fetchall())
     if got[0] != want[0]:
         return False, f"columns {got[0]} != {want[0]}", took
-    if got[1] != want[1]:
+    if got[1] != want[1] or (STRICT and list(map(repr, got[1])) != list(map(repr, want[1]))):
         mine, theirs = set(map(repr, got[1])), set(map(repr, want[1]))
         return False, (f"rows {len(got[1])} vs {len(want[1])}\n   cols {got[0]}\n   spark only "
                        f"{sorted(mine - theirs)[:3]}\n   oracle only {sorted(theirs - mine)[:3]}"), took
-    types = {n: t for n, t in df.dtypes}
     return True, f"{len(got[1])} rows", took
 
 

@@ -224,10 +224,12 @@ def tick_windows(ticks: DataFrame, stream: str, order: list[str], phases: list[s
     Per phase p50, p99 (nearest rank) and max; overruns of the budget; sums of the given counters; degraded ticks.
     """
     numbered = ordered(ticks, [stream], order).scan(__n=position()).df
+    def at(phase: str, q: float) -> Column:
+        return percentile_nr(phase, q).cast(ticks.schema[phase].dataType)
     grouped = numbered.groupBy(stream, F.floor((F.col("__n") - 1) / n).alias("window"))
     return grouped.agg(
         F.count(F.lit(1)).alias("samples"), F.max(order[0]).alias("end_at"),
-        *[c for p in phases for c in (percentile_nr(p, 0.5).alias(f"{p}_p50"), percentile_nr(p, 0.99).alias(f"{p}_p99"),
+        *[c for p in phases for c in (at(p, 0.5).alias(f"{p}_p50"), at(p, 0.99).alias(f"{p}_p99"),
                                       F.max(p).alias(f"{p}_max"))],
         F.count_if(F.col(total) > budget).alias("overruns"), F.count_if("degraded").alias("degraded_ticks"),
         *[F.sum(s).alias(s) for s in sums]).filter(F.col("samples") == n)

@@ -134,7 +134,8 @@ NUMBERED = {"b_event_rows": ("events", "user_id", ["ts", "event_id"]), "b_line_r
 def _dialect(text: str, engine: str) -> str:
     if engine == "spark":
         text = re.sub(r"JSON\((\w+), '(\w+)'\)", r"GET_JSON_OBJECT(\1, '$.\2')", text)
-        return re.sub(r"MICROS\((\w+)\)", r"UNIX_MICROS(CAST(\1 AS TIMESTAMP))", text)
+        # the tables hold times without a zone: measured from the epoch they do not depend on the session's zone
+        return re.sub(r"MICROS\((\w+)\)", r"TIMESTAMPDIFF(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", text)
     text = re.sub(r"JSON\((\w+), '(\w+)'\)", r"json_extract_string(\1, '$.\2')", text)
     text = re.sub(r"us / 1000000\b", "us // 1000000", text)
     return re.sub(r"MICROS\((\w+)\)", r"epoch_us(\1)", text)
