@@ -6,11 +6,10 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tidegauge.operators import interest as I
-from tidegauge.operators.chain import NEVER, spaced_picks, summarise, walk
+from tidegauge.operators.chain import spaced_picks, summarise, walk
 
 
 @settings(max_examples=300, deadline=None)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tidegauge.sources import readers as R, sinks as S

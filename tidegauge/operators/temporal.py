@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidegauge.operators.ordered import latest, ordered, position, previous, running_max, running_min, running_sum
+from tidegauge.operators.ordered import ordered, position, previous, running_max, running_min, running_sum
 
 SECOND = 1_000_000
 

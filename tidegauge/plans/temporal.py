@@ -202,10 +202,6 @@ def name_dedupe(spark, sf):
     return T.name_dedupe(names, "name", "pieces", "p_partkey").select("p_partkey", "name")
 
 
-NEAREST = """(SELECT {value} FROM (SELECT {value}, ROW_NUMBER() OVER (ORDER BY {value}) AS r, COUNT(*) OVER () AS c FROM {source}) q
-      WHERE r = GREATEST(CAST(CEIL({q} * c) AS BIGINT), 1))"""
-
-
 @query("percentile_nr", """
     WITH o AS (SELECT l_returnflag, l_quantity, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
     SELECT l_returnflag, MAX(CASE WHEN r = CEIL(0.5 * n) THEN l_quantity END) AS p50, MAX(CASE WHEN r = CEIL(0.95 * n) THEN l_quantity END) AS p95,
