@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm.common import table
+from tidegauge.llm.common import split_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,21 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from tidegauge.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), distance=2).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.langid import identify, train
+
+    docs = table(spark, folder, "documents")
+    held_out = split_of("doc_id", 4) == 2
+    model = train(docs, ~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
