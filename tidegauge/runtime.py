@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,20 +21,39 @@ def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(DEFAULTS[name])))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which driver and executors share.
 
-    Executors may be lost between rounds of an iterative job, so the cut goes to shared storage.
-    A folder of our own is used only on a session that names none (tests, local runs).
+    A folder of our own is made only where the session names none and everything runs on this machine (tests, local runs).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder: executors may be lost between rounds of an iterative job."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that it needs no installation on the executors."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_tidegauge_shipped", False) or not root.is_dir():
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._tidegauge_shipped = True
+
+
 def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast hint, given only after the row count was found within the limit."""
     limit = limit or setting(df.sparkSession, BROADCAST_ROWS)
