@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tidegauge import runtime
 from tidegauge.runtime import cut_lineage
 
 #: Words of the contracts: runs of anything but ASCII white space.
@@ -22,17 +23,15 @@ def split_of(key: str | Column, parts: int) -> Column:
     return (F.crc32(F.encode(text, "utf-8")) % parts).cast("int")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint directory of the session, which all executors share."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        cut_lineage(spark.range(1))  # lets the session's setting take effect
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the workers."""
+    runtime.ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, columns pruned on each read, safe when executors go."""
-    folder = shared_folder(df.sparkSession)
+    folder = f"{runtime.shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

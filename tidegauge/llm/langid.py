@@ -8,7 +8,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tidegauge.llm.common import mapped
 
 ORDERS = (1, 2, 3)
 #: Buckets per n-gram order.
@@ -147,7 +149,7 @@ def train(docs: DataFrame, learn: Column, bits: int = BUCKET_BITS, smoothing: fl
         bits -= 1
     if found * len(ORDERS) * 4 << bits > MATRIX_BYTES:
         raise ValueError(f"{found} languages: too many for one matrix")
-    counts = rows.mapInArrow(_counted(bits), "lang string, ord int, bucket int, n bigint").groupBy("lang", "ord", "bucket").agg(
+    counts = mapped(rows, _counted(bits), "lang string, ord int, bucket int, n bigint").groupBy("lang", "ord", "bucket").agg(
         F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_pylist()
     langs = sorted(set(names))
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +183,4 @@ def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
             names, sure = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
-    return docs.mapInArrow(label, schema)
+    return mapped(docs, label, schema)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from tidegauge.llm.common import mapped
 from tidegauge.operators.graph import connected_components
 from tidegauge.runtime import cut_lineage
 
@@ -42,8 +43,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
         for batch in batches:
             marks = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        compute, "doc_id bigint, fp bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return mapped(texts, compute, "doc_id bigint, fp bigint")
 
 
 def _rotated(value: str, bits: int) -> Column:
