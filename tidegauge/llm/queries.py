@@ -96,3 +96,13 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = split_of("doc_id", 4) == 2
     model = train(docs, ~held_out)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.toxicity import fit, score
+
+    docs, held_out = table(spark, folder, "documents"), split_of("doc_id", 4) == 2
+    detector = fit(docs, table(spark, folder, "labels"), ~held_out)
+    return score(docs.select("doc_id", "text"), detector).select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
