@@ -106,3 +106,13 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     detector = fit(docs, table(spark, folder, "labels"), ~held_out)
     return score(docs.select("doc_id", "text"), detector).select(
         "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidegauge.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
