@@ -116,3 +116,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_media")
+def op3_media(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.media import store
+
+    return store(table(spark, folder, "documents"), keep=())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import string
 from functools import cache
 from unicodedata import is_normalized
@@ -11,10 +10,10 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: White space to ``str.split`` but not to the tokenizer; such texts are encoded in one piece.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 MARKS = string.punctuation.replace("'", "")
 #: Words and chunks a worker remembers; when full, new ones are encoded and forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Words that go to the tokenizer as one text.
 GROUP = 200
 
@@ -58,34 +57,34 @@ class WordEncoder:
             out += [raw[a * width:b * width] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        plain: dict[str, tuple[str, str]] = {}
-        rest: list[str] = []
-        tails: set[str] = set()
-        for chunk in chunks:
-            stem = chunk.rstrip(MARKS)
-            word = stem.lower()
-            if word.isalpha() and stem.isalpha() and len(word) == len(stem) and (
-                    stem.isascii() or (max(stem) < "ɐ" and is_normalized("NFC", stem))):
-                tail = chunk[len(stem):]
-                plain[chunk] = word, tail
-                tails.add(tail)
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        stems = [c.rstrip(MARKS) for c in chunks]
+        words = " ".join(stems).lower().split(" ")
+        plain, rest = [], []
+        for chunk, stem, word, letters, simple in zip(chunks, stems, words, map(str.isalpha, words), map(str.isascii, stems)):
+            if letters and (simple or (stem.isalpha() and len(word) == len(stem) and max(stem) < "ɐ" and is_normalized("NFC", stem))):
+                plain.append((chunk, word, chunk[len(stem):]))
             else:
                 rest.append(chunk)
-        new = [w for w in {w for w, _ in plain.values()} if w not in self.words]
+        new = list({w for _, w, _ in plain} - self.words.keys())
         words = dict(zip(new, self._words(new))) if new else {}
         if len(self.words) < REMEMBERED:
             self.words |= words
-        marks = dict(zip(tails, self._whole(list(tails))))
-        known = self.words
-        found = {c: (known.get(w) or words[w]) + marks[t] for c, (w, t) in plain.items()}
-        return found | dict(zip(rest, self._whole(rest) if rest else []))
+            known = self.words
+        else:
+            known = {w: self.words[w] if w in self.words else words[w] for _, w, _ in plain}
+        tails = list({t for _, _, t in plain})
+        marks = dict(zip(tails, self._whole(tails)))
+        found = {c: known[w] + marks[t] if t else known[w] for c, w, t in plain}
+        if rest:
+            found.update(zip(rest, self._whole(rest)))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``kind.itemsize`` bytes an id."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
         missing = set().union(*[w for w in split if w is not None]) - self.chunks.keys()
-        found = self._learn(missing) if missing else {}
+        found = self._learn(list(missing)) if missing else {}
         if len(self.chunks) < REMEMBERED:
             self.chunks |= found
             table = self.chunks
