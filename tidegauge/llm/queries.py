@@ -123,3 +123,16 @@ def op3_media(spark: SparkSession, folder: str) -> DataFrame:
     from tidegauge.llm.media import store
 
     return store(table(spark, folder, "documents"), keep=())
+
+
+@query("op4_licenses")
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.licenses import license_scan
+
+    base, found = F.col("base"), F.col("detections")
+    names = F.array_sort(F.array_distinct(base["label"]))
+    return license_scan(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(base["word"]).alias("first_word"),
+        F.array_max(base["word"]).alias("last_word"), F.array_join(names, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(names, found["label"])), ",").alias("labels"),
+        (F.coalesce(F.array_max(found["priority"]), F.lit(0)) / 100.0).cast("double").alias("score"))
