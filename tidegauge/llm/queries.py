@@ -136,3 +136,19 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.array_max(base["word"]).alias("last_word"), F.array_join(names, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(names, found["label"])), ",").alias("labels"),
         (F.coalesce(F.array_max(found["priority"]), F.lit(0)) / 100.0).cast("double").alias("score"))
+
+
+@query("op6_topk", """
+    WITH whole AS (
+        SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""")
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
