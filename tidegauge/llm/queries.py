@@ -152,3 +152,12 @@ def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
     from tidegauge.llm.topk import top_k
 
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_lm")
+def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.lm import lm_scores
+
+    held_out = split_of("doc_id", 5) == 1
+    return lm_scores(table(spark, folder, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
