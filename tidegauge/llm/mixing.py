@@ -42,13 +42,13 @@ def water_fill(sources: DataFrame, budget: float) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, max_epochs: int = 2, seed: int = 7,
         cut_last: bool = True) -> DataFrame:
-    """How often the mix takes each document: ``doc_id, source, size, source_size, target, epochs, extra, taken``.
+    """How often the mix takes each document: ``doc_id, source, size, source_size, target, epochs, place, extra, taken``.
 
     ``size`` is the number of words of the text. The sources share ``budget_share`` of all words by ``weights`` (dealt in
     code point order of the source, null last), no source above ``max_epochs`` passes over itself (water-filling). Of a
     target of 1.3 passes every document gets one whole repetition (``epochs``), and documents in a seeded random order
     get another (``extra`` words) until the target is reached. The last one may be cut so that the target is met to the word
-    (``cut_last``); otherwise it counts in full if at least half of it fits.
+    (``cut_last``); otherwise it counts in full if at least half of it fits. ``place`` is the document's seeded place.
 
     Null text has size 0. Null ``doc_id`` is hashed as empty text. Repeated rows each count. A source of size 0 has target
     0. An empty table gives no rows. Extra columns are not read. Reruns agree.
@@ -77,7 +77,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     placed = rows.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.alias("p").join(starts.alias("s"), F.expr("p.source <=> s.source AND p.__slice = s.__slice")).select(
         "p.doc_id", "p.source", "p.size", "source_size", "target", "epochs",
-        (F.col("__rest") - F.col("__before") - F.col("__in")).alias("__room"))
+        F.col("p.__h").alias("place"), (F.col("__rest") - F.col("__before") - F.col("__in")).alias("__room"))
     extra = F.greatest(F.lit(0), F.least("size", "__room")) if cut_last else F.when(2 * F.col("__room") > F.col("size"), F.col("size")).otherwise(0)
     return placed.withColumn("extra", extra.cast("bigint")).drop("__room").withColumn(
         "taken", F.col("epochs") * F.col("size") + F.col("extra"))
+
+
+def repeated(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as :func:`mix` says, whole documents only.
+
+    The mix boils down to one bound per source, the place of the last document that gets one more repetition; rows
+    meet the bounds of their source, so texts are not shuffled unless the table of sources is too large to broadcast.
+    """
+    mixed = mix(docs, seed=seed, cut_last=False, **options)
+    at = F.struct("place", "doc_id", "size")
+    bounds = cut_lineage(mixed.groupBy("source").agg(F.max("epochs").alias("__epochs"), F.max(F.when(F.col("extra") > 0, at)).alias("__last"))
+                         .withColumnRenamed("source", "__source"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    own = F.struct(seeded(F.col("doc_id"), seed).alias("place"), F.col("doc_id"), size.alias("size"))
+    met = docs.join(bounds, F.expr("source <=> __source"))
+    copies = F.col("__epochs") + F.coalesce((own <= F.col("__last")).cast("int"), F.lit(0))
+    times = F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")
+    return met.withColumn("__copies", copies.cast("int")).filter("__copies > 0").select(*docs.columns, times).drop("__copy")

@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidegauge.llm.common import mapped
 from tidegauge.operators.graph import connected_components
@@ -131,3 +131,25 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, segments
     linked = linked.join(best, "root").select("fp", "least")
     label = cut_lineage(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return marks.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one whose id is the group's.
+
+    Rows that repeat both id and text count once. Rows without an id go if a document with an id is in their group; of
+    the others one stays for each fingerprint.
+    """
+    near = cut_lineage(near_duplicates(docs, **options))
+    ids = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    open_marks = near.filter(F.col("component_id").isNull()).select("fp").distinct()
+    if not open_marks.limit(1).count():
+        return kept
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "fp"])
+    nameless = mapped(docs.filter(F.col("doc_id").isNull()), add, schema)
+    return kept.unionByName(nameless.join(open_marks, "fp", "left_semi").dropDuplicates(["fp"]).select(*docs.columns))
