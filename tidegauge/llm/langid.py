@@ -47,9 +47,11 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(letters: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Hash bucket of the n-gram that starts at each position (spaces follow the last)."""
-    mixed = letters.astype(np.uint32) * np.uint32(0x9E3779B1)
+    count = len(letters)
+    wide = np.concatenate([letters, np.full(order - 1, 32, letters.dtype)]).astype(np.uint32)
+    mixed = wide[:count] * np.uint32(0x9E3779B1)
     for k in range(1, order):
-        mixed[:-k] = (mixed[:-k] ^ (mixed[:-k] >> np.uint32(15))) * np.uint32(0x85EBCA77) + letters[k:]
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77) + wide[k:k + count]
     mixed *= np.uint32(0xC2B2AE3D)
     return (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - bits)
 

@@ -139,8 +139,9 @@ def fit_labels(n: float, total: np.ndarray, products: np.ndarray, prior: float,
     """The generative model from the moments of the votes over all documents; no label of any document goes in.
 
     Voters that are independent given the label have covariances c_i c_j / Var(Y), where c is a voter's covariance with
-    the hidden label. That rank-one part is fitted to the pairs held to be independent; pairs whose rest is a correlation of
-    ``strong`` or more are then held to be correlated and left out, until that settles.
+    the hidden label. That rank-one part starts from medians over triplets of voters, which a few correlated pairs do not
+    move; pairs whose rest is a correlation of ``strong`` or more are held to be correlated and left out of a least squares
+    fit, until that settles.
     """
     n, j = max(n, 1.0), len(total)
     mean = total / n
@@ -149,9 +150,9 @@ def fit_labels(n: float, total: np.ndarray, products: np.ndarray, prior: float,
     corr = cov / np.outer(spread, spread)
     live = spread > 1e-5
     free = np.outer(live, live) & ~np.eye(j, dtype=bool)
-    load = np.where(live, 0.5, 0.0)
-    for _ in range(rounds):
-        for _ in range(60):  # least squares, one voter at a time
+    load = _triplets(corr, live)
+    for number in range(rounds):
+        for _ in range(60 if number else 0):  # least squares, one voter at a time
             for i in np.flatnonzero(live):
                 others = free[i]
                 square = float((load[others] ** 2).sum())
@@ -181,6 +182,18 @@ def fit_labels(n: float, total: np.ndarray, products: np.ndarray, prior: float,
     return LabelModel(prior, clean, toxic, accuracy, pairs, weight)
 
 
+def _triplets(corr: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Each voter's correlation with the label: the median of r_ij r_ik / r_jk over pairs of other voters."""
+    load = np.zeros(len(corr))
+    for i in np.flatnonzero(live):
+        others = np.array([j for j in np.flatnonzero(live) if j != i], np.int64)
+        j, k = (others[x] for x in np.triu_indices(len(others), 1))
+        sure = np.abs(corr[j, k]) > 0.02
+        found = (corr[i, j] * corr[i, k])[sure] / corr[j, k][sure]
+        load[i] = np.sqrt(np.clip(np.median(found), 0.0, 0.96)) if len(found) else 0.0
+    return load
+
+
 def fit_linear(rows: list[list[int]], width: int, goal: np.ndarray, weight: np.ndarray, l2: float = 1e-5, steps: int = 800) -> np.ndarray:
     """Logistic regression on soft labels over sparse 0/1 features (Adam, full batch); the last weight is the intercept."""
     at = np.concatenate([np.asarray(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
