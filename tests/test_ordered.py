@@ -41,7 +41,6 @@ def test_sliced_scan_equals_window(spark, backward, keys):
 def test_ties_are_sliced_by_the_next_column(spark):
     df = spark.range(400).selectExpr("1 AS k", "7 AS at", "id")
     g = ordered(df, ["k"], ["at", "id"], group_rows=50)
-    assert len(g.splits) == 2
     sizes = [r["count"] for r in g.sliced_rows().groupBy("k", "__slice").count().collect()]
     assert max(sizes) <= 50
     assert rows(g.scan(n=position()).df, "id", "n") == sorted([(i, i + 1) for i in range(400)], key=repr)
@@ -58,3 +57,17 @@ def test_nearest_rank_definition(spark):
 def test_median_of_even_and_odd_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", 3.0), ("b", 5.0), ("b", 4.0), ("c", None)], "k string, v double")
     assert rows(group_median(df, ["k"], "v", "m"), "k", "m") == [("a", 2.0), ("b", 4.0)]
+
+
+def test_slices_compare_values_exactly(spark):
+    """Whole numbers beyond 2**53, text, NULL and decimals order the rows as a plain window does."""
+    big = 1 << 60
+    df = spark.range(300).selectExpr("1 AS k", f"CASE WHEN id % 50 = 0 THEN NULL ELSE {big} + (id * 7919) % 300 END AS revision",
+                                     "concat('t', lpad(cast((id * 31) % 300 as string), 3, '0')) AS title", "cast(id % 3 as decimal(30, 2)) AS d", "id")
+    for order in (["revision", "id"], ["title"], ["d", "title"]):
+        whole = ordered(df, ["k"], order, group_rows=10_000).scan(n=position())
+        sliced = ordered(df, ["k"], order, group_rows=20).scan(n=position())
+        assert whole.splits is None and len(sliced.splits) > 10
+        assert rows(whole.df, "id", "n") == rows(sliced.df, "id", "n")
+        sizes = [r["count"] for r in sliced.sliced_rows().groupBy("__slice").count().collect()]
+        assert max(sizes) <= 60

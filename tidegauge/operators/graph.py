@@ -85,15 +85,17 @@ def connected_cells(cells: DataFrame) -> DataFrame:
 
 
 def connected_patches(cells: DataFrame, key: str, min_cells: int) -> DataFrame:
-    """Largest 4-neighbour patch of grid cells ``(key, ix, iz)`` per key, if it has at least ``min_cells`` cells.
+    """Largest 4-neighbour patch of distinct grid cells ``(key, ix, iz)`` per key, if it has at least ``min_cells`` cells.
 
-    ``key`` must be a whole number. Equal sizes go to the patch with the smallest cell.
+    Cells are numbered in order of (key, ix, iz), so keys and coordinates may be of any orderable type and size. Equal sizes go to
+    the patch with the smallest cell.
     """
-    node = pack(F.col(key), F.col("ix"), F.col("iz"))
-    edges = neighbour_edges(cells, node, lambda o: pack(F.col(key), F.col("ix") + o[0], F.col("iz") + o[1]),
-                            [(1, 0), (0, 1)])
-    marked = cut_lineage(cells.withColumn("node", node)
-                         .join(connected_components(cells.select(node.alias("node")), edges), "node"))
+    cells = cut_lineage(ordered(cells, [], [key, "ix", "iz"]).scan(node=position()).df)
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (0, 1))])).alias("by")
+    tries = cells.select(key, F.col("node").alias("src"), "ix", "iz", step).select(
+        key, "src", (F.col("ix") + F.col("by.a")).alias("ix"), (F.col("iz") + F.col("by.b")).alias("iz"))
+    edges = tries.join(cells.withColumnRenamed("node", "dst"), [key, "ix", "iz"]).select("src", "dst")
+    marked = cut_lineage(cells.join(connected_components(cells.select("node"), edges), "node"))
     sizes = marked.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n"))
     best = (sizes.groupBy(key).agg(F.min_by(F.struct("root", "n"), F.struct(-F.col("n"), "root")).alias("b"))
             .select(key, "b.root", F.col("b.n").alias("patch_cells")).filter(F.col("patch_cells") >= min_cells))

@@ -2,7 +2,8 @@
 
 ``ordered(df, keys, order).scan(...)`` gives running counts, sums, extremes and "last seen" values per key.
 If every key is small the plan is one window. If some key is larger than one task should sort, the order axis is
-cut into slices of about equal row count (quantiles of the hot keys' rows), each slice is scanned on its own and
+cut into slices of about equal row count (at order values of a sample of the hot keys' rows, compared exactly and whatever
+their types, NULL first), each slice is scanned on its own and
 what earlier slices hand over is added as one carry row per (key, slice). The carry comes from a pre-aggregated
 summary with one row per (key, slice), so no task ever sees a whole hot key.
 """
@@ -12,7 +13,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidegauge.runtime import GROUP_ROWS, setting
@@ -20,7 +20,8 @@ from tidegauge.runtime import GROUP_ROWS, setting
 SLICE = "__slice"
 ROW = "__row"
 CARRY = "__carry"
-MAX_SLICES = 20_000
+#: Rows of the sample from which a cut is taken, on average.
+ROWS_PER_CUT = 16
 
 
 @dataclass(frozen=True)
@@ -56,22 +57,13 @@ def previous(value: Column) -> Step:
     return Step("previous", value)
 
 
-def _lead_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
-
-
 @dataclass(frozen=True)
 class OrderedGroups:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    #: Cut points per leading order column: the second level refines the single-value slices of the first, and so on.
-    splits: tuple[tuple[float, ...], ...] | None
+    #: Rows of order values at which a new slice starts, ascending; None if every key fits one task.
+    splits: tuple[tuple, ...] | None
 
     def scan(self, backward: bool = False, **steps: Step) -> "OrderedGroups":
         """Add one column per step. ``backward`` runs from the last row to the first."""
@@ -90,16 +82,18 @@ class OrderedGroups:
         """The rows with their slice number; slices of a key follow the order of its rows."""
         if self.splits is None:
             return self.df.withColumn(SLICE, F.lit(0).cast("bigint"))
-        rows, number, refine = self.df, F.lit(0).cast("bigint"), F.lit(True)
-        for level, cuts in enumerate(self.splits):
-            lead, at = f"__lead{level}", f"__at{level}"
-            rows = rows.withColumn(lead, F.coalesce(_lead_number(rows, self.order[level]), F.lit(float("-inf"))))
-            rows = Bucketizer(splits=list(cuts), inputCol=lead, outputCol=at, handleInvalid="keep").transform(rows)
-            number = number * len(cuts) + F.when(refine, F.col(at).cast("bigint")).otherwise(F.lit(0))
-            singles = [float(n) for n, (low, high) in enumerate(zip(cuts, cuts[1:])) if high == math.nextafter(low, math.inf)]
-            refine = refine & F.col(at).isin(singles)
-        made = [f"__{c}{n}" for n in range(len(self.splits)) for c in ("lead", "at")]
-        return rows.withColumn(SLICE, number).drop(*made)
+        # two levels of cuts, so that a row is compared with about twice the root of their number
+        block = max(1, math.isqrt(len(self.splits)))
+        blocks = [list(self.splits[n:n + block]) for n in range(0, len(self.splits), block)]
+        value = T.StructType([T.StructField(c, self.df.schema[c].dataType) for c in self.order])
+        kind = T.StructType([T.StructField("heads", T.ArrayType(value)), T.StructField("blocks", T.ArrayType(T.ArrayType(value)))])
+        cuts = self.df.sparkSession.createDataFrame([([b[0] for b in blocks], blocks)], kind)
+        at = F.struct(*[F.col(c) for c in self.order])
+        held = self.df.withColumns({"__heads": cuts.select("heads").scalar(), "__blocks": cuts.select("blocks").scalar()})
+        outer = F.size(F.filter("__heads", lambda cut: cut <= at))
+        inner = F.size(F.filter(F.element_at("__blocks", F.greatest(outer, F.lit(1))), lambda cut: cut <= at))
+        number = F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * block + inner)
+        return held.withColumn(SLICE, number.cast("bigint")).drop("__heads", "__blocks")
 
     def _sliced(self, backward: bool, direction, steps: dict[str, Step]) -> DataFrame:
         columns = self.df.columns
@@ -181,7 +175,7 @@ def largest_group(df: DataFrame, keys: tuple[str, ...]) -> int:
 def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> OrderedGroups:
     """Lay out ``df`` for ordered passes per key.
 
-    ``order`` must be a total order within the key; its first column must be numeric, a date or a timestamp.
+    ``order`` must be a total order within the key, of any orderable types.
     """
     keys, order = tuple(keys), tuple(order)
     limit = group_rows or setting(df.sparkSession, GROUP_ROWS)
@@ -194,31 +188,21 @@ def ordered(df: DataFrame, keys, order, group_rows: int | None = None) -> Ordere
         for key in keys:
             same = same & df[key].eqNullSafe(hot[key])
         hot_rows = df.join(hot, same, "left_semi")
-    levels: list[tuple[float, ...]] = []
-    for column in order:
-        if not _is_number(df, column):
-            break
-        cuts, heavy = _cuts(hot_rows.select(_lead_number(df, column).alias("__lead")), limit)
-        levels.append(cuts)
-        if not heavy:
-            break
-        hot_rows = hot_rows.filter(_lead_number(df, column).isin(heavy))
-    return OrderedGroups(df, keys, order, tuple(levels))
-
-
-def _is_number(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))
-
-
-def _cuts(lead: DataFrame, limit: int) -> tuple[tuple[float, ...], list[float]]:
-    """Quantile cuts of one column; values that fill a whole slice get a slice of their own and are returned."""
-    count = lead.count()
-    pieces = min(MAX_SLICES, max(2, -(-2 * count // limit)))
-    at = [i / pieces for i in range(1, pieces)]
-    found = [float(c) for c in lead.agg(F.percentile_approx("__lead", at, 20 * pieces)).first()[0] or []]
-    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b} | ({found[0]} if len(found) == 1 else set()))
-    inner = {*found, *heavy, *(math.nextafter(v, math.inf) for v in heavy)}
-    return (float("-inf"), *sorted(inner), float("inf")), heavy
+    return OrderedGroups(df, keys, order, _cuts(hot_rows.select(*order), order, limit))
+
+
+def _cuts(values: DataFrame, order: tuple[str, ...], limit: int) -> tuple[tuple, ...]:
+    """Order values that cut ``values`` into slices of about half of ``limit`` rows.
+
+    They are every so many-th row of a sorted sample, so their number follows the rows; where they fall only shifts the
+    sizes of slices, never a result.
+    """
+    count = values.count()
+    pieces = max(2, -(-2 * count // limit))
+    share = min(1.0, ROWS_PER_CUT * pieces / count)
+    sample = values.filter(F.rand(7) < share).orderBy(*order).collect()
+    step = max(1, len(sample) // pieces)
+    return tuple(dict.fromkeys(tuple(r) for r in sample[step::step])) or tuple(tuple(r) for r in sample[:1]) or (tuple(values.first()),)
 
 
 def _ranked_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:

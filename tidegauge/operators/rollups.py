@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegauge.functions.text import browser_family, first_sentence
 from tidegauge.operators.ordered import ordered, position
@@ -167,9 +167,27 @@ def status_tally(df: DataFrame, status: str) -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent checksum: two independent mergeable folds of a row hash, and the row count."""
-    h = F.xxhash64(*columns)
+def _canonical(df: DataFrame, name: str) -> Column:
+    """A value as text that any engine writes alike: doubles to six decimals, times in microseconds."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = value.cast("decimal(38,6)")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(value.cast("timestamp"))
+    return value.cast("string")
+
+
+def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Order-independent checksum: two mergeable folds of a row digest, and the row count.
+
+    All columns count unless some are named. Values are length-delimited (NULL is a mark of its own), so moved boundaries change
+    the digest.
+    """
+    parts = []
+    for name in columns or df.columns:
+        text = _canonical(df, name)
+        parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    h = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"),
                   F.sum(F.pmod(h, F.lit(1_000_003)).cast("bigint")).alias("sum"))
 

@@ -293,6 +293,7 @@ def rolling_percentile(df: DataFrame, keys: list[str], order: list[str], value:
     When a key is too large for one task, rows are cut into blocks by row number and the last rows of a block are
     repeated as context of the next one.
     """
+    block = max(block, n)  # the block before then holds all the context a row needs
     g = ordered(df, keys, order).scan(__n=position())
     rows = g.df
     if g.splits is not None:

@@ -341,7 +341,17 @@ def enclosed_cells(spark, sf):
     return _enclosed(spark, sf).select("cluster_id", F.col("ix").cast("bigint").alias("ix"), F.col("iz").cast("bigint").alias("iz"))
 
 
-@query("connected_patches")
+@query("connected_patches", f"""
+    WITH RECURSIVE {ENCLOSED.replace("held AS (", "held AS MATERIALIZED (")},
+    beside AS MATERIALIZED (SELECT h.cluster_id, h.ix, h.iz, n.ix AS nx, n.iz AS nz FROM held h, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(a, b)
+      JOIN held n ON n.cluster_id = h.cluster_id AND n.ix = h.ix + d.a AND n.iz = h.iz + d.b),
+    lab(cluster_id, ix, iz, root) USING KEY (cluster_id, ix, iz) AS (
+      SELECT cluster_id, ix, iz, (ix, iz) FROM held
+      UNION SELECT b.cluster_id, b.nx, b.nz, MIN(l.root) FROM lab l JOIN beside b ON b.cluster_id = l.cluster_id AND b.ix = l.ix AND b.iz = l.iz
+        JOIN recurring.lab r ON r.cluster_id = b.cluster_id AND r.ix = b.nx AND r.iz = b.nz WHERE l.root < r.root GROUP BY 1, 2, 3),
+    size AS (SELECT cluster_id, root, COUNT(*) AS patch_cells FROM lab GROUP BY ALL),
+    best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY patch_cells DESC, root) AS place FROM size)
+    SELECT cluster_id, ix, iz, patch_cells FROM lab JOIN best USING (cluster_id, root) WHERE place = 1 AND patch_cells >= 4""")
 def connected_patches(spark, sf):
     return G.connected_patches(cut_lineage(_enclosed(spark, sf).select("cluster_id", "ix", "iz")), "cluster_id", 4)
 

@@ -72,7 +72,9 @@ def receipt_ledger(spark, sf):
     acks = rows.filter("acked").select("window_id", "recipient_id", "seq").distinct().select(
         "window_id", "recipient_id", "seq", F.lit(4_000_000_000_000_000).alias("us"), F.lit(0).cast("bigint").alias("line"), F.lit("ack").alias("kind"))
     out = S.receipt_ledger(_stream(spark, receipts.unionByName(acks), "receipts", "us"), 10_000_000)
-    return _drain(spark, out, "receipts-out").select("window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "pending", "min_seq", "max_seq", "missing", "shed")
+    # a row per key and micro-batch; the counts only grow, so the largest is the last
+    last = F.max_by(F.struct("*"), F.struct("receipts", "acked", "shed"))
+    return _drain(spark, out, "receipts-out").groupBy("window_id", "recipient_id").agg(last.alias("r")).select("r.*").select("window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "pending", "min_seq", "max_seq", "missing", "shed")
 
 
 @query("witness_stream", WITNESS)
@@ -106,9 +108,9 @@ def tick_stream(spark, sf):
     return _drain(spark, S.tick_stream(_stream(spark, ticks, "ticks", "us")), "ticks-out")
 
 
-@query("liveness_stream", "SELECT user_id AS key, MAX(epoch_us(ts)) // 1000 AS ms FROM events GROUP BY user_id")
+@query("liveness_stream", "SELECT user_id AS key, MIN(epoch_us(ts)) // 1000 AS ms FROM events GROUP BY user_id")
 def liveness_stream(spark, sf):
-    """Keys and the time they came to life; nothing expires here, because all touches come in one micro-batch."""
+    """Keys and the time they came to life, their first touch; the lease is longer than the table, so nothing expires."""
     ev = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     out = S.liveness_stream(_stream(spark, ev, "touches", "ms"), "user_id", "ts", 1 << 50)
     return _drain(spark, out, "touches-out").filter("live").select("key", "ms")

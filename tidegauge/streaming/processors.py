@@ -284,7 +284,8 @@ class Liveness(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max((int(r["ms"].max()) for r in rows if len(r)), default=None)
+        touches = [(int(r["ms"].min()), int(r["ms"].max())) for r in rows if len(r)]
+        newest = max((high for _, high in touches), default=None)
         old = self.last.get()[0] if self.last.exists() else None
         if newest is None or (old is not None and newest <= old):
             return
@@ -293,7 +294,7 @@ class Liveness(StatefulProcessor):
         self.handle.registerTimer(newest + self.lease_ms)
         self.last.update((newest,))
         if old is None:
-            yield pd.DataFrame([{"key": key[0], "ms": newest, "live": True}])
+            yield pd.DataFrame([{"key": key[0], "ms": min(low for low, _ in touches), "live": True}])  # its first touch, however batches are cut
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]

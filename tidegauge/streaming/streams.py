@@ -6,17 +6,19 @@ Rows of one key within a micro-batch are sorted in memory, so the size of a micr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge.operators.events import PUBLIC_TYPES
+from tidegauge.runtime import ship
 from tidegauge.streaming import processors as P
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keyed state needs the RocksDB store; it is set only where the session has not chosen it."""
+    """Keyed state needs the RocksDB store, which is set here, and this package on the Python workers."""
+    ship(spark)
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -102,25 +104,23 @@ def run_available(sdf: DataFrame, folder: str) -> DataFrame:
 
 
 def replay(df: DataFrame, folder: str, at: str, batch_rows: int = 5_000_000) -> DataFrame:
-    """A stream over a table, in order of ``at``.
+    """A stream over a table, in order of ``at``, NULL first.
 
-    A table of at most ``batch_rows`` is one micro-batch. A larger one is cut at quantiles of ``at`` (a number), and the
-    slices arrive one after the other as one file and one micro-batch each, so that no batch holds more than a bounded
-    number of rows of any key.
+    A table of at most ``batch_rows`` is one micro-batch. A larger one is range-partitioned once by ``at`` and, inside equal
+    values, by the other columns; the ranges, each about ``batch_rows`` rows, then arrive one after the other as one file and
+    one micro-batch each. No row is left out, whatever its ``at``.
     """
     reader = df.sparkSession.readStream.schema(df.schema)
     count = df.count()
     if count <= batch_rows:
-        df.write.parquet(folder)
-        return reader.parquet(folder)
+        df.write.parquet(f"{folder}/arrived")
+        return reader.parquet(f"{folder}/arrived")
     n = -(-count // batch_rows)
-    found = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 20 * n)).first()[0]
-    cuts = [None, *sorted(set(found)), None]
-    for low, high in zip(cuts, cuts[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(at) >= low)
-        if high is not None:
-            part = part.filter(F.col(at) < high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return reader.option("maxFilesPerTrigger", 1).parquet(folder)
+    others = [f.name for f in df.schema.fields if f.name != at and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    df.repartitionByRange(n, at, *others).withColumn("__batch", F.spark_partition_id()).write.partitionBy("__batch").parquet(f"{folder}/cut")
+    cut = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(f"{folder}/cut")
+    for number in range(n):  # a stream over files takes them by time, so each batch is put in place after the one before
+        batch = cut.filter(F.col("__batch") == number).drop("__batch")
+        if batch.limit(1).count():
+            batch.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    return reader.option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
