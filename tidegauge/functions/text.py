@@ -11,9 +11,8 @@ BUG_PHRASES = ["crash", "error", "exception", "broke", "fails", "doesn't work",
 FEATURE_PHRASES = ["could you add", "would be nice", "feature request", "wish", "suggestion", "support for"]
 QUESTION_PHRASES = ["how do i", "where is", "what does", "why does", "?"]
 
-# Emoji and slot names of turn-in commands.
+# Emoji of turn-in commands.
 FILM, CAMERA, LINK, GROUP = "\U0001F39E", "\U0001F4F8", "\U0001F517", "\U0001F91C"
-NAME_SLOTS = ["summons_type", "badge_name"]
 
 # Patterns for text that must not be published.
 SENSITIVE = {

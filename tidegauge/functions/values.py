@@ -39,7 +39,3 @@ def canonical_json(text: Column) -> Column:
 
 def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
-
-
-def text_crc(text: Column) -> Column:
-    return F.crc32(F.encode(text, "UTF-8"))

@@ -9,11 +9,11 @@ from tidegauge.operators.ordered import ordered, position, previous, running_max
 SATURATION = 1_000_000  # fixed value: distinct sequences tracked before a ledger calls itself saturated
 
 
-def receipt_status(receipts: DataFrame, acks: DataFrame, approx: bool = False) -> DataFrame:
+def receipt_status(receipts: DataFrame, acks: DataFrame) -> DataFrame:
     """State of each (window, recipient): receipts, duplicates, gaps, acked and pending sequences.
 
     Receipts and acks are first merged per sequence, so a hot recipient is spread over its sequences and the rest is a
-    mergeable aggregate. ``approx`` replaces the exact distinct count by a sketch.
+    mergeable aggregate.
     """
     both = receipts.select("window_id", "recipient_id", "seq", F.lit(1).alias("r"), F.lit(0).alias("a"),
                            F.col("empty_body").cast("int").alias("e"), "us").unionByName(
@@ -22,9 +22,8 @@ def receipt_status(receipts: DataFrame, acks: DataFrame, approx: bool = False) -
     per_seq = both.groupBy("window_id", "recipient_id", "seq").agg(
         F.sum("r").alias("r"), F.sum("a").alias("a"), F.sum("e").alias("e"), F.min("us").alias("first"), F.max("us").alias("last"))
     held = F.col("r") > 0
-    distinct = F.approx_count_distinct(F.when(held, F.col("seq"))) if approx else F.count_if(held)
     out = per_seq.groupBy("window_id", "recipient_id").agg(
-        F.sum("r").alias("receipts"), distinct.alias("distinct_seq"),
+        F.sum("r").alias("receipts"), F.count_if(held).alias("distinct_seq"),
         F.min(F.when(held, F.col("seq"))).alias("min_seq"), F.max(F.when(held, F.col("seq"))).alias("max_seq"),
         F.count_if(held & (F.col("a") > 0)).alias("acked"), F.count_if(~held).alias("unknown_acks"),
         F.sum("e").alias("empty_bodies"), F.min("first").alias("first_us"), F.max("last").alias("last_us"))

@@ -371,7 +371,7 @@ def cursor_increment(spark, sf):
     return R.cursor_increment(bind(spark, sf, "b_events"), "event_id", "event_id", "us", NOW, last_id=9000, last_at=NOW).select("event_id", "us")
 
 
-RECORDS = """(SELECT doc_id AS id, substr(text, 1, 60) AS title, CASE doc_id % 5 WHEN 0 THEN 'story' WHEN 1 THEN 'portal' WHEN 2 THEN 'guide' WHEN 3 THEN 'tool' ELSE 'dispatch' END AS kind, n_chars AS published,
+RECORDS = """(SELECT doc_id AS id, text AS title, CASE doc_id % 5 WHEN 0 THEN 'story' WHEN 1 THEN 'portal' WHEN 2 THEN 'guide' WHEN 3 THEN 'tool' ELSE 'dispatch' END AS kind, n_chars AS published,
       doc_id % 3 = 0 AS is_primary, lang = 'en' AS is_audience FROM documents)"""
 
 
@@ -379,7 +379,7 @@ def _records(spark, sf):
     key = F.col("doc_id") % 5
     kind = F.when(key == 0, "story").when(key == 1, "portal").when(key == 2, "guide").when(key == 3, "tool").otherwise("dispatch")
     return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), kind.alias("kind"), F.col("n_chars").alias("published"),
+        F.col("doc_id").alias("id"), F.col("text").alias("title"), kind.alias("kind"), F.col("n_chars").alias("published"),
         F.when(F.col("lang") == "en", F.array(F.lit("builders"))).otherwise(F.array(F.lit("keepers"))).alias("audiences"),
         F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("builders"))).otherwise(F.array(F.lit("keepers"))).alias("primary"))
 

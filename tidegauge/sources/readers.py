@@ -22,10 +22,17 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files are split over tasks; a line's place is its block in the file and its position within the block, and numbers
     come from a scan over those places, so a large file never sits in one task.
     """
+    return _numbered_lines(spark, path).select("file", "line", "value")
+
+
+def _numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, file, line, value)``: files of one name in different folders are different; a BOM only starts a file."""
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return ordered(raw, ["file"], ["block", "place"]).scan(line=position()).df.select("file", "line", "value")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    rows = ordered(raw, ["path"], ["block", "place"]).scan(line=position()).df
+    first = F.when(F.col("line") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
+    return rows.select("path", "file", "line", first.alias("value"))
 
 
 def json_kind(value: Column) -> Column:
@@ -120,10 +127,10 @@ def recent_files(spark: SparkSession, path: str, max_files: int = 8) -> DataFram
 def scan_recent_files(spark: SparkSession, path: str, max_files: int = 8, max_rows: int = 20_000) -> DataFrame:
     """Lines of the newest files in name and line order, up to a total row limit; ``max_files`` is a small number."""
     names = [r["path"] for r in recent_files(spark, path, max_files).select("path").collect()]
-    numbers = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (name.rsplit("/", 1)[-1], n)])
-    lines = read_lines(spark, names).withColumn("file_no", numbers[F.col("file")])
-    rows = ordered(lines.filter(F.trim("value") != ""), [], ["file_no", "line"]).scan(row=position()).df
-    return rows.filter(F.col("row") <= max_rows).drop("file_no")
+    if not names:
+        return spark.createDataFrame([], "file string, line bigint, value string, row bigint")
+    rows = ordered(_numbered_lines(spark, names).filter(F.trim("value") != ""), [], ["path", "line"]).scan(row=position()).df
+    return rows.filter(F.col("row") <= max_rows).drop("path")
 
 
 # Chat message types that carry content.

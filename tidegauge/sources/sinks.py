@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidegauge.runtime import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name on the storage the cluster names for shared work; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_event(events: DataFrame, path: str) -> DataFrame:
