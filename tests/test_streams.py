@@ -92,3 +92,11 @@ def test_feed_has_no_actor(spark, tmp_path):
                                "capture_seq bigint, event_type string, actor_id string, region_id string, detail string, provenance string").withColumn("occurred_at", F.timestamp_seconds(F.lit(0)))
     out = drained(df, tmp_path, "capture_seq", S.stream_feed)
     assert "actor_id" not in out.columns and rows(out, "capture_seq", "provenance") == [(1, "observed")]
+
+
+def test_replay_keeps_null_times_and_cuts_heavy_values(spark, tmp_path):
+    df = spark.range(200).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 2 = 0 THEN 7 ELSE id END AS at", "'x' AS note")
+    stream = S.replay(df, str(tmp_path / "in"), "at", 20)
+    assert rows(S.run_available(stream, str(tmp_path / "run")), "id", "at") == rows(df, "id", "at")
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "in" / "arrived")).groupBy(F.col("_metadata.file_name")).count().collect()]
+    assert len(sizes) > 5 and max(sizes) <= 60
