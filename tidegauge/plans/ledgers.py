@@ -16,7 +16,7 @@ STATUS = f"""s AS (SELECT window_id, recipient_id, COUNT(*) AS receipts, COUNT(D
         CAST(SUM(CASE WHEN empty_body THEN 1 ELSE 0 END) AS BIGINT) AS empty_bodies, MIN(us) AS first_us, MAX(us) AS last_us FROM b_receipts GROUP BY 1, 2),
     a AS (SELECT window_id, recipient_id, COUNT(DISTINCT CASE WHEN seq >= 0 THEN seq END) AS acked, COUNT(DISTINCT CASE WHEN seq < 0 THEN seq END) AS unknown_acks FROM {ACKS} x GROUP BY 1, 2),
     st AS (SELECT s.*, COALESCE(acked, 0) AS acked, COALESCE(unknown_acks, 0) AS unknown_acks, receipts - distinct_seq AS duplicates, distinct_seq - COALESCE(acked, 0) AS pending,
-        GREATEST(0, max_seq - distinct_seq) AS missing, FALSE AS saturated FROM s LEFT JOIN a USING (window_id, recipient_id))"""
+        GREATEST(0, max_seq - distinct_seq) AS missing, distinct_seq >= 1000000 AS saturated FROM s LEFT JOIN a USING (window_id, recipient_id))"""
 
 
 def _status(spark, sf):
@@ -36,7 +36,7 @@ def receipt_status(spark, sf):
     WITH {STATUS.replace('seq < 0', 'seq <= 0').replace('seq >= 0', 'seq > 0')} SELECT window_id, COUNT(*) AS recipients, CAST(SUM(receipts) AS BIGINT) AS receipts, CAST(SUM(distinct_seq) AS BIGINT) AS distinct_seq,
       CAST(SUM(acked) AS BIGINT) AS acked, CAST(SUM(unknown_acks) AS BIGINT) AS unknown_acks, CAST(SUM(empty_bodies) AS BIGINT) AS empty_bodies, CAST(SUM(duplicates) AS BIGINT) AS duplicates,
       CAST(SUM(pending) AS BIGINT) AS pending, CAST(SUM(missing) AS BIGINT) AS missing, MIN(min_seq) AS min_seq, MAX(max_seq) AS max_seq, MIN(first_us) AS first_us, MAX(last_us) AS last_us,
-      FALSE AS saturated FROM st GROUP BY window_id""")
+      BOOL_OR(saturated) AS saturated FROM st GROUP BY window_id""")
 def receipt_rollup(spark, sf):
     return L.receipt_rollup(_status(spark, sf))
 
