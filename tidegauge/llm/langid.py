@@ -168,21 +168,22 @@ def train(docs: DataFrame, learn: Column, bits: int = BUCKET_BITS, smoothing: fl
     return NaiveBayes(langs, np.log(prior / max(prior.sum(), 1)), logp, bits)
 
 
-def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``; only the text is looked at. Columns of these names are replaced.
+def identify(docs: DataFrame, model: NaiveBayes, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` plus the predicted language and its score under ``names``; only the text is looked at. Columns of these
+    names are replaced.
 
     Null text, or one without any letter: ``und``, score 0. Equal probabilities go to the first language in code point
     order. A model without languages answers ``und``. Whole texts are scored, a long one in a run of its own.
     """
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sure = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())],
-                                             [*batch.schema.names, "lang_pred", "score"])
+            langs, sure = shared.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())],
+                                             [*batch.schema.names, *names])
     return mapped(docs, label, schema)

@@ -19,6 +19,8 @@ WINDOW = 2048
 BURST = 128
 #: Sources with a queue of their own (the largest); all others share this many further queues.
 OWN_QUEUES, SHARED_QUEUES = 192, 64
+#: Rows of (task, source) starts that may be broadcast, with names under 256 characters: some 15 MB at most.
+STARTS_BROADCAST = 50_000
 #: Texts and ids that are worked on at once, in characters or tokens.
 CHUNK = 4 << 20
 GOLDEN = 0.6180339887498949
@@ -171,7 +173,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, burst: int = BURST, e
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": doc.take(row), "source_key": key.take(row), "start": low, "length": length, "doc_tokens": size[row],
                     "sequence_id": at // rounds.window, "offset": at % rounds.window, "ids": pa.array(ids, pa.binary())})
-    placed = rows.join(starts.select("key", "part", "queue", "first"), ["key", "part"]).select(
+    first = starts.select("key", "part", "queue", "first")
+    if first.count() <= STARTS_BROADCAST and not first.filter(F.length("key") >= 256).limit(1).count():
+        first = F.broadcast(first)  # else both sides are shuffled, ids included
+    placed = rows.join(first, ["key", "part"]).select(
         "doc_id", "key", "queue", (F.col("first") + F.col("before")).alias("start"), "n", "ids")
     return mapped(placed, place, "doc_id bigint, source_key string, start bigint, length bigint, doc_tokens bigint, "
                                  "sequence_id bigint, offset bigint, ids binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.common import global_prefix
+from tidegauge.runtime import cut_lineage
 
 #: Bytes a stored row costs besides its text.
 ROW_BYTES = 16
@@ -24,8 +25,8 @@ def byte_shards(docs: DataFrame, shards: int = 40, row_bytes: int = ROW_BYTES) -
     if shards < 1:
         raise ValueError("shards must be positive")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(row_bytes)).cast("bigint").alias("size"),
-                       F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    rows = cut_lineage(docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(row_bytes)).cast("bigint").alias("size"),
+                       F.crc32(F.encode(text, "utf-8")).alias("text_crc32")))  # range sampling reads these, not the texts
     order = ["doc_id", "text_crc32", "size"]
     placed, total = global_prefix(rows, order, start=F.col("size"), place=F.lit(1))
     whole = 2 * max(1, total["start"])

@@ -142,14 +142,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     near = cut_lineage(near_duplicates(docs, **options))
     ids = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    open_marks = near.filter(F.col("component_id").isNull()).select("fp").distinct()
+    open_marks = near.filter(F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
     if not open_marks.limit(1).count():
         return kept
-    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "__fp"])
     nameless = mapped(docs.filter(F.col("doc_id").isNull()), add, schema)
-    return kept.unionByName(nameless.join(open_marks, "fp", "left_semi").dropDuplicates(["fp"]).select(*docs.columns))
+    return kept.unionByName(nameless.join(open_marks, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*docs.columns))

@@ -291,7 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = [min(counts.get(k, 0), labelled) for k in (0, 1)]
     seeded = F.xxhash64(F.lit(11), "doc_id")
-    picked = [known.filter(F.col("toxic") == k).orderBy(seeded, "doc_id").limit(labelled) for k in (0, 1)]
+    # of many rows only a share by the same hash is sorted, some more than are wanted
+    low = [F.lit(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * labelled // max(1, counts.get(k, 0)))) for k in (0, 1)]
+    picked = [known.filter((F.col("toxic") == k) & (seeded <= low[k])).orderBy(seeded, "doc_id").limit(labelled) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
     voters = Voters(mine(sample, sizes[1], sizes[0]) if sizes[1] else [])
@@ -336,17 +338,17 @@ def _calibrate(z: np.ndarray, gold: np.ndarray, share: np.ndarray) -> tuple[floa
     return (float(a), float(b)) if a > 0.05 else (1.0, 0.0)
 
 
-def score(docs: DataFrame, detector: Detector) -> DataFrame:
-    """``docs`` plus ``toxicity`` (0 to 1); only the text is looked at, whole, null as empty. A column of that name is replaced.
+def score(docs: DataFrame, detector: Detector, name: str = "toxicity") -> DataFrame:
+    """``docs`` plus the score (0 to 1) as ``name``; only the text is looked at, whole, null as empty. A column of that name is replaced.
 
     Equal texts get equal scores. Empty texts and tables without labels are scored by the same rule.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(detector)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [shared.value.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
-    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
