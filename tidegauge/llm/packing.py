@@ -22,7 +22,7 @@ OWN_QUEUES, SHARED_QUEUES = 192, 64
 #: Rows of (task, source) starts that may be broadcast, with names under 256 characters: some 15 MB at most.
 STARTS_BROADCAST = 50_000
 #: Texts and ids that are worked on at once, in characters or tokens.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 GOLDEN = 0.6180339887498949
 
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 MARKS = string.punctuation.replace("'", "")
 #: Words and chunks a worker remembers; when full, new ones are encoded and forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 #: Words that go to the tokenizer as one text.
 GROUP = 200
 
