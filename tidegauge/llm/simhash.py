@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -133,23 +133,25 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, segments
     return marks.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one whose id is the group's.
+def one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplicates, mark: Callable[[str | None], int] = fingerprint,
+                **options) -> DataFrame:
+    """``docs`` with one document of each group that ``groups`` gives, the one whose id is the group's.
 
     Rows that repeat both id and text count once. Rows without an id go if a document with an id is in their group; of
-    the others one stays for each fingerprint.
+    the others one stays for each ``mark``, or for each group if ``groups`` names its ``root``.
     """
-    near = cut_lineage(near_duplicates(docs, **options))
+    near = cut_lineage(groups(docs, **options))
     ids = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    open_marks = near.filter(F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
+    unnamed = F.col("component_id").isNull() & (F.col("fp") == F.col("root") if "root" in near.columns else F.lit(True))
+    open_marks = near.filter(unnamed).select(F.col("fp").alias("__fp")).distinct()
     if not open_marks.limit(1).count():
         return kept
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            marks = np.array([mark(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "__fp"])
     nameless = mapped(docs.filter(F.col("doc_id").isNull()), add, schema)
     return kept.unionByName(nameless.join(open_marks, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*docs.columns))
