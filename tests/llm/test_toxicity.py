@@ -58,3 +58,19 @@ def test_without_labels_the_lexicons_decide(spark):
     by = dict(rows(X.score(docs, detector), "doc_id", "toxicity"))
     assert by[None] > by[5000] and not detector.voters.mined
     assert X.score(docs.limit(0), detector).count() == 0
+
+
+def test_posteriors_of_documents_without_labels_train(spark):
+    r = np.random.default_rng(4)
+    data = []
+    for n in range(900):
+        words = [f"plain{r.integers(50)}" for _ in range(15)]
+        for word in ("idiot", "trash", "loser", "hate"):
+            if r.random() < (0.8 if n % 5 == 0 else 0.04):
+                words.append(word)
+        data.append((n, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    detector = X.fit(docs, labels, F.lit(True))
+    assert detector.labels.weight.any() and len(set(np.round(detector.weights[:-1], 3))) > 2  # not the lexicons as they are
+    assert detector.score("plain1 idiot trash loser") >= 0.3 > detector.score("plain1 plain2")

@@ -32,6 +32,8 @@ LEAST_SHARE, LEAST_ROWS = 0.003, 4
 SURE = 3.0
 #: Terms a task counts before it hands the counts on.
 HELD = 400_000
+#: Where no row is labelled, the classifier is trained on the posteriors of about so many documents, by a seeded hash.
+SAMPLED = 24_000
 #: Log odds that all voters together may reach; the correlations that were not found would overstate them.
 MOST = 3.5
 #: How often a label is taken to be right.
@@ -278,13 +280,15 @@ def _read_rows(voters: Voters):
     return read
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED) -> Detector:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED, sampled: int = SAMPLED) -> Detector:
     """Learns from ``docs`` (texts only) and from ``labels(doc_id, toxic)`` of rows where ``learn`` holds.
 
     1. Up to ``labelled`` rows of either class, those with the smallest seeded hash, are the labelled sample; lexicon
        terms are mined from it. 2. All documents vote; the moments of the votes give the label model. 3. The linear
        classifier is trained on the posterior labels of the sample, where a row's own label counts as one more voter that is
        right with probability ``GOLD``; rows are weighted back to the share of their class. 4. Its score is set to probabilities on the same rows.
+    Without labels 3. is done with the voters' posteriors of about ``sampled`` of all documents; if the voters tell nothing
+    either, the hand-written lexicons stay as they are.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(learn)
@@ -305,9 +309,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     model = fit_labels(sums[0], sums[1:1 + j], sums[1 + j:].reshape(j, j), prior)
     rows = mapped(sample, _read_rows(voters), "toxic int, votes array<tinyint>, active array<int>").collect()
     active = [r["active"] for r in rows]
-    if not rows:  # nothing to train on: the hand-written lexicons as they are
-        weights = np.zeros(voters.width + 1)
-        weights[:-1], weights[-1] = 2.5, -3.0
+    if not rows:
+        some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(13), "doc_id", F.col("text").cast("string")).alias("h")).filter(
+            F.col("h") <= F.lit(-(1 << 63) + min((1 << 64) - 1, int((1 << 64) * sampled / max(1.0, sums[0])))))
+        # equal rows are one with a count, so what is collected stays bounded however often a text is repeated
+        found = mapped(some.select("text", F.lit(None).cast("int").alias("toxic")), _read_rows(voters), "toxic int, votes array<tinyint>, active array<int>")
+        found = found.groupBy("votes", "active").agg(F.count(F.lit(1)).alias("n")).collect() if model.weight.any() else []
+        if found:
+            posterior = 1 / (1 + np.exp(-model.log_odds(np.array([r["votes"] for r in found], float))))
+            weights = fit_linear([r["active"] for r in found], voters.width, posterior, np.array([r["n"] for r in found], float))
+        else:  # nothing to train on: the hand-written lexicons as they are
+            weights = np.zeros(voters.width + 1)
+            weights[:-1], weights[-1] = 2.5, -3.0
         return Detector(voters, model, weights, 1.0, 0.0)
     gold = np.array([r["toxic"] for r in rows])
     share = np.where(gold == 1, prior / max(1, gold.sum()), (1 - prior) / max(1, (1 - gold).sum()))
