@@ -56,3 +56,64 @@ def test_query_columns(spark, tmp_path):
             words, len(at), min(at, default=None), max(at, default=None), ",".join(base))
         assert set(base) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     assert rows(license_scan(docs.limit(0)), "doc_id") == []
+
+
+def variants(pattern, r, count):
+    """Texts that a pattern is written to match: each choice, option, letter class and gap at random."""
+    from re import _parser
+
+    letters: dict[str, list[int]] = {}
+
+    def made(parsed):
+        out = b""
+        for kind, value in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += bytes([value])
+            elif kind == "IN":
+                if str(value) not in letters:
+                    letters[str(value)] = [b for b in range(256) if inside(value, b)]
+                out += bytes([r.choice(letters[str(value)])])
+            elif kind == "ANY":
+                out += b"x"
+            elif kind == "BRANCH":
+                out += made(r.choice(value[1]))
+            elif kind == "SUBPATTERN":
+                out += made(value[-1])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, body = value
+                out += b"".join(made(body) for _ in range(r.randint(low, min(int(high), low + 2))))
+            else:
+                assert kind in ("ASSERT_NOT", "ASSERT", "AT"), kind
+        return out
+
+    def inside(items, b):
+        hit, negate = False, False
+        for kind, value in items:
+            kind = str(kind)
+            negate |= kind == "NEGATE"
+            hit |= (kind == "LITERAL" and value == b) or (kind == "RANGE" and value[0] <= b <= value[1])
+            if kind == "CATEGORY":
+                hit |= bool(re.match({"CATEGORY_DIGIT": rb"\d", "CATEGORY_WORD": rb"\w", "CATEGORY_SPACE": rb"\s"}[str(value)], bytes([b])))
+        return hit != negate
+    parsed = _parser.parse(pattern.pattern, pattern.flags & ~re.ASCII)
+    return {made(parsed) for _ in range(count)}
+
+
+def test_what_a_pattern_matches_passes_its_gate():
+    import random
+
+    r = random.Random(5)
+    for rule in rules():
+        matching = [v for v in variants(rule.pattern, r, 60) if rule.pattern.search(v)]
+        assert matching, rule.label
+        for text in matching:
+            if rule.label == "bsd-2" and b"bsd" not in text:
+                continue  # "simplified license" alone names no license: here the keyword is a condition of its own
+            assert all(k in text for k in rule.keywords), (rule.label, rule.keywords, text)
+
+
+def test_open_rail_in_two_words():
+    assert [x for _, _, x, _ in scan("Attribution-NonCommercial-No Derivatives").found] == ["cc-by-nc-nd"]
+    for text in ("CreativeML Open RAIL-M License", "BigScience Open RAIL", "openrail", "OpenRAIL-M licence"):
+        assert [x for _, _, x, _ in scan(text).found] == ["openrail"], text

@@ -47,7 +47,7 @@ gpl-1 | 90 | general public licen | gnu general public licen[sc]e version 1
 gpl-1 | 88 | gpl | spdx license identifier gpl 1 0
 gpl | 80 | general public licen | gnu general public licen[sc]e
 gpl | 70 | gpl | gnu gpl
-gpl | 66 | gpl+licen | gpl(?: licen[sc]e)?
+gpl | 66 | gpl | gpl(?: licen[sc]e)?
 gpl | 60 | general public licen | general public licen[sc]e
 gpl-exception | 92 | gpl+classpath | gpl .{0,40}classpath exception
 gpl-exception | 90 | special exception | as a special exception (?:the copyright holders|you may|if other files)
@@ -180,13 +180,13 @@ spl | 82 | sun public licen | sun public licen[sc]e
 nasa | 86 | nasa open source | nasa open source agreement(?: (?:version )?1 3)?
 json | 90 | good not evil | (?:the )?software shall be used for good not evil
 hippocratic | 86 | hippocratic licen | hippocratic licen[sc]e(?: (?:version )?[123] [01])?
-openrail | 90 | openrail | (?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail | 90 | rail+open | (?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[sc]e)?
 llama | 86 | llama+licen | llama [23](?: [123])? community licen[sc]e
 gemma | 84 | gemma+terms | gemma terms of use
 cc0 | 100 | cc0 | (?:cc0 1 0 )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?
 cc0 | 90 | public domain dedication | (?:creative commons )?public domain dedication
 cc-pdm | 90 | public domain mark | public domain mark(?: 1 0)?
-cc-by-nc-nd | 98 | noncommercial+noderiv | attribution noncommercial no ?deriv(?:ative)?s?
+cc-by-nc-nd | 98 | noncommercial+deriv | attribution noncommercial no ?deriv(?:ative)?s?
 cc-by-nc-nd | 97 | non+commercial+deriv | attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?
 cc-by-nc-nd | 96 | cc+nc+nd | cc by nc nd(?: [1234] 0)?
 cc-by-nc-nd | 92 | by-nc-nd | licenses by nc nd
@@ -239,7 +239,9 @@ warranty | 48 | provided+as is | (?:is )?provided (?:by .{1,60}? )?as is
 warranty | 46 | merchantability | (?:implied )?warranties of merchantability
 notice | 44 | licen | licensed under (?:the )?(?:following )?(?:terms|conditions|licen[sc]es?)
 notice | 42 | licen | see (?:the )?(?:accompanying |included )?licen[sc]e(?: file| txt| md)?(?: for (?:more |further )?(?:details|information))
-notice | 40 | licen | this (?:work|file|program|library|software|project|material|content|article) is (?:free software|licensed|distributed)
+notice | 40 | free+software | this (?:work|file|program|library|software|project|material|content|article) is free software
+notice | 40 | licensed | this (?:work|file|program|library|software|project|material|content|article) is licensed
+notice | 40 | distributed | this (?:work|file|program|library|software|project|material|content|article) is distributed
 notice | 38 | license identifier | spdx license identifier [0-9a-z]+(?: [0-9a-z]+){0,3}
 dual | 36 | dual+licen | dual licensed(?: under)?
 """
