@@ -161,3 +161,16 @@ def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
     held_out = split_of("doc_id", 5) == 1
     return lm_scores(table(spark, folder, "documents"), ~held_out).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidegauge.llm.bytebpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return decode(ids, path, public_tokenizers.PATTERN).select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
