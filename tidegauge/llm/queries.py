@@ -174,3 +174,43 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decode(ids, path, public_tokenizers.PATTERN).select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op11_spelling", f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents),
+    met AS (
+        SELECT doc_id, run, count(*) AS n, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes
+        FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+    marked AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+                   list_prepend(4294967295, [CAST('0x' || hex(bytes)[2 * i - 1:2 * i] AS BIGINT) FOR i IN range(1, octet_length(bytes) + 1)]),
+                   lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS h
+        FROM met, crc_table),
+    typed AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    gaps AS MATERIALIZED (
+        SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS gap
+        FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM words)),
+    pairs AS (
+        SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n
+        FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word WHERE a.i = b.i OR a.i = 0 OR b.i = 0),
+    best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pairs GROUP BY word),
+    named AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form END AS form,
+               CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+        FROM words w LEFT JOIN best b ON w.word = b.word),
+    walk AS (
+        SELECT word, word AS root FROM named
+        UNION ALL SELECT walk.word, named.form FROM walk JOIN named ON walk.root = named.word WHERE named.form IS NOT NULL)
+    SELECT named.word, named.form, walk.root, named.n, named.n_near, named.form_n
+    FROM named JOIN walk ON walk.word = named.word JOIN named last ON last.word = walk.root AND last.form IS NULL""")
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"))
