@@ -68,10 +68,11 @@ def test_spans_of_long_texts_change_nothing(monkeypatch):
 
 def test_memory_of_missed_words_is_bounded(monkeypatch):
     monkeypatch.setattr(bytebpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bytebpe, "SPAN", 100)
     coder = ByteBPE(PATH, PATTERN)
-    texts = [" ".join(f"zq{n}xvw{n}" for n in range(500))] * 2
+    texts = [" ".join(f"zq{n}xvw{n}" for n in range(500)), "q" * 90] * 2
     assert [np.frombuffer(r, "<u4").tolist() for r in coder.encode(texts)] == PUBLIC.encode_ordinary_batch(texts)
-    assert len(coder.young) + len(coder.old) <= 20
+    assert len(coder.young) + len(coder.old) <= 120 and max(map(len, [*coder.young, *coder.old])) <= bytebpe.LONG
 
 
 def test_operator_on_odd_rows(spark):

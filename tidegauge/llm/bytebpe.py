@@ -16,8 +16,8 @@ from tidegauge.llm.common import mapped
 
 #: Characters of text that are encoded at once.
 SPAN = 1 << 20
-#: Missed pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+#: Missed pre-tokens that a worker remembers, in each of two generations; only those of at most ``LONG`` bytes.
+REMEMBERED, LONG = 200_000, 64
 #: Bits of a level of the perfect hash for each key that is still without a place.
 GAMMA = 2
 #: An odd factor of the rolling hash and its inverse modulo 2**64.
@@ -89,26 +89,27 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: of all neighbours the pair of lowest rank is joined, the leftmost first, until none is a token.
 
     Bytes are a linked list, pairs wait in a heap. An entry names where its pair starts and ends and is void once either part
-    has been joined to something else.
+    has been joined to something else. Entries are whole numbers: rank, start and end, one above the other.
     """
     size = len(piece)
-    after = list(range(1, size + 1))  # where the part that starts here ends; -1: no part starts here any more
-    before = list(range(-1, size - 1))  # where the part before this one starts
-    heap = [(rank, n, n + 2) for n in range(size - 1) if (rank := ranks.get(piece[n:n + 2])) is not None]
+    width = size.bit_length()
+    low = (1 << width) - 1
+    after = list(range(1, size + 2))  # where the part that starts here ends; 0: no part starts here any more
+    before = list(range(-1, size))  # where the part before this one starts
+    heap = [(ranks[pair] << width | n) << width | n + 2 for n in range(size - 1) if (pair := piece[n:n + 2]) in ranks]
     heapify(heap)
     while heap:
-        _, start, end = heappop(heap)
+        entry = heappop(heap)
+        end, start = entry & low, entry >> width & low
         middle = after[start]
-        if middle < 0 or middle >= size or after[middle] != end:
+        if not middle or middle >= end or after[middle] != end:
             continue
-        after[start], after[middle] = end, -1
-        if end < size:
-            before[end] = start
-            if (rank := ranks.get(piece[start:after[end]])) is not None:
-                heappush(heap, (rank, start, after[end]))
+        after[start], after[middle], before[end] = end, 0, start
+        if end < size and (pair := piece[start:after[end]]) in ranks:
+            heappush(heap, (ranks[pair] << width | start) << width | after[end])
         left = before[start]
-        if left >= 0 and (rank := ranks.get(piece[left:end])) is not None:
-            heappush(heap, (rank, left, end))
+        if left >= 0 and (pair := piece[left:end]) in ranks:
+            heappush(heap, (ranks[pair] << width | left) << width | end)
     out, start = [], 0
     while start < size:
         out.append(ranks[piece[start:after[start]]])
@@ -139,8 +140,8 @@ class ByteBPE:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _known(self, pieces: list[bytes], lengths: np.ndarray) -> np.ndarray:
         """Ids of the pieces that are tokens as a whole, -1 for the others; byte by byte equal, not only by hash."""
@@ -163,18 +164,20 @@ class ByteBPE:
         out[fits[equal]] = self.ids[number[equal]]
         return out
 
-    def _merged(self, piece: bytes) -> list[int]:
-        """Ids of a missed pre-token. What was met lately is remembered, so memory does not grow with the texts."""
-        found = self.young.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                found = merged(piece, self.ranks)
-            if len(piece) <= self.longest:
-                self.young[piece] = found
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-        return found
+    def _missed(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of missed pre-tokens. What was met lately is remembered: at most two generations and the words of one group of texts."""
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set(pieces).difference(young)
+        for piece in new:
+            found = old.get(piece)
+            young[piece] = np.array(merged(piece, self.ranks), "<u4").tobytes() if found is None else found
+        out = list(map(young.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > LONG:
+                del young[piece]
+        return out
 
     def _spans(self, text: str) -> Iterator[str]:
         """The text in spans of some ``SPAN`` characters; pre-tokens never cross from one into the next."""
@@ -195,10 +198,10 @@ class ByteBPE:
         ids = self._known(pieces, lengths)
         counts = np.ones(len(pieces), np.int64)
         missed = np.flatnonzero(ids < 0)
-        parts = [self._merged(pieces[n]) for n in missed.tolist()]
-        counts[missed] = np.fromiter(map(len, parts), np.int64, len(parts))
+        parts = self._missed([pieces[n] for n in missed.tolist()])
+        counts[missed] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.repeat(ids, counts)
-        flat[np.repeat(ids < 0, counts)] = np.fromiter((i for p in parts for i in p), np.int64, int(counts[missed].sum()))
+        flat[flat < 0] = np.frombuffer(b"".join(parts), "<u4")
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, split)])]
         return [flat[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:])]
 
