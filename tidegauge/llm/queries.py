@@ -214,3 +214,45 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     from tidegauge.llm.variants import spelling_variants
 
     return spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie", f"""
+    WITH {CRC_TABLE},
+    places AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+               coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (
+        SELECT conv_id, xor(4294967295, list_reduce(
+                   list_prepend(4294967295, [CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT) FOR i IN range(1, length(CAST(conv_id AS VARCHAR)) + 1)]),
+                   lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 6 AS head
+        FROM (SELECT DISTINCT conv_id FROM places), crc_table),
+    rebuilt AS (
+        SELECT conv_id, place, role, text FROM places JOIN ids USING (conv_id) WHERE place > head
+        UNION ALL
+        SELECT ids.conv_id, place, role, text FROM ids JOIN places ON places.conv_id = ids.conv_id - ids.conv_id % 100 AND place <= head),
+    paths AS (
+        SELECT conv_id, length(text) AS letters, list(md5(md5(role) || md5(text))) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS seq
+        FROM rebuilt
+        UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[]) FROM ids),
+    nodes AS MATERIALIZED (
+        SELECT seq, min(conv_id) AS conv_id, len(seq) AS depth, count(*) AS n_convs, max(letters) AS letters FROM paths GROUP BY seq),
+    children AS (SELECT seq[1:depth - 1] AS seq, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    below AS (
+        SELECT seq[1:d] AS seq, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+        FROM (SELECT n.seq, unnest(range(0, depth + 1)) AS d, CAST(n_children IS NULL AS INTEGER) AS leaf, (n_convs - 1) * letters AS saved
+              FROM nodes n LEFT JOIN children c ON n.seq = c.seq)
+        GROUP BY 1),
+    ends AS (
+        SELECT seq, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+        FROM (SELECT conv_id, arg_max(seq, len(seq)) AS seq FROM paths GROUP BY conv_id) GROUP BY seq)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.seq = n.seq[1:n.depth - 1] LEFT JOIN children c ON c.seq = n.seq
+         JOIN below b ON b.seq = n.seq LEFT JOIN ends e ON e.seq = n.seq""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tidegauge.llm.common import written
+    from tidegauge.llm.convtrie import heads_taken_over, prefix_trie, turn_digests
+
+    turns = written(turn_digests(table(spark, folder, "conversations")))
+    return prefix_trie(turns.select("conv_id").distinct(), heads_taken_over(turns, block=100, most=6))

@@ -72,7 +72,7 @@ def _paths(words: DataFrame) -> DataFrame:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for back in (False, True):
                     read, node = (word[::-1] if back else word) + END, xxhash.xxh64(seed=int(back))
-                    first = (len(word) - 1) // 2
+                    first = max(0, len(word) - 1) // 2
                     node.update(read[:first].encode())
                     for pos in range(first, len(read)):
                         out.append((back, word, n, pos, node.intdigest() - (1 << 63), read[pos]))
