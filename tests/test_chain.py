@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from conftest import rows
 from tidegauge.operators import interest as I
-from tidegauge.operators.chain import spaced_picks, summarise, walk
+from tidegauge.operators.chain import applied, composed, spaced_picks, summarise, walk
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +23,23 @@ def test_summary_is_the_walk_as_a_function(run, state):
     assert out == walk(state, triggers, afters)[1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 90)), min_size=1, max_size=40), st.integers(0, 40), st.integers(0, 100), st.integers(0, 100))
+def test_composed_summaries_are_the_walk_over_both(run, cut, state, most):
+    state = min(state, most)
+    halves = [([t for t, _ in part], [a for _, a in part]) for part in (run[:cut], run[cut:])]
+    between = max([most, *halves[0][1]])
+    both = composed(summarise(*halves[0], most), summarise(*halves[1], between))
+    assert applied(both, state) == walk(state, [t for t, _ in run], [a for _, a in run])[1]
+    assert all(a[1] != b[0] or a[2] != b[2] for a, b in zip(both, both[1:])), "neighbours with one outcome are one range"
+
+
+def test_summary_of_a_hot_key_is_as_long_as_its_outcomes():
+    gap, times = 60, list(range(1000, 21_000))
+    made = summarise(times, [t + gap for t in times], most=999 + gap)
+    assert len(made) == len({out for _, _, out in made}) == gap
+
+
 def greedy(times, gap):
     last, picked = None, []
     for t in times:
