@@ -64,7 +64,7 @@ def _paths(words: DataFrame) -> DataFrame:
     """``back, word, n, pos, node, next``: the trie nodes on each word's path, from a little before its middle.
 
     There is a trie of the words and one of the words read backwards. A node is the hash of the letters before it, ``next`` the
-    letter by which the word leaves it (``END`` at its end).
+    code of the letter by which the word leaves it (``END`` at its end).
     """
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -75,7 +75,7 @@ def _paths(words: DataFrame) -> DataFrame:
                     first = max(0, len(word) - 1) // 2
                     node.update(read[:first].encode())
                     for pos in range(first, len(read)):
-                        out.append((back, word, n, pos, node.intdigest() - (1 << 63), read[pos]))
+                        out.append((back, word, n, pos, node.intdigest() - (1 << 63), ord(read[pos])))
                         node.update(read[pos].encode())
                     if len(out) >= BATCH:
                         yield made(out)
@@ -84,9 +84,9 @@ def _paths(words: DataFrame) -> DataFrame:
             yield made(out)
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+        kinds = (pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["back", "word", "n", "pos", "node", "next"])
-    return mapped(words.select("word", "n"), compute, "back boolean, word string, n bigint, pos int, node bigint, next string")
+    return mapped(words.select("word", "n"), compute, "back boolean, word string, n bigint, pos int, node bigint, next int")
 
 
 def _read() -> Column:
@@ -103,16 +103,16 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The states without an edit, ``back, word, pos, node``, and the edge table, ``node, edges``.
 
     Nodes with one way on are left out, so an edge has a label of one letter or more and words share an edge where they
-    share its letters. ``edges`` lists a node's edges ``(label, child, target, target_n)``; the last two are set where a word ends. A
-    node has no more edges than there are letters.
+    share its letters. ``edges`` lists a node's edges ``(label, child, onward, target, target_n)``; the last two are set where a word ends,
+    ``onward`` tells by which letters (their codes modulo 64, as bits) the child can be left. A node has no more edges than there are letters.
     """
     rows = _paths(words)
-    forks = rows.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).filter("a <> b").select("node")
-    met = rows.drop("next").join(forks, "node", "left_semi")
-    path = written(met.groupBy("back", "word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("path")))
+    forks = rows.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.bit_or(F.expr("shiftleft(1L, next % 64)")).alias("onward"))
+    met = rows.drop("next").join(forks.filter("a <> b").select("node", "onward"), "node")
+    path = written(met.groupBy("back", "word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "onward"))).alias("path")))
     at, after = F.col("step"), F.get("path", F.col("i") + 1)
     size = F.coalesce(after["pos"], F.char_length("read")) - at["pos"]
-    edge = F.struct(_part(F.col("read"), at["pos"], size).alias("label"), after["node"].alias("child"),
+    edge = F.struct(_part(F.col("read"), at["pos"], size).alias("label"), after["node"].alias("child"), after["onward"].alias("onward"),
                     F.when(after.isNull(), F.col("word")).alias("target"), F.when(after.isNull(), F.col("n")).alias("target_n"))
     steps = path.withColumn("read", _read()).select("*", F.posexplode("path").alias("i", "step"))
     edges = steps.select(at["node"].alias("node"), edge.alias("edge")).groupBy("node").agg(F.collect_set("edge").alias("edges"))
@@ -138,8 +138,9 @@ def _advance(states: DataFrame, edges: DataFrame, first: bool) -> DataFrame:
         met = met.withColumn("end", F.explode(ends))
     else:
         met = met.filter(label == _part(read, pos, size)).withColumn("end", pos + size)
-    done = F.col("edge.target").isNotNull()
-    return met.filter(~done | (F.col("end") == F.char_length(read))).select(
+    # a word goes on only where some word goes on by its next letter
+    goes_on = F.expr("shiftright(edge.onward, ascii(substring(read, end + 1, 1)) % 64) & 1") == 1
+    return met.filter(F.when(F.col("edge.target").isNotNull(), F.col("end") == F.char_length(read)).otherwise((F.col("end") < F.char_length(read)) & goes_on)).select(
         "back", "word", F.col("end").alias("pos"), F.col("edge.child").alias("node"), "edge.target", "edge.target_n")
 
 
