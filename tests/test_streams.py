@@ -4,12 +4,40 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from conftest import rows
 from tidegauge.operators import interest as I, ledger as L, temporal as T
 from tidegauge.operators.ordered import ordered, position
-from tidegauge.streaming import streams as S
+from tidegauge.plans import catalog
+from tidegauge.streaming import processors as P, streams as S
+
+
+STREAMS = ["stream_feed", "cooldown_stream", "quest_fire_stream", "first_hit_stream", "journal_stream", "receipt_ledger", "witness_stream", "hysteresis_stream",
+           "lease_stream", "tick_stream", "liveness_stream"]
+
+
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """Each task of a stateful operator starts a Python worker in each micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_queries_in_seven_batches(spark, name):
+    folder = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").count()
+    spark.conf.set("tidegauge.replayRows", 900 if name in ("journal_stream", "receipt_ledger", "lease_stream") else -(-events // 7))
+    try:
+        ok, note, _ = oracle.compare(spark, oracle.connect(folder), name, catalog.QUERIES[name], catalog.ORACLES[name], folder)
+    finally:
+        spark.conf.unset("tidegauge.replayRows")
+    assert ok, note
 
 
 def drained(df, tmp_path, at, make, batch_rows=60):
@@ -69,6 +97,88 @@ def test_ticks_wait_for_a_full_window(spark, tmp_path):
     assert rows(out, *names) == rows(T.tick_windows(ticks, "stream", ["us", "tick"], ["total_ms"], ["sent"], "total_ms"), *names)
 
 
+def test_intervals_are_a_set():
+    rng = random.Random(6)
+    for _ in range(50):
+        seen, ranges = set(), P.Intervals([])
+        for n in [rng.randrange(60) for _ in range(80)]:
+            assert ranges.add(n) == (n not in seen)
+            seen.add(n)
+        assert {n for a, b in zip(ranges.starts, ranges.ends) for n in range(a, b + 1)} == seen
+        assert all(b + 1 < a for b, a in zip(ranges.ends, ranges.starts[1:]))
+
+
+def test_ledger_sheds_once_a_batch_however_micro_batches_are_cut(spark, tmp_path):
+    data = [("receipt", s, s // 10, s) for s in range(1, 60)] + [("ack", 59, 6, 0), ("ack", 59, 6, 1), ("ack", 1, 6, 2)]
+    df = spark.createDataFrame(data, "kind string, seq bigint, us bigint, line bigint").selectExpr("1L AS window_id", "2L AS recipient_id", "*")
+    found = set()
+    for n in (4, 25, 1000):  # micro-batches end inside a batch
+        out = drained(df, tmp_path / str(n), "us", lambda s: S.receipt_ledger(s, 20), n)
+        found.add(tuple(out.orderBy(F.desc("receipts"), F.desc(F.col("acked") + F.col("unknown_acks"))).drop("batch_us").first()))
+    # batches of ten: 29 wait after the third, so 9 and a tenth of the bound go; 28 after the fourth, and so on
+    assert found == {(1, 2, 59, 59, 0, 1, 1, 41, 17, 1, 59, 0)}
+
+
+def test_state_of_seen_sequences_grows_with_gaps(spark, tmp_path):
+    df = spark.range(1, 2001).filter("id <> 700").selectExpr("'receipt' AS kind", "id AS seq", "id AS us", "id AS line", "1L AS window_id", "2L AS recipient_id")
+    drained(df, tmp_path, "us", lambda s: S.receipt_ledger(s, 50), 500)
+    kept = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "run" / "checkpoint"))
+    assert sorted(tuple(r) for r in kept.selectExpr("user_map_key.first", "user_map_value.last").collect()) == [(1, 699), (701, 2000)]
+
+
+def test_witnesses_and_cooldowns_are_forgotten(spark, tmp_path):
+    hour = 3_600_000_000
+    df = spark.createDataFrame([(b, w, t * hour + w, 10 * t + w) for t in range(1, 9) for b in range(3) for w in range(4)], "basis bigint, witness bigint, at bigint, report_id bigint")
+    out = drained(df, tmp_path, "at", lambda s: S.witness_stream(s, 1_000_000), 30)
+    assert rows(out, "report_id", "action") == rows(I.witness_merge(df, 1_000_000), "report_id", "action")
+    kept = spark.read.format("statestore").option("stateVarName", "heard").load(str(tmp_path / "run" / "checkpoint"))
+    assert kept.count() == 12, "the witnesses of the last action of three bases"
+    quests = spark.createDataFrame([("q", "kill", "", None, False, None)], QUEST)
+    events = spark.createDataFrame([("p", t * hour, t, "kill", f"key{t}") for t in range(1, 40)], "player string, us bigint, id bigint, event_name string, dedupe_key string").selectExpr(
+        "*", "'x' AS target", "'y' AS weapon_skill", "true AS projectile", "map('a', 'b') AS fields")
+    out = drained(events, tmp_path / "quest", "us", lambda s: S.quest_fire_stream(s, quests, ["player"], "us", ["id"], hour, hour), 8)
+    assert dict(rows(out, "id", "fired")) == dict.fromkeys(range(1, 40), True)
+    kept = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "quest" / "run" / "checkpoint"))
+    assert kept.count() < 14, "keys of passed events are gone"
+
+
+def test_quests_in_a_stream_and_in_batch(spark, tmp_path):
+    rng = random.Random(8)
+    data = [(rng.choice("ab"), rng.randrange(4000) * 1000, n, rng.choice(["Kill", "Slay", "Cut"]), rng.choice(["x", "y", " ", None])) for n in range(300)]
+    events = spark.createDataFrame(data, "player string, us bigint, id bigint, event_name string, dedupe_key string").selectExpr(
+        "*", "CASE id % 3 WHEN 0 THEN 'Troll(Clone)' ELSE 'Boar' END AS target", "'Bows' AS weapon_skill", "id % 2 = 0 AS projectile", "map('a', 'b') AS fields")
+    quests = spark.createDataFrame([("q1", "kill", "troll_or_deer", "", False, None), ("q2", "slay", "any", "bows", True, {"a": "any"}), ("q3", "cut", "", None, False, {"c": "d"})], QUEST)
+    want = quest_walk(sorted(data, key=lambda r: (r[1], r[2])), 60_000, 25_000)
+    alias = {"slay": "kill"}
+    for limit in (None, 25):
+        assert rows(I.quest_fire(events, quests, ["player"], "us", ["id"], 60_000, 25_000, alias, limit), "id", "quest_id", "fired") == want
+    out = drained(events, tmp_path, "us", lambda s: S.quest_fire_stream(s, quests, ["player"], "us", ["id"], 60_000, 25_000, alias))
+    assert rows(out, "id", "quest_id", "fired") == want
+    free = I.quest_fire(events, quests, ["player"], "us", ["id"], 0, 0, alias)
+    assert free.filter("fired").count() == free.count() > len(want)
+
+
+QUEST = "quest_id string, trigger_event string, trigger_target string, trigger_weapon string, trigger_projectile boolean, trigger_where map<string,string>"
+
+
+def quest_walk(data, cooldown, window):
+    """One player's evaluator after another, event by event."""
+    used, fired, out = {}, {}, []
+    for player, at, n, name, key in data:
+        name = {"slay": "kill"}.get(name.lower(), name.lower())
+        if key and key.strip():
+            last = used.get((player, name, key))
+            if last is not None and at - last < window:
+                continue
+            used[player, name, key] = at
+        for quest, fits in (("q1", name == "kill" and n % 3 == 0), ("q2", name == "kill" and n % 2 == 0)):
+            if fits:
+                take = (player, quest) not in fired or at - fired[player, quest] >= cooldown
+                fired[player, quest] = at if take else fired[player, quest]
+                out.append((n, quest, take))
+    return sorted(out, key=repr)
+
+
 def test_ledger_sheds_the_oldest_in_batches(spark, tmp_path):
     data = [("receipt", s, s, s) for s in range(1, 24)] + [("ack", 23, 30, 0), ("ack", 1, 31, 0), ("receipt", 23, 40, 50)]
     df = spark.createDataFrame(data, "kind string, seq bigint, us bigint, line bigint").selectExpr("1L AS window_id", "2L AS recipient_id", "*")
@@ -81,7 +191,7 @@ def test_ledger_sheds_the_oldest_in_batches(spark, tmp_path):
 def test_liveness_expires_by_event_time(spark, tmp_path):
     data = [("a", 1000), ("b", 1006), ("d", 1030), ("b", 1031), ("c", 1100), ("c", 1200)]
     df = spark.createDataFrame(data, "k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
-    out = drained(df, tmp_path, "s", lambda s: S.liveness_stream(s, "k", "ts", 15_000), 1)
+    out = drained(df, tmp_path, "s", lambda s: S.liveness_stream(s, "k", "ts", 15_000, "0 seconds"), 1)
     assert {r[0] for r in rows(out.filter("live"), "key")} == {"a", "b", "c", "d"}
     dead = rows(out.filter("not live"), "key", "ms")
     assert ("a", 1_015_000) in dead and ("d", 1_045_000) in dead and "c" not in {k for k, ms in dead if ms > 1_200_000}

@@ -105,6 +105,12 @@ def tag_lookup(posts: DataFrame, tags: dict[int, str], audience_tags: dict[str,
         (F.size("reasons") == 0).alias("publishable"), "reasons")
 
 
+def canonical_event(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The lower-case name under which events and triggers meet; ``aliases`` maps other lower-case names to it."""
+    low = F.lower(name)
+    return F.coalesce(F.create_map(*[F.lit(x) for p in aliases.items() for x in p])[low], low) if aliases else low
+
+
 def trigger_match(events: DataFrame, quests: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Quest x event pairs whose trigger fits.
 
@@ -113,13 +119,8 @@ def trigger_match(events: DataFrame, quests: DataFrame, aliases: dict[str, str]
     """
     from tidegauge.runtime import small_side
 
-    names = aliases or {}
-    alias = F.create_map(*[F.lit(x) for p in names.items() for x in p]) if names else None
-    def canonical(c: Column) -> Column:
-        low = F.lower(c)
-        return F.coalesce(alias[low], low) if names else low
-    want = small_side(quests.withColumn("__event", canonical(F.col("trigger_event"))))
-    seen = events.withColumn("__event", canonical(F.col("event_name")))
+    want = small_side(quests.withColumn("__event", canonical_event(F.col("trigger_event"), aliases)))
+    seen = events.withColumn("__event", canonical_event(F.col("event_name"), aliases))
     target = F.trim(F.regexp_replace(F.lower(F.coalesce("target", F.lit(""))), r"\(clone\)", ""))
     wish = F.lower(F.coalesce("trigger_target", F.lit("")))
     parts = F.filter(F.split(wish, "_or_"), lambda p: p != "")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from tidegauge.operators import interest as I
 from tidegauge.plans.bindings import bind
 from tidegauge.plans.registry import query
+from tidegauge.runtime import literal_rows
 
 HOUR = 3_600_000_000
 
 
-def spaced_sql(source: str, keys: str, gap: int) -> str:
+def spaced_sql(source: str, keys: str, gap: int, src: str = "src", p: str = "p") -> str:
     """Greedy spacing in the checking engine: from each pick to the first row far enough behind it."""
-    on = " AND ".join(f"e.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
+    on = " AND ".join(f"e.{k.strip()} = {p}.{k.strip()}" for k in keys.split(","))
     each = ", ".join(f"e.{k.strip()}" for k in keys.split(","))
-    return f"""src AS ({source}),
-    p AS (SELECT {keys}, MIN(us) AS us FROM src GROUP BY {keys} UNION ALL SELECT {each}, MIN(e.us) FROM p JOIN src e ON {on} AND e.us >= p.us + {gap} GROUP BY {each})"""
+    return f"""{src} AS ({source}),
+    {p} AS (SELECT {keys}, MIN(us) AS us FROM {src} GROUP BY {keys} UNION ALL SELECT {each}, MIN(e.us) FROM {p} JOIN {src} e ON {on} AND e.us >= {p}.us + {gap} GROUP BY {each})"""
 
 
 @query("cooldown_fire", f"""
@@ -27,6 +28,39 @@ def cooldown_fire(spark, sf):
     return I.cooldown_fire(ev, ["actor_id", "event_type"], "us", ["event_id"], 12 * HOUR).select("event_id", "fired")
 
 
+# Fixed parameters of the quest queries: which quests listen to a player's events.
+QUESTS = [("q1", "click", "troll_or_dwarf", "", False, {"region": "region-1"}), ("q2", "Look", "any", None, True, None), ("q3", "purchase", "", "bows", False, {"region": "any"}),
+          ("q4", "view", "", None, False, None), ("q5", "nothing", "", None, False, None)]
+QUEST_ALIASES = {"look": "view"}
+MATCHED = """SELECT fresh.*, quest_id FROM fresh JOIN (VALUES ('q1', 'click'), ('q2', 'view'), ('q3', 'purchase'), ('q4', 'view')) q(quest_id, name) ON event_type = name
+      WHERE quest_id = 'q4' OR (quest_id = 'q1' AND k % 3 < 2 AND region_id = 'region-1') OR (quest_id = 'q2' AND k % 2 = 0) OR (quest_id = 'q3' AND actor_id % 2 = 0)"""
+QUEST_FIRE = f"""
+    WITH RECURSIVE ev AS (SELECT guild_id, event_type, us, event_id, k, region_id, actor_id, CASE WHEN k % 4 = 1 THEN '  ' WHEN k % 4 > 1 THEN 'v' || CAST(k % 23 AS VARCHAR) END AS dedupe_key
+      FROM b_events WHERE event_type IN ('click', 'view', 'purchase')),
+    {spaced_sql("SELECT * FROM ev WHERE trim(dedupe_key) <> ''", "guild_id, event_type, dedupe_key", 20 * HOUR, "keyed", "kept")},
+    fresh AS (SELECT * FROM ev WHERE trim(coalesce(dedupe_key, '')) = '' UNION ALL SELECT keyed.* FROM keyed JOIN kept USING (guild_id, event_type, dedupe_key, us)),
+    {spaced_sql(MATCHED, "guild_id, quest_id", 12 * HOUR, "matched", "fires")}
+    SELECT m.event_id, m.quest_id, m.guild_id AS player, f.us IS NOT NULL AS fired FROM matched m LEFT JOIN fires f ON f.guild_id = m.guild_id AND f.quest_id = m.quest_id AND f.us = m.us"""
+
+
+def quest_inputs(spark, sf):
+    """Events of players and the quests."""
+    k = F.col("k")
+    events = bind(spark, sf, "b_events").select(
+        F.col("guild_id").alias("player"), "us", "event_id", F.initcap("event_type").alias("event_name"),
+        F.when(k % 3 == 0, "Troll(Clone)").when(k % 3 == 1, "Greydwarf").otherwise("Boar").alias("target"),
+        F.when(F.col("actor_id") % 2 == 0, "Bows").otherwise("Swords").alias("weapon_skill"), (k % 2 == 0).alias("projectile"),
+        F.create_map(F.lit("region"), F.upper("region_id")).alias("fields"),
+        F.when(k % 4 == 1, "  ").when(k % 4 > 1, F.concat(F.lit("v"), (k % 23).cast("string"))).alias("dedupe_key"))
+    quests = literal_rows(spark, QUESTS, "quest_id string, trigger_event string, trigger_target string, trigger_weapon string, trigger_projectile boolean, trigger_where map<string,string>")
+    return events, quests
+
+
+@query("quest_fire", QUEST_FIRE)
+def quest_fire(spark, sf):
+    return I.quest_fire(*quest_inputs(spark, sf), ["player"], "us", ["event_id"], 12 * HOUR, 20 * HOUR, QUEST_ALIASES).select("event_id", "quest_id", "player", "fired")
+
+
 @query("drop_repeats", f"""
     WITH RECURSIVE {spaced_sql("SELECT event_type, guild_id, us, event_id FROM b_events WHERE guild_id <> 3", "event_type, guild_id", 2 * HOUR)}
     SELECT s.event_id FROM src s JOIN p ON p.event_type = s.event_type AND p.guild_id = s.guild_id AND p.us = s.us

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.plans.bindings import bind, table
-from tidegauge.plans.interest import HITS, HOUR, HYSTERESIS, WITNESS, spaced_sql
+from tidegauge.plans.interest import HITS, HOUR, HYSTERESIS, QUEST_ALIASES, QUEST_FIRE, WITNESS, quest_inputs, spaced_sql
 from tidegauge.plans.ledgers import LEASES, _lease_ops
 from tidegauge.plans.registry import query
 from tidegauge.sources.sinks import scratch
@@ -39,6 +39,13 @@ def cooldown_stream(spark, sf):
     return _drain(spark, out, "cooldown-out").select("event_id", "picked")
 
 
+@query("quest_fire_stream", QUEST_FIRE)
+def quest_fire_stream(spark, sf):
+    events, quests = quest_inputs(spark, sf)
+    out = S.quest_fire_stream(_stream(spark, events, "quests", "us"), quests, ["player"], "us", ["event_id"], 12 * HOUR, 20 * HOUR, QUEST_ALIASES)
+    return _drain(spark, out, "quests-out").select("event_id", "quest_id", "player", "fired")
+
+
 @query("first_hit_stream", f"""
     WITH RECURSIVE {spaced_sql(f"SELECT *, CASE WHEN death THEN -1 ELSE deaths END AS part FROM ({HITS}) h", "target_id, part", 6 * HOUR)}
     SELECT s.event_id AS hit_id, CASE WHEN p.us IS NULL THEN 'none' WHEN death THEN 'killing_blow' ELSE 'first_hit' END AS emitted
@@ -62,19 +69,34 @@ def journal_stream(spark, sf):
     return _drain(spark, out, "journal-out").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("object_revision").alias("revisions"))
 
 
-@query("receipt_ledger", """
-    SELECT window_id, recipient_id, COUNT(*) AS receipts, COUNT(DISTINCT seq) AS distinct_seq, COUNT(*) - COUNT(DISTINCT seq) AS duplicates, COUNT(DISTINCT CASE WHEN acked THEN seq END) AS acked,
-      COUNT(DISTINCT seq) - COUNT(DISTINCT CASE WHEN acked THEN seq END) AS pending, MIN(seq) AS min_seq, MAX(seq) AS max_seq, GREATEST(0, MAX(seq) - COUNT(DISTINCT seq)) AS missing, CAST(0 AS BIGINT) AS shed
-    FROM b_receipts GROUP BY window_id, recipient_id""")
+# Sequences that may wait, so that many recipients shed some.
+MAX_PENDING = 40
+
+
+@query("receipt_ledger", f"""
+    WITH RECURSIVE g AS (SELECT window_id, recipient_id, us, list(DISTINCT seq) AS seqs, ROW_NUMBER() OVER (PARTITION BY window_id, recipient_id ORDER BY us) AS n FROM b_receipts GROUP BY 1, 2, 3),
+    w AS (SELECT window_id, recipient_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS waiting, CAST(0 AS BIGINT) AS shed FROM g WHERE n = 1
+      UNION ALL SELECT window_id, recipient_id, n, CASE WHEN over > 0 THEN list_sort(pool)[over + {MAX_PENDING // 10 + 1}:] ELSE pool END, shed + CASE WHEN over > 0 THEN over + {MAX_PENDING // 10} ELSE 0 END
+      FROM (SELECT g.window_id, g.recipient_id, g.n, w.shed, list_distinct(list_concat(waiting, seqs)) AS pool, len(list_distinct(list_concat(waiting, seqs))) - {MAX_PENDING} AS over
+            FROM w JOIN g ON g.window_id = w.window_id AND g.recipient_id = w.recipient_id AND g.n = w.n + 1) x),
+    last AS (SELECT window_id, recipient_id, arg_max(waiting, n) AS waiting, arg_max(shed, n) AS shed FROM w GROUP BY 1, 2),
+    acks AS (SELECT window_id, recipient_id, list(DISTINCT seq) AS seqs FROM b_receipts WHERE acked GROUP BY 1, 2),
+    t AS (SELECT window_id, recipient_id, COUNT(*) AS receipts, COUNT(DISTINCT seq) AS distinct_seq, MIN(seq) AS min_seq, MAX(seq) AS max_seq FROM b_receipts GROUP BY 1, 2)
+    SELECT t.window_id, t.recipient_id, receipts, distinct_seq, receipts - distinct_seq AS duplicates, CAST(len(list_intersect(waiting, coalesce(seqs, []))) AS BIGINT) AS acked,
+      CAST(len(coalesce(seqs, [])) - len(list_intersect(waiting, coalesce(seqs, []))) AS BIGINT) AS unknown_acks, CAST(len(waiting) - len(list_intersect(waiting, coalesce(seqs, []))) AS BIGINT) AS pending,
+      min_seq, max_seq, GREATEST(0, max_seq - distinct_seq) AS missing, CAST(shed AS BIGINT) AS shed
+    FROM t JOIN last USING (window_id, recipient_id) LEFT JOIN acks USING (window_id, recipient_id)""")
 def receipt_ledger(spark, sf):
+    """Status after all receipts and acks; each recipient's oldest pending sequences are shed whenever more than ``MAX_PENDING`` wait."""
     rows = bind(spark, sf, "b_receipts")
     receipts = rows.select("window_id", "recipient_id", "seq", "us", "line", F.lit("receipt").alias("kind"))
     acks = rows.filter("acked").select("window_id", "recipient_id", "seq").distinct().select(
         "window_id", "recipient_id", "seq", F.lit(4_000_000_000_000_000).alias("us"), F.lit(0).cast("bigint").alias("line"), F.lit("ack").alias("kind"))
-    out = S.receipt_ledger(_stream(spark, receipts.unionByName(acks), "receipts", "us"), 10_000_000)
-    # a row per key and micro-batch; the counts only grow, so the largest is the last
-    last = F.max_by(F.struct("*"), F.struct("receipts", "acked", "shed"))
-    return _drain(spark, out, "receipts-out").groupBy("window_id", "recipient_id").agg(last.alias("r")).select("r.*").select("window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "pending", "min_seq", "max_seq", "missing", "shed")
+    out = S.receipt_ledger(_stream(spark, receipts.unionByName(acks), "receipts", "us"), MAX_PENDING)
+    # a row per key and micro-batch; these counts only grow, so the largest is the last
+    last = F.max_by(F.struct("*"), F.struct("receipts", F.col("acked") + F.col("unknown_acks")))
+    return _drain(spark, out, "receipts-out").groupBy("window_id", "recipient_id").agg(last.alias("r")).select("r.*").select(
+        "window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "unknown_acks", "pending", "min_seq", "max_seq", "missing", "shed")
 
 
 @query("witness_stream", WITNESS)
@@ -108,9 +130,16 @@ def tick_stream(spark, sf):
     return _drain(spark, S.tick_stream(_stream(spark, ticks, "ticks", "us")), "ticks-out")
 
 
-@query("liveness_stream", "SELECT user_id AS key, MIN(epoch_us(ts)) // 1000 AS ms FROM events GROUP BY user_id")
+# A lease of so many milliseconds, so that most keys lose and renew theirs several times.
+LEASE_MS = 5 * 86_400_000 + 1
+
+
+@query("liveness_stream", f"""
+    WITH t AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 1000 AS ms FROM events),
+    g AS (SELECT key, ms, LAG(ms) OVER w AS before, LEAD(ms) OVER w AS after, MAX(ms) OVER () AS newest FROM t WINDOW w AS (PARTITION BY key ORDER BY ms))
+    SELECT key, ms, TRUE AS live FROM g WHERE before IS NULL OR ms - before >= {LEASE_MS}
+    UNION ALL SELECT key, ms + {LEASE_MS}, FALSE FROM g WHERE after - ms >= {LEASE_MS} OR (after IS NULL AND ms + {LEASE_MS} <= newest - 600000)""")
 def liveness_stream(spark, sf):
-    """Keys and the time they came to life, their first touch; the lease is longer than the table, so nothing expires."""
+    """Every life of a key: its first touch and the end of its lease, told by the next touch or by a timer of the watermark."""
     ev = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    out = S.liveness_stream(_stream(spark, ev, "touches", "ms"), "user_id", "ts", 1 << 50)
-    return _drain(spark, out, "touches-out").filter("live").select("key", "ms")
+    return _drain(spark, S.liveness_stream(_stream(spark, ev, "touches", "ms"), "user_id", "ts", LEASE_MS), "touches-out")

@@ -14,7 +14,10 @@ GROUP_ROWS = "tidegauge.groupRows"
 #: A side at or under this many rows may be broadcast.
 BROADCAST_ROWS = "tidegauge.broadcastRows"
 
-DEFAULTS = {GROUP_ROWS: 2_000_000, BROADCAST_ROWS: 200_000}
+#: A replayed table at or under this many rows is one micro-batch; a larger one comes in micro-batches of that size.
+REPLAY_ROWS = "tidegauge.replayRows"
+
+DEFAULTS = {GROUP_ROWS: 2_000_000, BROADCAST_ROWS: 200_000, REPLAY_ROWS: 5_000_000}
 
 
 def setting(spark: SparkSession, name: str) -> int:

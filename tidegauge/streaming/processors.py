@@ -6,7 +6,9 @@ not depend on how rows are cut into batches as long as they arrive in order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,20 +22,25 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 class SpacedPicks(StatefulProcessor):
     """First row of a key and then each row at least ``gap`` after the last picked one (cooldown, first hit, thinning).
 
-    A row whose ``always`` flag is set is picked in any case and restarts the clock.
+    A row whose ``always`` flag is set is picked in any case and restarts the clock. With ``forget`` (times are microseconds) a
+    key's state goes as soon as the watermark is past the gap: any later row would be picked anyway.
     """
 
-    def __init__(self, gap: int, order: list[str], columns: list[str], reset: str | None = None):
-        self.gap, self.order, self.columns, self.reset = gap, order, columns, reset
+    def __init__(self, gap: int, order: list[str], columns: list[str], reset: str | None = None, forget: bool = False):
+        self.gap, self.order, self.columns, self.reset, self.forget = gap, order, columns, reset, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "at bigint")
 
+    def _armed(self, last: int) -> int:
+        return (last + self.gap) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, self.order)
         if not len(pdf):
             return
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         always = pdf[self.reset].tolist() if self.reset else [False] * len(pdf)
         picked = []
         for at, forced in zip(pdf[self.order[0]].tolist(), always):
@@ -41,9 +48,18 @@ class SpacedPicks(StatefulProcessor):
             if take:
                 last = at
             picked.append(take)
-        self.last.update((int(last),))
+        if last != before:
+            self.last.update((int(last),))
+            if self.forget:
+                if before is not None:
+                    self.handle.deleteTimer(self._armed(before))
+                self.handle.registerTimer(self._armed(int(last)))
         yield pdf[self.columns].assign(picked=picked)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
 
 class FirstHit(StatefulProcessor):
     """First hit per target and window since the last emitted one; a death clears it and is itself spaced."""
@@ -97,11 +113,39 @@ class JournalState(StatefulProcessor):
         yield pdf[self.columns].assign(verdict=verdicts)
 
 
+class Intervals:
+    """A set of whole numbers as sorted, separate ranges, first and last included."""
+
+    def __init__(self, ranges):
+        self.starts, self.ends = map(list, zip(*sorted(ranges))) if ranges else ([], [])
+
+    def add(self, n: int) -> bool:
+        """Whether ``n`` is new."""
+        at = bisect_right(self.starts, n)
+        if at and n <= self.ends[at - 1]:
+            return False
+        left, right = at > 0 and self.ends[at - 1] == n - 1, at < len(self.starts) and self.starts[at] == n + 1
+        if left and right:
+            self.ends[at - 1] = self.ends[at]
+            del self.starts[at], self.ends[at]
+        elif left:
+            self.ends[at - 1] = n
+        elif right:
+            self.starts[at] = n
+        else:
+            self.starts.insert(at, n)
+            self.ends.insert(at, n)
+        return True
+
+
 class ReceiptLedger(StatefulProcessor):
     """Receipts and acks of one (window, recipient): counts, gaps, pending, and shedding of the oldest pending rows.
 
-    Pending sequences live in a map state, so only the keys that change are read. When more than ``max_pending`` wait,
-    the oldest are shed in batches of a tenth of the bound and counted.
+    Rows of one kind and time ``us`` are one batch. A sequence acked twice in a batch counts once. If more than ``max_pending`` sequences wait
+    after a batch of receipts, the oldest are shed, down to a tenth below the bound, and counted. What was seen is kept as
+    ranges, so that state grows with the gaps and not with the sequences; pending ones are at most ``max_pending`` and one batch.
+
+    A batch may go on in the next micro-batch: the state is kept as before its shedding, the status tells it as after.
     """
 
     def __init__(self, max_pending: int):
@@ -109,71 +153,105 @@ class ReceiptLedger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "receipts bigint, duplicates bigint, acked bigint, unknown bigint, shed bigint, "
-                                                     "low bigint, high bigint, pending bigint, seen bigint")
+                                                     "low bigint, high bigint, seen bigint, us bigint, kind string")
         self.pending = handle.getMapState("pending", "seq bigint", "line bigint")
-        self.seen = handle.getMapState("seen", "seq bigint", "one bigint")
+        self.acks = handle.getMapState("acks", "seq bigint", "line bigint")
+        self.seen = handle.getMapState("seen", "first bigint", "last bigint")
+
+    def _excess(self, waiting: dict) -> list[int]:
+        over = len(waiting) - self.max_pending
+        return nsmallest(over + max(1, self.max_pending // 10), waiting) if over > 0 else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["us", "line"])
+        pdf = _ordered(rows, ["us", "kind", "seq", "line"])
         if not len(pdf):
             return
-        t = list(self.totals.get()) if self.totals.exists() else [0, 0, 0, 0, 0, None, None, 0, 0]
-        for kind, seq, line in zip(pdf["kind"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()):
+        receipts, duplicates, acked, unknown, shed, low, high, distinct, open_us, open_kind = \
+            self.totals.get() if self.totals.exists() else (0, 0, 0, 0, 0, None, None, 0, None, None)
+        waiting = {k[0]: v[0] for k, v in self.pending.iterator()}
+        named = {k[0] for k in self.acks.keys()}
+        ranges = {k[0]: v[0] for k, v in self.seen.iterator()}
+        seen, before, told = Intervals(list(ranges.items())), dict(waiting), set(named)
+        for kind, seq, us, line in zip(pdf["kind"].tolist(), pdf["seq"].tolist(), pdf["us"].tolist(), pdf["line"].tolist()):
+            if (us, kind) != (open_us, open_kind):
+                if open_kind == "receipt":
+                    for old in self._excess(waiting):
+                        del waiting[old]
+                        shed += 1
+                named, open_us, open_kind = set(), us, kind
             if kind == "ack":
-                if self.pending.containsKey((seq,)):
-                    self.pending.removeKey((seq,))
-                    t[2], t[7] = t[2] + 1, t[7] - 1
-                else:
-                    t[3] += 1
+                if seq not in named:
+                    named.add(seq)
+                    known = waiting.pop(seq, None) is not None
+                    acked, unknown = acked + known, unknown + (not known)
                 continue
-            t[0] += 1
-            t[5] = seq if t[5] is None else min(t[5], seq)
-            t[6] = seq if t[6] is None else max(t[6], seq)
-            if self.seen.containsKey((seq,)):
-                t[1] += 1
-            else:
-                self.seen.updateValue((seq,), (1,))
-                t[8] += 1
-            if not self.pending.containsKey((seq,)):
-                self.pending.updateValue((seq,), (line,))
-                t[7] += 1
-            if t[7] > self.max_pending:
-                excess = t[7] - self.max_pending + max(1, self.max_pending // 10)
-                for old in sorted(k[0] for k in self.pending.keys())[:excess]:
-                    self.pending.removeKey((old,))
-                    t[4], t[7] = t[4] + 1, t[7] - 1
-        self.totals.update(tuple(t))
-        missing = max(0, (t[6] or 0) - t[8])
-        yield pd.DataFrame([{"window_id": key[0], "recipient_id": key[1], "receipts": t[0], "distinct_seq": t[8], "duplicates": t[1],
-                             "acked": t[2], "unknown_acks": t[3], "shed": t[4], "pending": t[7], "min_seq": t[5], "max_seq": t[6],
-                             "missing": missing, "batch_us": int(pdf["us"].max())}])
+            receipts += 1
+            low, high = seq if low is None else min(low, seq), seq if high is None else max(high, seq)
+            new = seen.add(seq)
+            distinct, duplicates = distinct + new, duplicates + (not new)
+            waiting.setdefault(seq, line)
+        _replace(self.pending, before, waiting)
+        _replace(self.acks, dict.fromkeys(told, 0), dict.fromkeys(named, 0))
+        _replace(self.seen, ranges, dict(zip(seen.starts, seen.ends)))
+        self.totals.update((receipts, duplicates, acked, unknown, shed, low, high, distinct, int(open_us), open_kind))
+        excess = len(self._excess(waiting)) if open_kind == "receipt" else 0
+        yield pd.DataFrame([{"window_id": key[0], "recipient_id": key[1], "receipts": receipts, "distinct_seq": distinct, "duplicates": duplicates,
+                             "acked": acked, "unknown_acks": unknown, "shed": shed + excess, "pending": len(waiting) - excess, "min_seq": low,
+                             "max_seq": high, "missing": max(0, (high or 0) - distinct), "batch_us": int(pdf["us"].max())}])
+
+
+def _replace(state, before: dict, now: dict) -> None:
+    """Brings a map state from ``before`` to ``now``, touching only what changed."""
+    for k in before.keys() - now.keys():
+        state.removeKey((int(k),))
+    for k, v in now.items():
+        if before.get(k) != v:
+            state.updateValue((int(k),), (int(v),))
 
 
 class WitnessMerge(StatefulProcessor):
-    """Reports of one basis from different witnesses close in time share an action number."""
+    """Reports of one basis from different witnesses close in time share an action number.
 
-    def __init__(self, window: int):
-        self.window = window
+    Only the witnesses of the open action are kept; they go when another action opens or, by a timer, when the watermark
+    (times are microseconds) is past the window, as any later report opens another one. Then a number is left per basis.
+    """
+
+    def __init__(self, window: int, columns: list[str]):
+        self.window, self.columns = window, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "at bigint, action bigint")
         self.heard = handle.getMapState("heard", "witness bigint", "action bigint")
 
+    def _armed(self, at: int) -> int:
+        return (at + self.window) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["at", "report_id"])
         if not len(pdf):
             return
-        before, action = self.state.get() if self.state.exists() else (None, 0)
-        numbers = []
+        at_first, action = self.state.get() if self.state.exists() else (None, 0)
+        before, kept = at_first, {k[0]: v[0] for k, v in self.heard.iterator()}
+        witnesses, numbers = set(kept), []
         for at, witness in zip(pdf["at"].tolist(), pdf["witness"].tolist()):
-            repeat = self.heard.containsKey((witness,)) and self.heard.getValue((witness,))[0] == action
-            if before is None or at - before > self.window or repeat:
-                action += 1
+            if before is None or at - before > self.window or witness in witnesses:
+                action, witnesses = action + 1, set()
             before = at
-            self.heard.updateValue((witness,), (action,))
+            witnesses.add(witness)
             numbers.append(action)
+        _replace(self.heard, kept, dict.fromkeys(witnesses, action))
         self.state.update((int(before), int(action)))
-        yield pdf[["basis", "witness", "at", "report_id"]].assign(action=numbers)
+        if at_first is not None:
+            self.handle.deleteTimer(self._armed(at_first))
+        self.handle.registerTimer(self._armed(int(before)))
+        yield pdf[self.columns].assign(action=numbers)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, action = self.state.get()
+        self.heard.clear()
+        self.state.update((None, action))
+        yield from ()
 
 
 class Hysteresis(StatefulProcessor):
@@ -274,7 +352,11 @@ class TickWindow(StatefulProcessor):
 
 
 class Liveness(StatefulProcessor):
-    """Last touch per key; an event-time timer marks the key dead when its lease runs out."""
+    """Life of a key: it begins with a touch and ends when its lease runs out before the next one.
+
+    An end is told by the next touch or by an event-time timer, whichever comes first, so it does not depend on how batches are
+    cut. A touch exactly at the end of the lease comes too late to prolong it and begins another life.
+    """
 
     def __init__(self, lease_ms: int):
         self.lease_ms = lease_ms
@@ -284,17 +366,25 @@ class Liveness(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        touches = [(int(r["ms"].min()), int(r["ms"].max())) for r in rows if len(r)]
-        newest = max((high for _, high in touches), default=None)
-        old = self.last.get()[0] if self.last.exists() else None
-        if newest is None or (old is not None and newest <= old):
-            return
-        if old is not None:
-            self.handle.deleteTimer(old + self.lease_ms)
-        self.handle.registerTimer(newest + self.lease_ms)
-        self.last.update((newest,))
-        if old is None:
-            yield pd.DataFrame([{"key": key[0], "ms": min(low for low, _ in touches), "live": True}])  # its first touch, however batches are cut
+        touches = sorted({int(ms) for r in rows for ms in r["ms"].tolist()})
+        old = last = self.last.get()[0] if self.last.exists() else None
+        told = []
+        for ms in touches:
+            if last is not None and ms <= last:
+                continue
+            if last is not None and ms - last >= self.lease_ms:
+                told.append((key[0], last + self.lease_ms, False))
+                last = None
+            if last is None:
+                told.append((key[0], ms, True))
+            last = ms
+        if last != old:
+            if old is not None:
+                self.handle.deleteTimer(old + self.lease_ms)
+            self.handle.registerTimer(last + self.lease_ms)
+            self.last.update((last,))
+        if told:
+            yield pd.DataFrame(told, columns=["key", "ms", "live"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]

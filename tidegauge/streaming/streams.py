@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge.operators.events import PUBLIC_TYPES
-from tidegauge.runtime import ship
+from tidegauge.operators.interest import SECOND, quest_events
+from tidegauge.operators.quality import trigger_match
+from tidegauge.runtime import REPLAY_ROWS, setting, ship
 from tidegauge.streaming import processors as P
 
+#: Rows a file of a replayed micro-batch holds, and files it has at most.
+ROWS_PER_FILE, MOST_FILES = 250_000, 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,10 +27,21 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _stateful(sdf: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def _stateful(sdf: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, event_time: str = "") -> DataFrame:
+    """``event_time`` names the watermarked column of a processor with timers; it has to be in the result, for a next one."""
     prepare(sdf.sparkSession)
-    return sdf.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema,
-                                                         outputMode="Append", timeMode=time_mode)
+    return sdf.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if event_time else "None",
+        eventTimeColumnName=event_time)
+
+
+#: Event time that timers go by, and how far rows may come behind the newest one. Rows reach processors as named tuples, so names start with a letter.
+EVENT_TIME, LATE = "event_time__", "10 minutes"
+
+
+def _timed(sdf: DataFrame, at: str, late: str) -> DataFrame:
+    """``sdf`` with a watermark on its microseconds ``at``. A watermark starts at 1970, so rows of that moment or before are late."""
+    return sdf.withColumn(EVENT_TIME, F.timestamp_micros(at)).withWatermark(EVENT_TIME, late)
 
 
 def _types(sdf: DataFrame, columns: list[str]) -> str:
@@ -49,6 +64,27 @@ def spaced_stream(sdf: DataFrame, keys: list[str], at: str, tie: list[str], gap:
     return _stateful(sdf, keys, P.SpacedPicks(gap, [at, *tie], columns, reset), _types(sdf, columns) + ", picked boolean")
 
 
+def quest_fire_stream(sdf: DataFrame, quests: DataFrame, players: list[str], at: str, tie: list[str], cooldown: int = 60 * SECOND,
+                      window: int = SECOND, aliases: dict[str, str] | None = None, late: str = LATE) -> DataFrame:
+    """Quest firing on a stream of events; see ``quest_fire``. ``at`` is in microseconds, ``quests`` a table.
+
+    Two stateful operators in one query: repeats go first, then each event meets the quests, then cooldowns hold back. Both forget a
+    key when the watermark has passed its span, so state does not grow with the keys ever seen. Events more than ``late`` behind
+    the newest of an earlier micro-batch are dropped; those without a time have no place in a stream and go too.
+    """
+    events = _timed(quest_events(sdf.filter(F.col(at).isNotNull()), quests, aliases), at, late)
+    # events without a key are never repeats of each other
+    events = events.withColumns({"key__": F.trim(F.coalesce("dedupe_key", F.lit(""))), "free__": F.lit(window <= 0) | (F.trim(F.coalesce("dedupe_key", F.lit(""))) == "")})
+    columns = events.columns
+    fresh = _stateful(events, [*players, "name__", "key__"], P.SpacedPicks(window, [at, *tie], columns, "free__", True),
+                      _types(events, columns) + ", picked boolean", EVENT_TIME).filter("picked").drop("picked", "key__", "free__", "name__")
+    matches = trigger_match(fresh, quests, aliases)
+    columns = matches.columns
+    fired = _stateful(matches, [*players, "quest_id"], P.SpacedPicks(cooldown, [at, *tie], columns, None, True),
+                      _types(matches, columns) + ", picked boolean", EVENT_TIME)
+    return fired.withColumnRenamed("picked", "fired").drop(EVENT_TIME)
+
+
 def first_hit_stream(sdf: DataFrame, window: int) -> DataFrame:
     """First hits and killing blows on a stream; see ``first_hit``."""
     return _stateful(sdf, ["target_id"], P.FirstHit(window), _types(sdf, ["target_id", "at", "hit_id", "kind"]) + ", emitted string")
@@ -68,8 +104,14 @@ def receipt_ledger(sdf: DataFrame, max_pending: int) -> DataFrame:
     return _stateful(sdf, ["window_id", "recipient_id"], P.ReceiptLedger(max_pending), schema)
 
 
-def witness_stream(sdf: DataFrame, window: int) -> DataFrame:
-    return _stateful(sdf, ["basis"], P.WitnessMerge(window), "basis bigint, witness bigint, at bigint, report_id bigint, action bigint")
+def witness_stream(sdf: DataFrame, window: int, late: str = LATE) -> DataFrame:
+    """Action numbers of reports on a stream; see ``witness_merge``. ``at`` is in microseconds.
+
+    Reports more than ``late`` behind the newest of an earlier micro-batch are dropped.
+    """
+    rows = _timed(sdf.filter("at is not null"), "at", late)
+    columns = ["basis", "witness", "at", "report_id", EVENT_TIME]
+    return _stateful(rows, ["basis"], P.WitnessMerge(window, columns), _types(rows, columns) + ", action bigint", EVENT_TIME).drop(EVENT_TIME)
 
 
 def hysteresis_stream(sdf: DataFrame, enter: float, slack: float) -> DataFrame:
@@ -87,8 +129,11 @@ def tick_stream(sdf: DataFrame, n: int = 100, budget: float = 50.0) -> DataFrame
     return _stateful(sdf, ["stream"], P.TickWindow(n, budget, ["us", "tick"]), schema)
 
 
-def liveness_stream(sdf: DataFrame, key: str, at: str, lease_ms: int, late: str = "0 seconds") -> DataFrame:
-    """``(key, ms, live)``: a row when a key comes to life and one when its lease ran out."""
+def liveness_stream(sdf: DataFrame, key: str, at: str, lease_ms: int, late: str = LATE) -> DataFrame:
+    """``(key, ms, live)``: a row when a key comes to life and one when its lease ran out.
+
+    A lease that runs out behind the last touch is told once the watermark, ``late`` behind the newest touch of all keys, is there.
+    """
     rows = sdf.select(F.col(key).alias("key"), F.col(at).alias("ts"), F.unix_millis(at).alias("ms")).withWatermark("ts", late)
     prepare(sdf.sparkSession)
     kind = rows.schema["key"].dataType.simpleString()
@@ -103,24 +148,29 @@ def run_available(sdf: DataFrame, folder: str) -> DataFrame:
     return sdf.sparkSession.read.schema(sdf.schema).parquet(f"{folder}/out")
 
 
-def replay(df: DataFrame, folder: str, at: str, batch_rows: int = 5_000_000) -> DataFrame:
+def replay(df: DataFrame, folder: str, at: str, batch_rows: int | None = None) -> DataFrame:
     """A stream over a table, in order of ``at``, NULL first.
 
-    A table of at most ``batch_rows`` is one micro-batch. A larger one is range-partitioned once by ``at`` and, inside equal
-    values, by the other columns; the ranges, each about ``batch_rows`` rows, then arrive one after the other as one file and
-    one micro-batch each. No row is left out, whatever its ``at``.
+    A table of at most ``batch_rows`` (setting ``tidegauge.replayRows``) is one micro-batch. A larger one is range-partitioned once by ``at`` and, inside equal
+    values, by the other columns; the ranges, each about ``batch_rows`` rows, then arrive one after the other, each as the same number of files, which is what
+    a micro-batch takes. So a micro-batch is written and read by as many tasks as it has files. No row is left out, whatever its ``at``.
     """
-    reader = df.sparkSession.readStream.schema(df.schema)
+    spark = df.sparkSession
+    batch_rows = batch_rows or setting(spark, REPLAY_ROWS)
+    reader = spark.readStream.schema(df.schema)
     count = df.count()
     if count <= batch_rows:
         df.write.parquet(f"{folder}/arrived")
         return reader.parquet(f"{folder}/arrived")
-    n = -(-count // batch_rows)
+    n, files = -(-count // batch_rows), min(MOST_FILES, max(1, batch_rows // ROWS_PER_FILE))
     others = [f.name for f in df.schema.fields if f.name != at and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     df.repartitionByRange(n, at, *others).withColumn("__batch", F.spark_partition_id()).write.partitionBy("__batch").parquet(f"{folder}/cut")
-    cut = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(f"{folder}/cut")
-    for number in range(n):  # a stream over files takes them by time, so each batch is put in place after the one before
-        batch = cut.filter(F.col("__batch") == number).drop("__batch")
-        if batch.limit(1).count():
-            batch.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
-    return reader.option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
+    cut = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(f"{folder}/cut")
+    sizes = sorted((r["__batch"], r["count"]) for r in cut.groupBy("__batch").count().collect())  # a row a micro-batch
+    held, rows = [], 0
+    for number, size in sizes:  # a stream over files takes them by time, so each batch is put in place after the one before
+        held, rows = [*held, number], rows + size
+        if rows >= files * files or number == sizes[-1][0]:  # dealt in turn, so no file stays empty
+            cut.filter(F.col("__batch").isin(held)).drop("__batch").repartition(files).write.mode("append").parquet(f"{folder}/arrived")
+            held, rows = [], 0
+    return reader.option("maxFilesPerTrigger", files).parquet(f"{folder}/arrived")
