@@ -11,6 +11,8 @@ from tidegauge.runtime import cut_lineage
 WEIGHTS = (3, 1, 2)
 #: A source's documents are dealt over so many slices by their seeded hash, so that no task sorts a whole source.
 SLICES = 4096
+#: A table of sources of at most so many bytes goes to all tasks.
+BROADCAST_BYTES = 16 << 20
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -95,7 +97,8 @@ def repeated(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
                          .withColumnRenamed("source", "__source"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     own = F.struct(seeded(F.col("doc_id"), seed).alias("place"), F.col("doc_id"), size.alias("size"))
-    met = docs.join(bounds, F.expr("source <=> __source"))
+    weight = bounds.agg(F.sum(64 + F.coalesce(F.octet_length("__source"), F.lit(0)))).first()[0] or 0
+    met = docs.join(F.broadcast(bounds) if weight <= BROADCAST_BYTES else bounds, F.expr("source <=> __source"))
     copies = F.col("__epochs") + F.coalesce((own <= F.col("__last")).cast("int"), F.lit(0))
     times = F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")
     return met.withColumn("__copies", copies.cast("int")).filter("__copies > 0").select(*docs.columns, times).drop("__copy")
