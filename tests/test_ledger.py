@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import namedtuple
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -44,6 +45,83 @@ def test_interest_snapshot_replays_only_what_is_not_pending(spark):
     assert rows(verdicts, "object_id", "known") == [(1, True), (9, False)]
 
 
+class Journal:
+    """One gateway, row by row: objects, interests, pending deliveries and a sequence per recipient."""
+
+    def __init__(self):
+        self.epoch, self.objects, self.interests, self.pending, self.seq = None, {}, {}, set(), {}
+        self.verdicts, self.deliveries, self.acks = [], [], []
+
+    def send(self, to, obj, rev, kind, at):
+        self.seq[to] = self.seq.get(to, 0) + 1
+        self.deliveries.append((to, self.seq[to], obj, rev, kind, at))
+        self.pending.add((to, obj, rev))
+
+    def row(self, epoch, obj, rev, dead, only, to, zone, at):
+        if not (epoch or "").strip():
+            return self.verdicts.append((at, "world_epoch_invalid"))
+        self.epoch = self.epoch or epoch
+        if epoch != self.epoch:
+            return self.verdicts.append((at, "world_epoch_not_active"))
+        held = self.objects.get(obj)
+        if not only and held and rev <= held[0]:
+            if to and to in self.interests:
+                self.send(to, obj, held[0], "tombstone" if held[1] else "snapshot", at)
+                return self.verdicts.append((at, "targeted_replay"))
+            return self.verdicts.append((at, "stale_journal_revision"))
+        if not only:
+            self.objects[obj] = (rev, dead, zone)
+        kind = "tombstone" if dead else "delta"
+        self.verdicts.append((at, "delivery_only" if only else kind))
+        for recipient, area in sorted(self.interests.items()):
+            if recipient == to if to else max(abs(area[0] - zone[0]), abs(area[1] - zone[1])) <= 1:
+                self.send(recipient, obj, rev, kind, at)
+
+    def register(self, to, zone, refresh, at):
+        changed = self.interests.get(to) != zone
+        self.interests[to] = zone
+        if changed or refresh:
+            for obj, (rev, dead, place) in sorted(self.objects.items()):
+                if max(abs(zone[0] - place[0]), abs(zone[1] - place[1])) <= 1 and (refresh or (to, obj, rev) not in self.pending):
+                    self.send(to, obj, rev, "tombstone" if dead else "snapshot", at)
+
+    def ack(self, to, obj, rev, at):
+        self.acks.append((to, obj, rev, at, (to, obj, rev) in self.pending))
+        self.pending.discard((to, obj, rev))
+
+
+@pytest.mark.parametrize("limit", [None, 25])
+def test_journal_and_interests_match_one_gateway(spark, limit):
+    rng, gate, log, regs, acks = random.Random(12), Journal(), [], [], []
+    for at in range(1, 700):
+        what, to = rng.random(), rng.choice("abc")
+        if what < 0.75:
+            obj = rng.randrange(30)
+            row = (rng.choice(["e"] * 8 + ["old", " ", None]) if at > 1 else "e", obj, rng.randrange(60), rng.random() < 0.2, rng.random() < 0.15, rng.choice([None, "", "a", "b", "nobody", None]), obj % 5, obj % 3, at)
+            log.append(row)
+            gate.row(*row[:6], row[6:8], at)
+        elif what < 0.83:
+            zone, refresh = (rng.randrange(5), rng.randrange(3)), rng.random() < 0.2
+            regs.append((to, *zone, 1, refresh, at))
+            gate.register(to, zone, refresh, at)
+        else:
+            mark = rng.choice(gate.deliveries)[2:4] if gate.deliveries and rng.random() < 0.8 else (99, 99)
+            acks.append((to, *mark, at))
+            gate.ack(to, *mark, at)
+    df = spark.createDataFrame(log, "world_epoch string, object_id bigint, revision bigint, tombstone boolean, delivery_only boolean, delivery_recipient string, zone_x bigint, zone_y bigint, at bigint")
+    interests = spark.createDataFrame(regs, "recipient string, zone_x bigint, zone_y bigint, radius int, refresh boolean, at bigint")
+    if limit:
+        spark.conf.set("tidegauge.groupRows", limit)
+    try:
+        judged = L.journal_verdicts(df, None, ["object_id"], ["at"], "revision", interests)
+        assert rows(judged, "at", "verdict") == sorted(gate.verdicts, key=repr) and len({v for _, v in gate.verdicts}) == 7
+        sent, marks = L.interest_deliveries(L.journal_mutations(judged, "revision"), interests, spark.createDataFrame(acks, "recipient string, object_id bigint, revision bigint, at bigint"))
+        assert rows(sent, *sent.columns) == sorted(gate.deliveries, key=repr)
+        assert rows(marks, *marks.columns) == sorted(gate.acks, key=repr)
+    finally:
+        spark.conf.unset("tidegauge.groupRows")
+
+
 def test_leases_match_the_step_by_step_walk(spark):
     rng = random.Random(8)
     Op = namedtuple("Op", "object_id op_id at op run_id holder epoch duration")

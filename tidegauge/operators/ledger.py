@@ -65,16 +65,39 @@ def reject_rate(outcomes: DataFrame) -> DataFrame:
 
 # --- journal ------------------------------------------------------------------------------------------------------
 
-def journal_verdicts(log: DataFrame, active_epoch: str, keys: list[str], order: list[str], revision: str) -> DataFrame:
-    """What happens to each journal row: accepted only when its revision is above everything applied before it."""
-    usable = (F.col("world_epoch") == active_epoch) & ~F.col("delivery_only")
-    g = ordered(log, keys, order).scan(__top=running_max(F.when(usable, F.col(revision))))
+def journal_verdicts(log: DataFrame, active_epoch: str | None, keys: list[str], order: list[str], revision: str,
+                     interests: DataFrame | None = None) -> DataFrame:
+    """What happens to each journal row: accepted only when its revision is above everything applied before it.
+
+    Verdicts, the first that applies: ``world_epoch_invalid`` (null or blank epoch), ``world_epoch_not_active``, ``delivery_only`` (told, but no state),
+    ``targeted_replay`` or ``stale_journal_revision``, ``tombstone``, ``delta``. Without an ``active_epoch`` the first row with an epoch activates its own.
+
+    With ``interests`` (``recipient, at``) a stale row that names a ``delivery_recipient`` who registered before ``order[0]`` is a replay of the current state to
+    that recipient alone; a column ``current`` then holds the revision and tombstone of the state before each row.
+    """
+    epoch = F.col("world_epoch")
+    valid = F.trim(F.coalesce(epoch, F.lit(""))) != ""
+    first = log.filter(valid).agg(F.min_by("world_epoch", F.struct(*order)).alias("epoch")) if active_epoch is None else None
+    rows = log.withColumn("__active", F.lit(active_epoch) if first is None else first.scalar())
+    ours = valid & F.coalesce(epoch == F.col("__active"), F.lit(False))
+    g = ordered(rows, keys, order).scan(__top=running_max(F.when(ours & ~F.col("delivery_only"), F.col(revision))))
     g = g.scan(__before=previous(F.col("__top")))
-    verdict = (F.when(F.col("world_epoch") != active_epoch, "world_epoch_not_active")
-               .when(F.col("delivery_only"), "delivery_only")
-               .when(F.col("__before").isNotNull() & (F.col(revision) <= F.col("__before")), "stale_journal_revision")
-               .when(F.col("tombstone"), "tombstone").otherwise("delta"))
-    return g.df.withColumn("verdict", verdict).drop("__top", "__before")
+    stale = F.col("__before").isNotNull() & (F.col(revision) <= F.col("__before"))
+    if interests is not None:
+        applied = ours & ~F.col("delivery_only") & ~stale
+        g = g.scan(current=previous(F.when(applied, F.struct(F.col(revision).alias("revision"), F.col("tombstone")))))
+    verdict = (F.when(~valid, "world_epoch_invalid").when(~ours, "world_epoch_not_active").when(F.col("delivery_only"), "delivery_only")
+               .when(stale, "stale_journal_revision").when(F.col("tombstone"), "tombstone").otherwise("delta"))
+    judged = g.df.withColumn("verdict", verdict).drop("__top", "__before", "__active")
+    if interests is None:
+        return judged
+    # only stale rows with a recipient are looked up, so rows without one never pile up on a null key
+    asks = (F.col("verdict") == "stale_journal_revision") & (F.trim(F.coalesce(F.col("delivery_recipient").cast("string"), F.lit(""))) != "")
+    known = interests.groupBy(F.col("recipient").alias("__recipient")).agg(F.min("at").alias("__since"))
+    found = judged.filter(asks).join(known, F.col("delivery_recipient") == F.col("__recipient"), "left")
+    replay = F.coalesce(F.col(order[0]) > F.col("__since"), F.lit(False))
+    found = found.withColumn("verdict", F.when(replay, "targeted_replay").otherwise(F.col("verdict"))).drop("__recipient", "__since")
+    return found.unionByName(judged.filter(~asks))
 
 
 def journal_state(log: DataFrame, active_epoch: str, keys: list[str], order: list[str], revision: str) -> DataFrame:
@@ -88,15 +111,32 @@ def journal_state(log: DataFrame, active_epoch: str, keys: list[str], order: lis
     return rows.groupBy(*keys).agg(best.alias("s")).select(*keys, "s.*")
 
 
+def journal_mutations(verdicts: DataFrame, revision: str) -> DataFrame:
+    """Rows of ``journal_verdicts`` (with ``interests``) that are told to someone, as input of ``interest_deliveries``."""
+    blank = F.trim(F.coalesce(F.col("delivery_recipient").cast("string"), F.lit(""))) == ""
+    replay = F.col("verdict") == "targeted_replay"
+    return verdicts.filter(F.col("verdict").isin("delta", "tombstone", "delivery_only", "targeted_replay")).withColumns({
+        "target": F.when(~blank, F.col("delivery_recipient")), "replay": replay, "changes": F.col("verdict").isin("delta", "tombstone"),
+        "revision": F.when(replay, F.col("current.revision")).otherwise(F.col(revision)),
+        "tombstone": F.when(replay, F.col("current.tombstone")).otherwise(F.col("tombstone"))})
+
+
 def interest_deliveries(mutations: DataFrame, interests: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deliveries with a sequence per recipient, and acks with whether they hit a pending delivery.
 
-    ``mutations``: accepted journal rows ``(object_id, revision, tombstone, zone_x, zone_y, at)``.
+    ``mutations``: journal rows ``(object_id, revision, tombstone, zone_x, zone_y, at)`` that are told, and, if some are more than plain changes of
+    state, ``target`` (told to this recipient only, wherever their interest lies, once they registered), ``changes`` (false: told, but no state) and
+    ``replay`` (the row repeats the current state); see ``journal_mutations``.
     ``interests``: registrations ``(recipient, zone_x, zone_y, radius, refresh, at)``, valid until the next one of the
     recipient. ``acks``: ``(recipient, object_id, revision, at)``.
     A mutation goes to the interests around it at that time. A new, changed or refreshed interest replays the state as
     it was then, except what is still pending. ``at`` is a whole number and orders all inputs.
+
+    Mutations meet registrations by zone and by a bucket of time about as long as a registration lasts, so a mutation does not meet the
+    registrations its zone had at other times.
     """
+    plain = {"target": F.lit(None).cast(interests.schema["recipient"].dataType), "changes": F.lit(True), "replay": F.lit(False)}
+    mutations = mutations.withColumns({c: v for c, v in plain.items() if c not in mutations.columns})
     g = ordered(interests, ["recipient"], ["at"]).scan(
         old=previous(F.struct("zone_x", "zone_y", "radius")))
     g = g.scan(backward=True, until=previous(F.col("at")))
@@ -107,25 +147,36 @@ def interest_deliveries(mutations: DataFrame, interests: DataFrame, acks: DataFr
     # zones a registration covers, as equi-join keys; the radius is a small number of zones
     covered = (regs.withColumn("zone_x", F.explode(F.sequence(F.col("ix") - F.col("radius"), F.col("ix") + F.col("radius"))))
                .withColumn("zone_y", F.explode(F.sequence(F.col("iy") - F.col("radius"), F.col("iy") + F.col("radius")))))
-    life = ordered(mutations, ["object_id"], ["revision"]).scan(
-        backward=True, replaced=previous(F.struct(F.col("at").alias("t"), "zone_x", "zone_y"))).df
     open_end = F.lit((1 << 62)).cast("bigint")
-    deltas = (mutations.join(covered, ["zone_x", "zone_y"])
-              .filter((F.col("at") > F.col("since")) & (F.col("at") <= F.coalesce("until", open_end)))
+    last = mutations.agg(F.max("at").alias("at"))
+    lasting = regs.withColumn("end", F.least(F.coalesce("until", open_end), F.coalesce(last.scalar(), F.lit(0)))).filter("end > since")
+    # as many buckets as there are registrations, or fewer, in all
+    width = lasting.agg(F.greatest(F.lit(1), F.avg(F.col("end") - F.col("since")).cast("bigint")).alias("width")).first()[0] or 1
+    in_time = (covered.withColumn("end", F.least(F.coalesce("until", open_end), F.coalesce(last.scalar(), F.lit(0)))).filter("end > since")
+               .withColumn("bucket", F.explode(F.sequence(F.expr(f"since div {width}"), F.expr(f"end div {width}")))))
+    told = mutations.withColumn("bucket", F.expr(f"at div {width}"))
+    deltas = (told.filter("target is null and not replay").join(in_time, ["zone_x", "zone_y", "bucket"])
+              .filter((F.col("at") > F.col("since")) & (F.col("at") <= F.col("end")))
               .select("recipient", "object_id", "revision", "tombstone", "at", F.lit("delta").alias("what"), F.lit(False).alias("refresh")))
+    known = regs.groupBy(F.col("recipient").alias("target")).agg(F.min("since").alias("since"))
+    targeted = (mutations.filter("target is not null").join(known, "target").filter("at > since")
+                .select(F.col("target").alias("recipient"), "object_id", "revision", "tombstone", "at",
+                        F.when(F.col("replay"), "replay").otherwise("delta").alias("what"), F.lit(False).alias("refresh")))
+    life = ordered(mutations.filter("changes"), ["object_id"], ["revision"]).scan(
+        backward=True, replaced=previous(F.struct(F.col("at").alias("t"), "zone_x", "zone_y"))).df
     snapshots = (life.join(covered.filter("replays"), ["zone_x", "zone_y"])
                  .filter((F.col("at") <= F.col("since")) & (F.coalesce("replaced.t", open_end) > F.col("since")))
                  .select("recipient", "object_id", "revision", "tombstone", F.col("since").alias("at"), F.lit("snapshot").alias("what"), "refresh"))
     marks = acks.select("recipient", "object_id", "revision", F.lit(None).cast("boolean").alias("tombstone"), "at",
                         F.lit("ack").alias("what"), F.lit(False).alias("refresh"))
-    line = deltas.unionByName(snapshots).unionByName(marks).withColumn(
-        "phase", F.when(F.col("what") == "delta", 1).when(F.col("what") == "snapshot", 0).otherwise(2))
-    h = ordered(line, ["recipient", "object_id", "revision"], ["at", "phase"]).scan(before=previous(F.col("what")))
-    waiting = F.coalesce(F.col("before").isin("delta", "snapshot"), F.lit(False))
-    sent = h.df.filter((F.col("what") == "delta") | ((F.col("what") == "snapshot") & (F.col("refresh") | ~waiting)))
-    numbered = ordered(sent, ["recipient"], ["at", "phase", "object_id", "revision"]).scan(seq=position()).df
-    kind = F.when(F.col("tombstone"), "tombstone").otherwise(F.col("what"))
-    deliveries = numbered.select("recipient", "seq", "object_id", "revision", kind.alias("kind"), "at")
+    line = deltas.unionByName(targeted).unionByName(snapshots).unionByName(marks).withColumn(
+        "phase", F.when(F.col("what") == "snapshot", 0).when(F.col("what") == "ack", 2).otherwise(1))
+    h = ordered(line, ["recipient", "object_id", "revision"], ["at", "phase", "what", "tombstone"]).scan(before=previous(F.col("what")))
+    waiting = F.coalesce(F.col("before") != "ack", F.lit(False))
+    sent = h.df.filter(F.col("what").isin("delta", "replay") | ((F.col("what") == "snapshot") & (F.col("refresh") | ~waiting)))
+    kind = F.when(F.col("tombstone"), "tombstone").when(F.col("what") == "delta", "delta").otherwise("snapshot")
+    numbered = ordered(sent.withColumn("kind", kind), ["recipient"], ["at", "phase", "object_id", "revision", "kind"]).scan(seq=position()).df
+    deliveries = numbered.select("recipient", "seq", "object_id", "revision", "kind", "at")
     verdicts = h.df.filter("what = 'ack'").select("recipient", "object_id", "revision", "at", waiting.alias("known"))
     return deliveries, verdicts
 

@@ -92,7 +92,8 @@ BINDINGS = {
                      l_orderkey AS line
               FROM b_line_rows) t""",
     "b_journal": """
-        SELECT CASE WHEN l_partkey % 50 = 0 THEN 'old' ELSE 'now' END AS world_epoch,
+        SELECT CASE WHEN l_partkey % 97 = 3 THEN ' ' WHEN l_partkey % 50 = 0 THEN 'old' ELSE 'now' END AS world_epoch,
+               CASE WHEN l_quantity <= 10 THEN l_suppkey END AS delivery_recipient,
                l_partkey AS object_id, l_orderkey AS object_revision,
                l_linestatus = 'F' AND l_returnflag = 'R' AS tombstone, l_linenumber = 7 AS delivery_only,
                l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, MICROS(l_shipdate) AS ship_us

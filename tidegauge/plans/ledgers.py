@@ -8,7 +8,7 @@ from tidegauge.operators import ledger as L, progress as P, ranking as R, sets a
 from tidegauge.operators.ordered import ordered, position
 from tidegauge.plans.bindings import bind, table
 from tidegauge.plans.registry import query
-from tidegauge.runtime import literal_rows
+from tidegauge.runtime import cut_lineage, literal_rows
 
 ACKS = "(SELECT window_id, recipient_id, seq FROM b_receipts WHERE acked UNION ALL SELECT window_id, recipient_id, -recipient_id FROM b_receipts WHERE line % 1000 = 0)"
 
@@ -141,58 +141,85 @@ def journal_state(spark, sf):
         "object_id", "object_revision", "tombstone", "l_linenumber", "l_suppkey", "l_extendedprice")
 
 
-@query("journal_verdicts", """
-    WITH t AS (SELECT *, MAX(CASE WHEN world_epoch = 'now' AND NOT delivery_only THEN object_revision END) OVER (PARTITION BY object_id
-      ORDER BY ship_us, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b_journal)
-    SELECT verdict, COUNT(*) AS n, CAST(SUM(object_revision) AS BIGINT) AS revisions FROM (SELECT *, CASE WHEN world_epoch <> 'now' THEN 'world_epoch_not_active' WHEN delivery_only THEN 'delivery_only'
-      WHEN object_revision <= top THEN 'stale_journal_revision' WHEN tombstone THEN 'tombstone' ELSE 'delta' END AS verdict FROM t) v GROUP BY verdict""")
+DAY = 86_400_000_000
+# Registrations of each recipient in the checking engine, and what becomes of each journal row.
+JUDGED = f"""
+    r AS (SELECT s_suppkey AS recipient, (s_suppkey + n % 2 * 3) % 12 AS ix, s_suppkey % 11 AS iy, n = 3 AS refresh, 788918400000000 + (n * 500 + s_suppkey % 97) * {DAY} + 100 AS since, n
+        FROM supplier, (VALUES (0), (1), (2), (3)) v(n)),
+    f AS (SELECT recipient, MIN(since) AS first_since FROM r GROUP BY recipient),
+    l AS (SELECT *, ship_us + l_linenumber AS tm, trim(world_epoch) = 'now' AND NOT delivery_only AS counts FROM b_journal),
+    l1 AS (SELECT *, MAX(CASE WHEN counts THEN object_revision END) OVER (PARTITION BY object_id ORDER BY tm, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM l),
+    l2 AS (SELECT *, counts AND (top IS NULL OR object_revision > top) AS newer FROM l1),
+    l3 AS (SELECT l2.*, LAST_VALUE(CASE WHEN newer THEN object_revision END IGNORE NULLS) OVER w AS cur_revision, LAST_VALUE(CASE WHEN newer THEN tombstone END IGNORE NULLS) OVER w AS cur_tombstone FROM l2
+        WINDOW w AS (PARTITION BY object_id ORDER BY tm, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    j AS (SELECT l3.*, CASE WHEN trim(world_epoch) = '' THEN 'world_epoch_invalid' WHEN world_epoch <> 'now' THEN 'world_epoch_not_active' WHEN delivery_only THEN 'delivery_only' WHEN newer THEN CASE WHEN tombstone THEN 'tombstone' ELSE 'delta' END
+        WHEN tm > first_since THEN 'targeted_replay' ELSE 'stale_journal_revision' END AS verdict FROM l3 LEFT JOIN f ON f.recipient = l3.delivery_recipient)"""
+
+
+def _registrations(spark, sf):
+    """Each recipient's four interests, the last of them a refresh."""
+    regs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("n"))
+    return regs.select(F.col("s").alias("recipient"), ((F.col("s") + F.col("n") % 2 * 3) % 12).alias("zone_x"), (F.col("s") % 11).alias("zone_y"),
+                       F.lit(1).alias("radius"), (F.col("n") == 3).alias("refresh"),
+                       (F.lit(788918400000000) + (F.col("n") * 500 + F.col("s") % 97) * DAY + 100).alias("at"))
+
+
+def _judged(spark, sf, epoch="now"):
+    log = bind(spark, sf, "b_journal").withColumn("at", F.col("ship_us") + F.col("l_linenumber"))
+    return L.journal_verdicts(log, epoch, ["object_id"], ["at", *JOURNAL_ORDER[2:]], "object_revision", _registrations(spark, sf))
+
+
+@query("journal_verdicts", f"WITH {JUDGED} SELECT object_id, object_revision, tm AS \"at\", l_suppkey, l_extendedprice, verdict, cur_revision, cur_tombstone FROM j")
 def journal_verdicts(spark, sf):
-    rows = L.journal_verdicts(bind(spark, sf, "b_journal"), "now", ["object_id"], JOURNAL_ORDER, "object_revision")
-    return rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("object_revision").alias("revisions"))
+    return _judged(spark, sf).select("object_id", "object_revision", "at", "l_suppkey", "l_extendedprice", "verdict", F.col("current.revision").alias("cur_revision"),
+                                     F.col("current.tombstone").alias("cur_tombstone"))
+
+
+@query("journal_first_epoch", """
+    WITH first AS (SELECT arg_min(world_epoch, (ship_us, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)) AS epoch FROM b_journal WHERE trim(world_epoch) <> '')
+    SELECT object_id, object_revision, ship_us, l_linenumber, l_suppkey, CASE WHEN trim(world_epoch) = '' THEN 'world_epoch_invalid' ELSE 'world_epoch_not_active' END AS verdict
+    FROM b_journal, first WHERE trim(world_epoch) = '' OR world_epoch <> epoch""")
+def journal_first_epoch(spark, sf):
+    """Rows turned away where no epoch is given and the first row of a valid one activates it."""
+    rows = L.journal_verdicts(bind(spark, sf, "b_journal"), None, ["object_id"], JOURNAL_ORDER, "object_revision")
+    return rows.filter("verdict LIKE 'world_epoch%'").select("object_id", "object_revision", "ship_us", "l_linenumber", "l_suppkey", "verdict")
 
 
 def _interest_inputs(spark, sf):
-    log = bind(spark, sf, "b_journal").withColumn("at", F.col("ship_us") + F.col("l_linenumber"))
-    order = ["at", *JOURNAL_ORDER[2:]]
-    accepted = L.journal_verdicts(log, "now", ["object_id"], order, "object_revision").filter("verdict IN ('delta', 'tombstone')").select(
-        "object_id", F.col("object_revision").alias("revision"), "tombstone", (F.col("object_id") % 12).alias("zone_x"),
-        F.expr("object_id div 12 % 12").alias("zone_y"), "at")
+    told = L.journal_mutations(_judged(spark, sf), "object_revision").select(
+        "object_id", "revision", "tombstone", (F.col("object_id") % 12).alias("zone_x"), F.expr("object_id div 12 % 12").alias("zone_y"), "at", "target", "changes", "replay")
+    told = cut_lineage(told)  # read by the deltas, the targeted rows, the snapshots and the acks
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
-    day = 86_400_000_000
-    regs = supplier.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    interests = regs.select(F.col("s").alias("recipient"), ((F.col("s") + F.col("n") % 2 * 3) % 12).alias("zone_x"), (F.col("s") % 11).alias("zone_y"),
-                            F.lit(1).alias("radius"), (F.col("n") == 3).alias("refresh"),
-                            (F.lit(788918400000000) + (F.col("n") * 500 + F.col("s") % 97) * day + 100).alias("at"))
-    acks = accepted.join(supplier, F.pmod(F.col("revision"), F.lit(50)) == F.pmod(F.col("s"), F.lit(50))).select(
-        F.col("s").alias("recipient"), "object_id", "revision", (F.col("at") + 40 * day + 7).alias("at"))
-    return accepted, interests, acks
-
-
-INTEREST = """
-    WITH l AS (SELECT *, ship_us + l_linenumber AS tm, MAX(CASE WHEN world_epoch = 'now' AND NOT delivery_only THEN object_revision END) OVER (PARTITION BY object_id
-        ORDER BY ship_us + l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b_journal),
-    m AS (SELECT object_id, object_revision AS revision, tombstone, object_id % 12 AS zx, object_id // 12 % 12 AS zy, tm FROM l WHERE world_epoch = 'now' AND NOT delivery_only AND (top IS NULL OR object_revision > top)),
+    acks = told.filter("changes").join(supplier, F.pmod(F.col("revision"), F.lit(50)) == F.pmod(F.col("s"), F.lit(50))).select(
+        F.col("s").alias("recipient"), "object_id", "revision", (F.col("at") + 40 * DAY + 7).alias("at"))
+    return told, _registrations(spark, sf), acks
+
+
+INTEREST = f"""
+    WITH {JUDGED},
+    t AS (SELECT object_id, CASE WHEN verdict = 'targeted_replay' THEN cur_revision ELSE object_revision END AS revision, CASE WHEN verdict = 'targeted_replay' THEN cur_tombstone ELSE tombstone END AS tombstone,
+        object_id % 12 AS zx, object_id // 12 % 12 AS zy, tm, delivery_recipient AS target, verdict FROM j WHERE verdict IN ('delta', 'tombstone', 'delivery_only', 'targeted_replay')),
+    m AS (SELECT * FROM t WHERE verdict IN ('delta', 'tombstone')),
     life AS (SELECT *, LEAD(tm) OVER (PARTITION BY object_id ORDER BY revision) AS gone FROM m),
-    r AS (SELECT s_suppkey AS recipient, (s_suppkey + n % 2 * 3) % 12 AS ix, s_suppkey % 11 AS iy, n = 3 AS refresh, 788918400000000 + (n * 500 + s_suppkey % 97) * 86400000000 + 100 AS since, n
-        FROM supplier, (VALUES (0), (1), (2), (3)) v(n)),
     i AS (SELECT *, LEAD(since) OVER (PARTITION BY recipient ORDER BY since) AS until,
         refresh OR LAG(ix) OVER (PARTITION BY recipient ORDER BY since) IS NULL OR LAG(ix) OVER (PARTITION BY recipient ORDER BY since) <> ix AS replays FROM r),
-    c AS (SELECT recipient, object_id, revision, tombstone, tm, 'delta' AS what, 1 AS phase, FALSE AS refresh FROM m JOIN i ON ABS(zx - ix) <= 1 AND ABS(zy - iy) <= 1 AND tm > since AND (until IS NULL OR tm <= until)
+    c AS (SELECT recipient, object_id, revision, tombstone, tm, 'delta' AS what, 1 AS phase, FALSE AS refresh FROM t JOIN i ON target IS NULL AND ABS(zx - ix) <= 1 AND ABS(zy - iy) <= 1 AND tm > since AND (until IS NULL OR tm <= until)
+      UNION ALL SELECT recipient, object_id, revision, tombstone, tm, CASE WHEN verdict = 'targeted_replay' THEN 'replay' ELSE 'delta' END, 1, FALSE FROM t JOIN f ON recipient = target AND tm > first_since
       UNION ALL SELECT recipient, object_id, revision, tombstone, since, 'snapshot', 0, refresh FROM life JOIN i ON replays AND ABS(zx - ix) <= 1 AND ABS(zy - iy) <= 1 AND tm <= since AND (gone IS NULL OR gone > since)
-      UNION ALL SELECT s_suppkey, object_id, revision, NULL, tm + 40 * 86400000000 + 7, 'ack', 2, FALSE FROM m JOIN supplier ON revision % 50 = s_suppkey % 50),
+      UNION ALL SELECT s_suppkey, object_id, revision, NULL, tm + 40 * {DAY} + 7, 'ack', 2, FALSE FROM m JOIN supplier ON revision % 50 = s_suppkey % 50),
     d AS (SELECT *, LAG(what) OVER (PARTITION BY recipient, object_id, revision ORDER BY tm, phase) AS b FROM c)"""
 
 
 @query("interest_deliveries", INTEREST + """,
-    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY recipient ORDER BY tm, phase, object_id, revision) AS seq FROM d WHERE what = 'delta' OR (what = 'snapshot' AND (refresh OR b IS NULL OR b = 'ack')))
-    SELECT recipient, seq, object_id, revision, CASE WHEN tombstone THEN 'tombstone' ELSE what END AS kind, tm AS "at" FROM k""")
+    k AS (SELECT *, CASE WHEN tombstone THEN 'tombstone' WHEN what = 'delta' THEN 'delta' ELSE 'snapshot' END AS kind FROM d WHERE what IN ('delta', 'replay') OR (what = 'snapshot' AND (refresh OR b IS NULL OR b = 'ack')))
+    SELECT recipient, ROW_NUMBER() OVER (PARTITION BY recipient ORDER BY tm, phase, object_id, revision, kind) AS seq, object_id, revision, kind, tm AS "at" FROM k""")
 def interest_deliveries(spark, sf):
     return L.interest_deliveries(*_interest_inputs(spark, sf))[0]
 
 
-@query("interest_acks", INTEREST + " SELECT recipient, COALESCE(b IN ('delta', 'snapshot'), FALSE) AS known, COUNT(*) AS n FROM d WHERE what = 'ack' GROUP BY 1, 2")
+@query("interest_acks", INTEREST + " SELECT recipient, object_id, revision, tm AS \"at\", COALESCE(b <> 'ack', FALSE) AS known FROM d WHERE what = 'ack'")
 def interest_acks(spark, sf):
-    return L.interest_deliveries(*_interest_inputs(spark, sf))[1].groupBy("recipient", "known").agg(F.count(F.lit(1)).alias("n"))
+    return L.interest_deliveries(*_interest_inputs(spark, sf))[1]
 
 
 # Leases in the checking engine: one step per operation, the state carried along.
