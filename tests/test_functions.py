@@ -41,8 +41,8 @@ def test_text_helpers(spark):
     assert one(spark, X.fold_key(F.lit("Odin's Halls · 1,200"))) == one(spark, X.fold_key(F.lit("odins hall")))
     assert one(spark, X.detail_kv(F.lit("a=1 seq=-5 b=x"), "seq", "bigint")) == -5 and one(spark, X.detail_kv(F.lit("xseq=5"), "seq")) is None
     assert one(spark, X.first_sentence(F.lit("One. Two"))) == "One." and one(spark, X.first_sentence(F.lit("v1.2 only"))) == "v1.2 only"
-    letters = [one(spark, X.sheet_letter(F.lit(i))) for i in (0, 25, 26, 51, 701, 702, 703, 728, 1378)]
-    assert letters == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "AAB", "ABA", "BAA"]
+    letters = [one(spark, X.sheet_letter(F.lit(i))) for i in (0, 25, 26, 51, 701, 702, 703, 728, 1378, 16383, 18277, 18278, 475254, -1)]
+    assert letters == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "AAB", "ABA", "BAA", "XFD", "ZZZ", "AAAA", "AAAAA", None]
     assert [one(spark, X.classify(F.lit(t))) for t in ("It BROKE?", "I wish", "ok?", "hi")] == ["bug", "feature", "question", None]
     keys = spark.createDataFrame([(k,) for k in ("M10", "M2", "M2b", "K", "x y")], "k string")
     assert [r.k for r in keys.orderBy(X.natural_key(F.col("k"))).collect()] == ["K", "M2", "M2b", "M10", "x y"]

@@ -77,12 +77,15 @@ def first_sentence(text: Column) -> Column:
 
 
 def sheet_letter(index: Column) -> Column:
-    """0-based column index to spreadsheet letters (A..Z, AA..ZZ, AAA..)."""
-    def letter(n: Column) -> Column:
-        return F.char(F.lit(65) + n.cast("int"))
-    two = F.concat(letter(F.floor(index / 26) - 1), letter(index % 26))
-    three = F.concat(letter(F.floor((index - 702) / 676)), letter(F.floor((index - 702) / 26) % 26), letter(index % 26))
-    return F.when(index < 26, letter(index)).when(index < 702, two).otherwise(three)
+    """0-based column index to spreadsheet letters (A..Z, AA..ZZ, AAA..), for any BIGINT; null below 0."""
+    start = F.struct(F.lit("").alias("text"), index.cast("bigint").alias("left"))
+
+    def step(done: Column, _: Column) -> Column:
+        letter = F.char(F.lit(65) + F.pmod(done["left"], F.lit(26)).cast("int"))
+        more = F.struct(F.concat(letter, done["text"]).alias("text"), (F.call_function("div", done["left"], F.lit(26)) - 1).cast("bigint").alias("left"))
+        return F.when(done["left"] >= 0, more).otherwise(done)
+    # 14 letters name more columns than a BIGINT can count
+    return F.when(index >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda done: done["text"]))
 
 
 def classify(text: Column) -> Column:

@@ -123,7 +123,7 @@ BINDINGS = {
                      CAST(JSON(props, 'k') AS BIGINT) AS k, value FROM b_event_rows) t""",
     "b_positions": """
         SELECT l_linenumber AS sample, l_suppkey AS entity, 'r' || CAST(l_suppkey % 5 AS VARCHAR(9)) AS region,
-               CAST(SUM(l_partkey) % 300 AS DOUBLE) AS x, CAST(SUM(l_orderkey) % 300 AS DOUBLE) AS z
+               CAST(SUM(l_partkey) % 300 + 300 * CAST(FLOOR(l_suppkey / 50.0) AS BIGINT) AS DOUBLE) AS x, CAST(SUM(l_orderkey) % 300 AS DOUBLE) AS z
         FROM lineitem GROUP BY l_linenumber, l_suppkey""",
 }
 

@@ -56,12 +56,23 @@ def split_candidates(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("fate", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_recent_files", "SELECT COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM b_events")
+# Files of a log: two writes, of which the second is read; and rows of it at most.
+NEWEST, ROW_CAP = 6, 100
+
+
+@query("scan_recent_files", f"""
+    WITH late AS (SELECT COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM b_events WHERE k % 3 = 0)
+    SELECT n, ids, LEAST(n, {ROW_CAP}) AS capped, TRUE AS in_order FROM late""")
 def scan_recent_files(spark, sf):
+    """The newest files of two writes: all their rows, and how many are left under a small cap, which are the first ones."""
     path = S.scratch(spark, "recent")
-    _write_lines(bind(spark, sf, "b_events").select(F.col("event_id").cast("string").alias("value")), path)
-    lines = R.scan_recent_files(spark, path, max_files=64, max_rows=1_000_000_000)
-    return lines.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("ids"))
+    lines, late = bind(spark, sf, "b_events").select("k", F.col("event_id").cast("string").alias("value")), F.col("k") % 3 == 0
+    _write_lines(lines.filter(~late), path)
+    lines.filter(late).select("value").repartition(NEWEST).write.mode("append").text(path)
+    read = R.scan_recent_files(spark, path, max_files=NEWEST, max_rows=1 << 60)
+    capped = R.scan_recent_files(spark, path, max_files=NEWEST, max_rows=ROW_CAP).agg(
+        F.count(F.lit(1)).alias("capped"), F.coalesce(F.max("row") == F.count(F.lit(1)), F.lit(True)).alias("in_order"))
+    return read.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("ids")).crossJoin(capped)  # one row each
 
 
 @query("explode_messages", """

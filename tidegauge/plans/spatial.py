@@ -130,23 +130,30 @@ def footprint_join(spark, sf):
     return S.footprint_join(marks, cells, CELL).groupBy("cluster_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-BOXES = f"""boxes AS (SELECT l_suppkey AS cluster_id, MIN(x) AS min_x, MAX(x) AS max_x, MIN(y) AS min_y, MAX(y) AS max_y, MIN(z) AS min_z,
-      MAX(z) AS max_z, ROUND(AVG(x), 1) AS center_x, ROUND(AVG(z), 1) AS center_z FROM b_points WHERE l_linenumber = 2 GROUP BY l_suppkey)"""
+# A world that grows with its clusters: each has a place of its own and shares its edges with the next ones.
+BOXES = """pts AS (SELECT category, prefab_name, 40.0 * l_suppkey + l_partkey % 60 AS x, y, z, l_suppkey FROM b_points),
+    boxes AS (SELECT l_suppkey AS cluster_id, MIN(x) AS min_x, MAX(x) AS max_x, MIN(y) AS min_y, MAX(y) AS max_y, MIN(z) AS min_z,
+      MAX(z) AS max_z, ROUND(AVG(x), 1) AS center_x, ROUND(AVG(z), 1) AS center_z FROM pts GROUP BY l_suppkey)"""
 
 
-def _boxes(spark, sf):
-    return bind(spark, sf, "b_points").filter("l_linenumber = 2").groupBy(F.col("l_suppkey").alias("cluster_id")).agg(
+def _row_of_clusters(spark, sf):
+    return bind(spark, sf, "b_points").withColumn("x", (40 * F.col("l_suppkey") + F.col("l_partkey") % 60).cast("double"))
+
+
+def _boxes(points):
+    return points.groupBy(F.col("l_suppkey").alias("cluster_id")).agg(
         *[f(a).alias(f"{m}_{a}") for a in ("x", "y", "z") for f, m in ((F.min, "min"), (F.max, "max"))],
         *[F.round(F.avg(a), 1).alias(f"center_{a}") for a in ("x", "z")])
 
 
 @query("box_join", f"""
     WITH {BOXES}
-    SELECT b.cluster_id, COUNT(*) AS n, SUM(p.x) AS sx, SUM(p.y) AS sy FROM b_points p JOIN boxes b
+    SELECT b.cluster_id, COUNT(*) AS n, SUM(p.x) AS sx, SUM(p.y) AS sy FROM pts p JOIN boxes b
       ON p.x BETWEEN min_x - 8 AND max_x + 8 AND p.y BETWEEN min_y - 4 AND max_y + 4 AND p.z BETWEEN min_z - 8 AND max_z + 8
     GROUP BY b.cluster_id""")
 def box_join(spark, sf):
-    return S.box_join(bind(spark, sf, "b_points"), _boxes(spark, sf)).groupBy("cluster_id").agg(
+    points = _row_of_clusters(spark, sf)
+    return S.box_join(points, _boxes(points)).groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
@@ -154,28 +161,29 @@ def box_join(spark, sf):
     WITH {BOXES},
     m AS (SELECT DISTINCT b.cluster_id, p.category, p.prefab_name, p.x, p.y, p.z,
         (p.x - center_x) * (p.x - center_x) + (p.z - center_z) * (p.z - center_z) AS d2
-      FROM b_points p JOIN boxes b ON p.x BETWEEN min_x - 8 AND max_x + 8 AND p.y BETWEEN min_y - 4 AND max_y + 4
+      FROM pts p JOIN boxes b ON p.x BETWEEN min_x - 8 AND max_x + 8 AND p.y BETWEEN min_y - 4 AND max_y + 4
         AND p.z BETWEEN min_z - 8 AND max_z + 8),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY category, prefab_name, x, y, z ORDER BY ROUND(d2, 4), cluster_id) AS k FROM m)
     SELECT category, prefab_name, x, y, z, cluster_id, ROUND(d2, 4) AS d2 FROM r WHERE k = 1""")
 def assign_nearest(spark, sf):
-    boxes = _boxes(spark, sf)
-    matches = S.box_join(bind(spark, sf, "b_points"), boxes.drop("center_x", "center_z"))
+    points = _row_of_clusters(spark, sf)
+    boxes = _boxes(points)
+    matches = S.box_join(points, boxes.drop("center_x", "center_z"))
     return S.assign_nearest(matches, boxes, "category", "prefab_name").withColumn("d2", F.round("d2", 4))
 
 
 @query("nearest_within", """
-    WITH c AS (SELECT s_suppkey AS center_id, CAST(s_suppkey * 37 % 600 AS DOUBLE) AS center_x, CAST(s_suppkey * 91 % 320 AS DOUBLE) AS center_z FROM supplier),
-    p AS (SELECT o_orderkey AS id, CAST(o_custkey % 600 AS DOUBLE) AS x, CAST(o_orderkey % 320 AS DOUBLE) AS z FROM orders),
+    WITH c AS (SELECT s_suppkey AS center_id, CAST(s_suppkey * 37 % 600 + s_suppkey // 20 * 600 AS DOUBLE) AS center_x, CAST(s_suppkey * 91 % 320 AS DOUBLE) AS center_z FROM supplier),
+    p AS (SELECT o_orderkey AS id, CAST(o_custkey % 600 + o_custkey // 300 * 600 AS DOUBLE) AS x, CAST(o_orderkey % 320 AS DOUBLE) AS z FROM orders),
     m AS (SELECT id, center_id, (x - center_x) * (x - center_x) + (z - center_z) * (z - center_z) AS d2 FROM p JOIN c
             ON center_x BETWEEN x - 25 AND x + 25 AND center_z BETWEEN z - 25 AND z + 25),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY d2, center_id) AS k FROM m WHERE d2 <= 625)
     SELECT p.id, center_id, ROUND(SQRT(d2), 6) AS distance FROM p LEFT JOIN (SELECT * FROM r WHERE k = 1) b ON b.id = p.id""")
 def nearest_within(spark, sf):
     key = F.col("s_suppkey")
-    centers = table(spark, sf, "supplier").select(key.alias("center_id"), (key * 37 % 600).cast("double").alias("center_x"),
+    centers = table(spark, sf, "supplier").select(key.alias("center_id"), (key * 37 % 600 + F.expr("s_suppkey div 20 * 600")).cast("double").alias("center_x"),
                                                   (key * 91 % 320).cast("double").alias("center_z"))
-    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 600).cast("double").alias("x"),
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey % 600 + o_custkey div 300 * 600").cast("double").alias("x"),
                                                (F.col("o_orderkey") % 320).cast("double").alias("z"))
     return S.nearest_within(points, centers, "id", 25.0).withColumn("distance", F.round("distance", 6))
 

@@ -47,7 +47,9 @@ def natural_order(spark, sf):
 
 
 @query("sheet_letters", """
-    SELECT p_partkey, CASE WHEN p_partkey % 2000 < 26 THEN chr(CAST(65 + p_partkey % 2000 AS INT)) WHEN p_partkey % 2000 < 702 THEN chr(CAST(64 + (p_partkey % 2000) // 26 AS INT)) || chr(CAST(65 + p_partkey % 2000 % 26 AS INT))
-      ELSE chr(CAST(65 + (p_partkey % 2000 - 702) // 676 AS INT)) || chr(CAST(65 + (p_partkey % 2000 - 702) // 26 % 26 AS INT)) || chr(CAST(65 + p_partkey % 2000 % 26 AS INT)) END AS letters FROM part""")
+    WITH a AS (SELECT p_partkey, p_partkey * 977 AS n FROM part), b AS (SELECT *, n // 26 - 1 AS m FROM a), c AS (SELECT *, CASE WHEN m >= 0 THEN m // 26 - 1 ELSE -1 END AS l FROM b),
+    d AS (SELECT *, CASE WHEN l >= 0 THEN l // 26 - 1 ELSE -1 END AS k FROM c), e AS (SELECT *, CASE WHEN k >= 0 THEN k // 26 - 1 ELSE -1 END AS j FROM d)
+    SELECT p_partkey, CASE WHEN j >= 0 THEN chr(CAST(65 + j % 26 AS INT)) ELSE '' END || CASE WHEN k >= 0 THEN chr(CAST(65 + k % 26 AS INT)) ELSE '' END || CASE WHEN l >= 0 THEN chr(CAST(65 + l % 26 AS INT)) ELSE '' END
+      || CASE WHEN m >= 0 THEN chr(CAST(65 + m % 26 AS INT)) ELSE '' END || chr(CAST(65 + n % 26 AS INT)) AS letters FROM e""")
 def sheet_letters(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.sheet_letter(F.col("p_partkey") % 2000).alias("letters"))
+    return table(spark, sf, "part").select("p_partkey", X.sheet_letter(F.col("p_partkey") * 977).alias("letters"))
