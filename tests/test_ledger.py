@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidegauge.operators import ledger as L, progress as P, ranking as R
+from tidegauge.operators.sets import nested_diff
 from tidegauge.streaming.processors import Lease
 
 RECEIPT = "window_id string, recipient_id string, seq bigint, empty_body boolean, us bigint"
@@ -45,6 +46,17 @@ def test_interest_snapshot_replays_only_what_is_not_pending(spark):
     assert rows(verdicts, "object_id", "known") == [(1, True), (9, False)]
 
 
+def test_nested_diff_tells_a_lone_parent_once(spark):
+    schema = "part string, field string, sub string, kind string"
+    old = spark.createDataFrame([("a", "x", "1", "int"), ("a", "y", "1", "int"), ("b", "x", "1", "int"), ("b", "z", None, "int"), (None, "q", "1", "int"), ("e", None, None, None)], schema)
+    new = spark.createDataFrame([("a", "x", "1", "text"), ("a", "w", "1", None), ("c", "x", "1", "int"), (None, "q", "2", "int"), ("e", "f", "1", "int")], schema)
+    got = rows(nested_diff(old, new, ["part"], ["field", "sub"], "kind"), "part", "field", "sub", "change", "children", "old_value", "new_value")
+    assert got == sorted([("b", None, None, "removed", 2, None, None), ("c", None, None, "added", 1, None, None), ("a", "x", "1", "retyped", None, "int", "text"),
+                          ("a", "y", "1", "removed", None, "int", None), ("a", "w", "1", "added", None, None, None), (None, "q", "1", "removed", None, "int", None),
+                          (None, "q", "2", "added", None, None, "int"), ("e", "f", "1", "added", None, None, "int")], key=repr)
+    assert nested_diff(old.limit(0), new.limit(0), ["part"], ["field", "sub"], "kind").count() == 0
+
+
 class Journal:
     """One gateway, row by row: objects, interests, pending deliveries and a sequence per recipient."""
 

@@ -23,6 +23,34 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> D
         *keys, "change", F.col("old.v").alias("old_value"), F.col("new.v").alias("new_value"))
 
 
+def nested_diff(old: DataFrame, new: DataFrame, parent: list[str], child: list[str], value: str) -> DataFrame:
+    """Differences of two snapshots by path: ``(*parent, *child, change, children, old_value, new_value)``.
+
+    A parent on one side only is one row (``added`` or ``removed``, child keys null, with the number of its children); its children are not told one by
+    one. Under parents on both sides each child that was added, removed or retyped is a row (``children`` null). A row whose child keys are all null is a parent
+    without children. Parents are told apart by partial counts, so one with most of all children is no hot group; null keys meet null keys.
+    """
+    leaf = F.sign(F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in child])))).cast("int")
+    sides = old.select(*parent, F.lit(1).alias("side"), leaf.alias("leaf")).unionByName(new.select(*parent, F.lit(2).alias("side"), leaf.alias("leaf")))
+    parents = sides.groupBy(*parent).agg(F.bit_or("side").alias("side"), F.sum("leaf").alias("children"))
+    kinds = {c: old.schema[c].dataType for c in child} | {"old_value": old.schema[value].dataType, "new_value": new.schema[value].dataType}
+    whole = parents.filter("side < 3").withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}).withColumn(
+        "change", F.when(F.col("side") == 1, "removed").otherwise("added"))
+    # both snapshots in one grouping, so that null keys are equal and no join multiplies rows
+    rows = old.filter(leaf == 1).select(*parent, *child, F.struct(F.col(value).alias("v")).alias("old"), F.lit(None).alias("new")).unionByName(
+        new.filter(leaf == 1).select(*parent, *child, F.lit(None).alias("old"), F.struct(F.col(value).alias("v")).alias("new")))
+    both = rows.groupBy(*parent, *child).agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    change = (F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old.v").eqNullSafe(F.col("new.v")), "retyped"))
+    changed = both.withColumn("change", change).filter("change is not null")
+    alone = parents.filter("side < 3").select(*[F.col(c).alias(f"__{c}") for c in parent])
+    same = F.lit(True)
+    for c in parent:
+        same = same & changed[c].eqNullSafe(alone[f"__{c}"])
+    inside = changed.join(alone, same, "left_anti").withColumns({"children": F.lit(None).cast("bigint"), "old_value": F.col("old.v"), "new_value": F.col("new.v")})
+    columns = [*parent, *child, "change", "children", "old_value", "new_value"]
+    return whole.select(*columns).unionByName(inside.select(*columns))
+
+
 def array_set_diff(df: DataFrame, keys: list[str], current: str, before: str) -> DataFrame:
     """Ids that came and went per key; rows without a change are left out, no earlier set means all came."""
     none = F.array().cast(df.schema[current].dataType)

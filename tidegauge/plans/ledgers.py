@@ -491,6 +491,25 @@ def keyed_diff(spark, sf):
     return D.keyed_diff(old, new, ["key"], "value")
 
 
+@query("nested_diff", """
+    WITH o AS (SELECT l_orderkey AS component, l_linenumber AS field, MAX(l_partkey) AS kind FROM lineitem GROUP BY 1, 2),
+    n AS (SELECT CASE WHEN component % 10 = 1 THEN component + 100000000 ELSE component END AS component, field, CASE WHEN kind % 5 = 0 THEN kind + 1 ELSE kind END AS kind FROM o WHERE field <> 3 OR component % 7 <> 0
+      UNION ALL SELECT component, 99, 7 FROM o WHERE component % 10 <> 1 GROUP BY component HAVING component % 4 = 0),
+    p AS (SELECT component, MAX(a) AS a, MAX(b) AS b, COUNT(*) AS children FROM (SELECT component, 1 AS a, 0 AS b FROM o UNION ALL SELECT component, 0, 1 FROM n) u GROUP BY component)
+    SELECT component, NULL AS field, CASE WHEN a = 1 THEN 'removed' ELSE 'added' END AS change, children, NULL AS old_value, NULL AS new_value FROM p WHERE a + b = 1
+    UNION ALL SELECT component, field, CASE WHEN o.kind IS NULL THEN 'added' WHEN n.kind IS NULL THEN 'removed' ELSE 'retyped' END, NULL, o.kind, n.kind FROM o FULL JOIN n USING (component, field)
+      WHERE component IN (SELECT component FROM p WHERE a + b = 2) AND (o.kind IS NULL OR n.kind IS NULL OR o.kind <> n.kind)""")
+def nested_diff(spark, sf):
+    """Components (orders) with fields (lines): some components renamed, some fields dropped, added or retyped."""
+    old = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("component"), F.col("l_linenumber").cast("bigint").alias("field")).agg(F.max("l_partkey").alias("kind"))
+    component, kind = F.col("component"), F.col("kind")
+    new = old.filter((F.col("field") != 3) | (component % 7 != 0)).select(
+        F.when(component % 10 == 1, component + 100_000_000).otherwise(component).alias("component"), "field", F.when(kind % 5 == 0, kind + 1).otherwise(kind).alias("kind"))
+    more = old.filter((component % 10 != 1) & (component % 4 == 0)).select("component").distinct().select(
+        "component", F.lit(99).cast("bigint").alias("field"), F.lit(7).cast("bigint").alias("kind"))
+    return D.nested_diff(old, new.unionByName(more), ["component"], ["field"], "kind")
+
+
 @query("array_set_diff", """
     WITH s AS (SELECT actor_id, list(DISTINCT k) FILTER (us >= 1705276800000000) AS c, list(DISTINCT k) FILTER (us < 1705276800000000) AS p FROM b_events GROUP BY actor_id),
     d AS (SELECT actor_id, list_sort(list_filter(c, lambda x: NOT list_contains(p, x))) AS a, list_sort(list_filter(p, lambda x: NOT list_contains(c, x))) AS r, LEN(c) AS total FROM s)
