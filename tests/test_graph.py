@@ -60,8 +60,18 @@ def test_spread_pick_is_the_greedy_list(spark):
             continue
         want.append((x, z))
         owners.add(owner)
-    got = G.spread_pick(spark.createDataFrame(data, "cx bigint, cz bigint, pieces bigint, owner string"), 9)
-    assert [(r.cx, r.cz) for r in got.orderBy("pick").collect()] == want
+    df = spark.createDataFrame(data, "cx bigint, cz bigint, pieces bigint, owner string")
+    for first in (None, 4):
+        assert [(r.cx, r.cz) for r in G.spread_pick(df, 9, first).orderBy("pick").collect()] == want
+
+
+def test_spread_pick_stops_at_the_last_pick(spark, monkeypatch):
+    looked_at = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df, cut=G.cut_lineage: looked_at.append(cut(df)) or looked_at[-1])
+    cells = spark.range(4000).selectExpr("3 * id AS cx", "0L AS cz", "id AS pieces", "CAST(NULL AS STRING) AS owner")
+    assert [r.cx for r in G.spread_pick(cells, 5).orderBy("pick").collect()] == [3 * n for n in range(3999, 3994, -1)]
+    # the list itself, one part of it, one round of takes and what is left of the part
+    assert len(looked_at) == 4 and looked_at[1].count() == 64
 
 
 def test_enclosure_matches_direct_check(spark):

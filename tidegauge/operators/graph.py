@@ -132,31 +132,43 @@ def early_completions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done.join(open_, "depends_on", "left_semi").select("node", "depends_on")
 
 
-def spread_pick(cells: DataFrame, n: int) -> DataFrame:
+def spread_pick(cells: DataFrame, n: int, first: int | None = None) -> DataFrame:
     """Greedy choice by count: skip a cell touching an accepted one and a second cell of an owner, stop at ``n``.
 
-    ``cells`` has ``cx, cz, pieces, owner``. Taking, in rounds, every cell that comes first among its neighbours and
-    its owner's cells gives the same set as walking the whole list in order. Owners are compared through a minimum per
-    owner, not pair by pair.
+    ``cells`` has ``cx, cz, pieces, owner``. A cell's fate hangs on cells before it alone, so the list is taken in parts, each twice as long as the one
+    before (the first has ``first`` cells), until ``n`` cells are accepted: what lies behind the last accepted part is never looked at. Inside a part, taking,
+    in rounds, every cell that comes first among its neighbours and its owner's cells gives the same set as walking the
+    list in order. Owners are compared through a minimum per owner, not pair by pair.
     """
-    rank = F.struct((-F.col("pieces")).alias("p"), F.col("cx"), F.col("cz"))
     around = F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cz") + b).alias("cz"))
                                  for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    open_ = cut_lineage(cells.select("cx", "cz", "pieces", "owner").withColumn("rank", rank))
+    listed = ordered(cells.select("cx", "cz", "pieces", "owner").withColumn("lead", -F.col("pieces")), [], ["lead", "cx", "cz"])
+    listed = cut_lineage(listed.scan(place=position()).df.drop("lead"))
+    total, begin, size = listed.count(), 0, first or max(64, 8 * n)
     accepted: list[DataFrame] = []
-    while not open_.isEmpty():
-        near = (open_.select(around.alias("at"), "rank").groupBy("at.cx", "at.cz").agg(F.min("rank").alias("near")))
-        own = open_.filter("owner is not null").groupBy("owner").agg(F.min("rank").alias("own"))
-        take = cut_lineage(open_.join(near, ["cx", "cz"]).join(own, "owner", "left")
-                           .filter((F.col("rank") == F.col("near")) & F.coalesce(F.col("rank") == F.col("own"), F.lit(True)))
-                           .select("cx", "cz", "pieces", "owner", "rank"))
-        accepted.append(take)
-        blocked = take.select(around.alias("at")).select("at.cx", "at.cz").distinct()
-        open_ = cut_lineage(open_.join(blocked, ["cx", "cz"], "left_anti")
-                            .join(take.filter("owner is not null").select("owner"), "owner", "left_anti")
-                            .select("cx", "cz", "pieces", "owner", "rank"))
+    count = 0
+
+    def free(rows: DataFrame, takes: DataFrame) -> DataFrame:
+        """Rows that touch none of ``takes`` and have another owner."""
+        blocked = takes.select(around.alias("at")).select("at.cx", "at.cz").distinct()
+        return rows.join(blocked, ["cx", "cz"], "left_anti").join(takes.filter("owner is not null").select("owner"), "owner", "left_anti") \
+            .select("cx", "cz", "pieces", "owner", "place")
+    while begin < total and count < n:
+        open_ = listed.filter((F.col("place") > begin) & (F.col("place") <= begin + size))
+        if accepted:
+            open_ = free(open_, reduce(DataFrame.unionByName, accepted))
+        open_ = cut_lineage(open_)
+        begin, size = begin + size, 2 * size
+        while not open_.isEmpty():
+            near = open_.select(around.alias("at"), "place").groupBy("at.cx", "at.cz").agg(F.min("place").alias("near"))
+            own = open_.filter("owner is not null").groupBy("owner").agg(F.min("place").alias("own"))
+            take = cut_lineage(open_.join(near, ["cx", "cz"]).join(own, "owner", "left")
+                               .filter((F.col("place") == F.col("near")) & F.coalesce(F.col("place") == F.col("own"), F.lit(True)))
+                               .select("cx", "cz", "pieces", "owner", "place"))
+            accepted.append(take)
+            count += take.count()
+            open_ = cut_lineage(free(open_, take))
     if not accepted:
         return cells.select("cx", "cz", "pieces", "owner", F.lit(0).cast("bigint").alias("pick")).limit(0)
-    picks = reduce(DataFrame.unionByName, accepted).orderBy("rank").limit(n)
-    return ordered(picks.withColumn("lead", -F.col("pieces")), [], ["lead", "cx", "cz"]).scan(pick=position()).df \
-        .select("cx", "cz", "pieces", "owner", "pick")
+    picks = reduce(DataFrame.unionByName, accepted).orderBy("place").limit(n)
+    return ordered(picks, [], ["place"]).scan(pick=position()).df.select("cx", "cz", "pieces", "owner", "pick")
