@@ -21,8 +21,10 @@ BURST = 128
 OWN_QUEUES, SHARED_QUEUES = 192, 64
 #: Rows of (task, source) starts that may be broadcast, with names under 256 characters: some 15 MB at most.
 STARTS_BROADCAST = 50_000
-#: Texts and ids that are worked on at once, in characters or tokens.
+#: Ids that are placed at once, in bytes.
 CHUNK = 2 << 20
+#: Bytes of texts whose words are looked up at once.
+TEXTS = 6 << 20
 GOLDEN = 0.6180339887498949
 
 
@@ -33,28 +35,31 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seen = encoder(path), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], tool.kind).tobytes()
+        end = tool.kind.type(end_id)
         for batch in batches:
-            for piece in _slices(batch):
-                ids = [raw + end for raw in tool.encode([t or "" for t in piece.column(2).to_pylist()])]
-                sizes = [len(raw) // tool.kind.itemsize for raw in ids]
+            for piece in _slices(batch, TEXTS):
+                found, counts = tool.encode_column(piece.column(2))
+                sizes = counts + 1
+                ids = np.insert(found, np.cumsum(counts), end)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * tool.kind.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
                 before = []
-                for source, n in zip(piece.column(1).to_pylist(), sizes):
+                for source, n in zip(piece.column(1).to_pylist(), sizes.tolist()):
                     before.append(seen.get(source, 0))
                     seen[source] = before[-1] + n
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": piece.column(0), "key": piece.column(1), "part": pa.array([part] * len(ids), pa.int32()),
-                    "before": pa.array(before, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": pa.array(ids, pa.binary())})
+                    "doc_id": piece.column(0), "key": piece.column(1), "part": pa.array(np.full(len(sizes), part, np.int32)),
+                    "before": pa.array(before, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": raw})
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     return mapped(rows, encode, "doc_id bigint, key string, part int, before bigint, n bigint, ids binary")
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose last column holds about CHUNK bytes; a larger row is a run of its own."""
+def _slices(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose last column holds at most ``most`` bytes; a larger row is a run of its own."""
     size = start = 0
     for n, value in enumerate(batch.column(batch.num_columns - 1)):
         own = value.as_buffer().size if value.is_valid else 0
-        if size and size + own > CHUNK:
+        if size and size + own > most:
             yield batch.slice(start, n - start)
             start, size = n, 0
         size += own
