@@ -19,8 +19,8 @@ from tidegauge.llm.common import mapped, written
 HEAD = 100_000
 #: Distinct words a task counts before it hands the counts on.
 HELD = 400_000
-#: Share of the training documents that the recurrent model is fitted on (counts use all), and tokens a replica.
-TRAIN_SHARE, REPLICA_TOKENS = 8, 2_000_000
+#: Tokens of the training documents that a replica of the recurrent model is fitted on.
+REPLICA_TOKENS = 2_000_000
 #: Documents of the common start of all replicas.
 WARM_DOCS = 512
 #: Tokens that are scored or trained on at once.
@@ -150,9 +150,8 @@ def lm_scores(docs: DataFrame, learn: Column, seed: int = 5) -> DataFrame:
     recurrent model over the most frequent words, a class for all others, and the smoothed counts among those; its state runs
     through the whole document.
 
-    Counts cover all training texts. The model starts from ``WARM_DOCS`` documents; then one training document in
-    ``TRAIN_SHARE`` (by hash, so their number grows with the corpus) trains replicas of about ``REPLICA_TOKENS`` tokens each,
-    which are averaged. The ``HEAD`` most frequent words go to all tasks; the counts of rarer ones are joined, once per document
+    Counts cover all training texts. The model starts from ``WARM_DOCS`` documents; then all training documents train replicas of
+    about ``REPLICA_TOKENS`` tokens each, which are averaged. The ``HEAD`` most frequent words go to all tasks; the counts of rarer ones are joined, once per document
     and word, so no task holds the vocabulary.
 
     Null or empty text: the end token only. Repeated rows each get a result. With nothing to learn from, counts are zero and the
@@ -177,9 +176,8 @@ def lm_scores(docs: DataFrame, learn: Column, seed: int = 5) -> DataFrame:
         few = min(1 << 30, -(-(1 << 30) * 3 * WARM_DOCS // max(1, ends)))  # a share that holds some more than are wanted
         warm = training.filter(F.pmod(dealt, F.lit(1 << 30)) < few).select(text, dealt.alias("h")).orderBy("h", "text").limit(WARM_DOCS).select("text").coalesce(1)
         flat = _averaged(warm, vocabulary, flat)
-        replicas = max(1, round(total / TRAIN_SHARE / REPLICA_TOKENS))
-        share = training.filter(F.pmod(dealt, F.lit(TRAIN_SHARE)) == 0).select(text).repartition(replicas)
-        flat = _averaged(share, vocabulary, flat)
+        replicas = max(1, round(total / REPLICA_TOKENS))
+        flat = _averaged(training.select(text).repartition(replicas), vocabulary, flat)
     model = spark.sparkContext.broadcast(flat[:gru.SIZE])
 
     facts = written(mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text), _scorer(vocabulary, model),
