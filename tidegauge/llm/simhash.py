@@ -30,7 +30,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         shingles: Iterator[bytes] = iter([b" ".join(tokens)])
     else:
         shingles = map(b" ".join, zip(*[tokens[k:] for k in range(words)]))
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8))
+
+
+def majority(digests: np.ndarray) -> int:
+    """Bits that are set in over half of the digests, 8 bytes each, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(digests), BLOCK):
         ones += np.unpackbits(digests[at:at + BLOCK], axis=1).sum(axis=0, dtype=np.int64)
