@@ -93,6 +93,34 @@ def test_journal(spark, tmp_path):
     assert rows(out, "line", "verdict") == rows(L.journal_verdicts(log, "now", ["object_id"], ["line"], "object_revision"), "line", "verdict")
 
 
+def test_states_of_many_keys_lie_side_by_side(spark, tmp_path, monkeypatch):
+    """A call and a state for a bucket of keys, not for each; keys with a missing part are keys like others."""
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    df = spark.range(400).selectExpr("CASE WHEN id % 50 > 0 THEN id % 50 END AS a", "CASE WHEN id % 7 > 0 THEN 'x' || id % 7 END AS b", "id AS at", "id")
+    out = drained(df, tmp_path, "at", lambda s: S.spaced_stream(s, ["a", "b"], "at", ["id"], 360), 150)
+    last, want = {}, []
+    for i in range(400):
+        key = (i % 50, i % 7)
+        take = key not in last or i - last[key] >= 360
+        last[key] = i if take else last[key]
+        want.append((i, take))
+    assert rows(out, "id", "picked") == sorted(want, key=repr)
+    kept = spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint"), stateVarName="states")
+    assert 3 <= kept.count() <= 12, "three buckets for each pattern of missing parts"
+
+
+def test_ledgers_of_many_recipients_lie_side_by_side(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 2)
+    df = spark.range(600).selectExpr("'receipt' AS kind", "id div 20 * 2 + id % 20 % 3 AS seq", "id AS us", "id AS line", "id % 3 AS window_id", "id % 20 AS recipient_id")
+    out = drained(df, tmp_path, "us", lambda s: S.receipt_ledger(s, 10), 200)
+    last = out.groupBy("window_id", "recipient_id").agg(F.max("receipts").alias("receipts"), F.max("distinct_seq").alias("seqs"))
+    want = df.groupBy("window_id", "recipient_id").agg(F.count("seq").alias("receipts"), F.countDistinct("seq").alias("seqs"))
+    names = ("window_id", "recipient_id", "receipts", "seqs")
+    assert rows(last, *names) == rows(want, *names)
+    kept = spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint"), stateVarName="ledgers")
+    assert kept.count() == 2
+
+
 def test_ticks_wait_for_a_full_window(spark, tmp_path):
     ticks = spark.range(330).selectExpr("id % 2 AS stream", "id AS tick", "id AS us", "(id * 7) % 90 AS total_ms", "1L AS sent", "false AS degraded")
     out = drained(ticks, tmp_path, "us", lambda s: S.tick_stream(s.drop("degraded")), 70)

@@ -2,10 +2,14 @@
 
 Each processor keeps a few numbers per key and handles the rows of a micro-batch in their own order, so the result does
 not depend on how rows are cut into batches as long as they arrive in order.
+
+Processors without timers (``KeyedWalk``, ``ReceiptLedger``) are called once for a bucket of many keys, whose states lie side by side in one
+value: a call, a pandas table and each touch of the state cost milliseconds, which is too much for each key.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import nsmallest
@@ -19,6 +23,61 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
 
 
+def _keys(pdf: pd.DataFrame, names: list[str]) -> list[tuple]:
+    """Key of each row; a missing value is None and NaN equals NaN. Both never meet in one bucket (``streams._bucket``)."""
+    return list(zip(*[pdf[n].tolist() if pdf[n].dtype.kind in "iub" else [None if v != v else v for v in pdf[n].tolist()] for n in names]))
+
+
+def _load(state) -> dict:
+    return pickle.loads(state.get()[0]) if state.exists() else {}
+
+
+def _save(state, states: dict) -> None:
+    state.update((pickle.dumps(states, pickle.HIGHEST_PROTOCOL),))
+
+
+class KeyedWalk(StatefulProcessor):
+    """Takes the rows of a bucket of keys one after the other, each with the state of its key.
+
+    ``step(state, *inputs)`` gives the next state and what the row is told; ``inputs`` and ``columns`` name columns, ``made`` the new one.
+    """
+
+    def __init__(self, keys: list[str], order: list[str], inputs: list[str], columns: list[str], made: str):
+        self.keys, self.order, self.inputs, self.columns, self.made = keys, order, inputs, columns, made
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = handle.getValueState("states", "packed binary")
+
+    def step(self, state, *inputs):
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, self.order)
+        if not len(pdf):
+            return
+        states, told = _load(self.states), []
+        for k, inputs in zip(_keys(pdf, self.keys), zip(*[pdf[c].tolist() for c in self.inputs])):
+            states[k], said = self.step(states.get(k), *inputs)
+            told.append(said)
+        _save(self.states, states)
+        yield pdf[self.columns].assign(**{self.made: told})
+
+
+class Spaced(KeyedWalk):
+    """First row of a key and then each row at least ``gap`` after the last picked one (cooldown, first hit, thinning).
+
+    A row whose ``reset`` flag is set is picked in any case and restarts the clock.
+    """
+
+    def __init__(self, gap: int, keys: list[str], order: list[str], columns: list[str], reset: str | None = None):
+        super().__init__(keys, order, [order[0], *([reset] if reset else [])], columns, "picked")
+        self.gap = gap
+
+    def step(self, last, at, forced=False):
+        take = bool(forced) or last is None or at - last >= self.gap
+        return (at if take else last), take
+
+
 class SpacedPicks(StatefulProcessor):
     """First row of a key and then each row at least ``gap`` after the last picked one (cooldown, first hit, thinning).
 
@@ -61,56 +120,32 @@ class SpacedPicks(StatefulProcessor):
         yield from ()
 
 
-class FirstHit(StatefulProcessor):
+class FirstHit(KeyedWalk):
     """First hit per target and window since the last emitted one; a death clears it and is itself spaced."""
 
     def __init__(self, window: int):
+        super().__init__(["target_id"], ["at", "hit_id"], ["at", "kind"], ["target_id", "at", "hit_id", "kind"], "emitted")
         self.window = window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "hit bigint, death bigint")
+    def step(self, state, at, kind):
+        hit, death = state or (None, None)
+        last = death if kind == "death" else hit
+        fresh = last is None or at - last >= self.window
+        if kind == "death":
+            return (None, at if fresh else death), "killing_blow" if fresh else "none"
+        return (at if fresh else hit, death), "first_hit" if fresh else "none"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at", "hit_id"])
-        if not len(pdf):
-            return
-        hit, death = self.state.get() if self.state.exists() else (None, None)
-        emitted = []
-        for at, kind in zip(pdf["at"].tolist(), pdf["kind"].tolist()):
-            last = death if kind == "death" else hit
-            fresh = last is None or at - last >= self.window
-            if kind == "death":
-                hit, death = None, at if fresh else death
-            elif fresh:
-                hit = at
-            emitted.append(("killing_blow" if kind == "death" else "first_hit") if fresh else "none")
-        self.state.update((hit, death))
-        yield pdf[["target_id", "at", "hit_id", "kind"]].assign(emitted=emitted)
-
-
-class JournalState(StatefulProcessor):
+
+class JournalState(KeyedWalk):
     """Applies a journal row only when its revision is above the current one; emits every row with its verdict."""
 
-    def __init__(self, order: list[str], revision: str, columns: list[str]):
-        self.order, self.revision, self.columns = order, revision, columns
+    def __init__(self, keys: list[str], order: list[str], revision: str, columns: list[str]):
+        super().__init__(keys, order, [revision, "tombstone"], columns, "verdict")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "revision bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, self.order)
-        if not len(pdf):
-            return
-        top = self.current.get()[0] if self.current.exists() else None
-        verdicts = []
-        for revision, tombstone in zip(pdf[self.revision].tolist(), pdf["tombstone"].tolist()):
-            if top is not None and revision <= top:
-                verdicts.append("stale_journal_revision")
-            else:
-                top = revision
-                verdicts.append("tombstone" if tombstone else "delta")
-        self.current.update((int(top),))
-        yield pdf[self.columns].assign(verdict=verdicts)
+    def step(self, top, revision, tombstone):
+        if top is not None and revision <= top:
+            return top, "stale_journal_revision"
+        return revision, "tombstone" if tombstone else "delta"
 
 
 class Intervals:
@@ -139,26 +174,27 @@ class Intervals:
 
 
 class ReceiptLedger(StatefulProcessor):
-    """Receipts and acks of one (window, recipient): counts, gaps, pending, and shedding of the oldest pending rows.
+    """Receipts and acks of each (window, recipient): counts, gaps, pending, and shedding of the oldest pending rows.
 
     Rows of one kind and time ``us`` are one batch. A sequence acked twice in a batch counts once. If more than ``max_pending`` sequences wait
     after a batch of receipts, the oldest are shed, down to a tenth below the bound, and counted. What was seen is kept as
     ranges, so that state grows with the gaps and not with the sequences; pending ones are at most ``max_pending`` and one batch.
 
-    A batch may go on in the next micro-batch: the state is kept as before its shedding, the status tells it as after.
+    A batch may go on in the next micro-batch: the state is kept as before its shedding, the status tells it as after. A recipient with
+    up to ``few`` ranges has them as entries of the map ``seen``, one with more for good beside its counts, as each touch of a map is a call.
     """
 
+    few = 4
+
     def __init__(self, max_pending: int):
         self.max_pending = max_pending
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "receipts bigint, duplicates bigint, acked bigint, unknown bigint, shed bigint, "
-                                                     "low bigint, high bigint, seen bigint, us bigint, kind string")
-        self.pending = handle.getMapState("pending", "seq bigint", "line bigint")
-        self.acks = handle.getMapState("acks", "seq bigint", "line bigint")
-        self.seen = handle.getMapState("seen", "first bigint", "last bigint")
+        #: (window, recipient): counts, pending sequences, sequences named in the open batch of acks, ranges (None: in the map)
+        self.ledgers = handle.getValueState("ledgers", "packed binary")
+        self.seen = handle.getMapState("seen", "window_id bigint, recipient_id bigint, first bigint", "last bigint")
 
-    def _excess(self, waiting: dict) -> list[int]:
+    def _excess(self, waiting: set) -> list[int]:
         over = len(waiting) - self.max_pending
         return nsmallest(over + max(1, self.max_pending // 10), waiting) if over > 0 else []
 
@@ -166,47 +202,63 @@ class ReceiptLedger(StatefulProcessor):
         pdf = _ordered(rows, ["us", "kind", "seq", "line"])
         if not len(pdf):
             return
-        receipts, duplicates, acked, unknown, shed, low, high, distinct, open_us, open_kind = \
-            self.totals.get() if self.totals.exists() else (0, 0, 0, 0, 0, None, None, 0, None, None)
-        waiting = {k[0]: v[0] for k, v in self.pending.iterator()}
-        named = {k[0] for k in self.acks.keys()}
-        ranges = {k[0]: v[0] for k, v in self.seen.iterator()}
-        seen, before, told = Intervals(list(ranges.items())), dict(waiting), set(named)
-        for kind, seq, us, line in zip(pdf["kind"].tolist(), pdf["seq"].tolist(), pdf["us"].tolist(), pdf["line"].tolist()):
+        touched: dict[tuple, list] = {}
+        for k, row in zip(_keys(pdf, ["window_id", "recipient_id"]), zip(pdf["kind"].tolist(), pdf["seq"].tolist(), pdf["us"].tolist())):
+            touched.setdefault(k, []).append(row)
+        ledgers, mapped = _load(self.ledgers), {}
+        if any(k in ledgers and ledgers[k][3] is None for k in touched):
+            for (window, recipient, first), (last,) in self.seen.iterator():
+                mapped.setdefault((window, recipient), {})[first] = last
+        told = []
+        for k, batch in touched.items():
+            totals, waiting, named, ranges = ledgers.get(k) or ((0, 0, 0, 0, 0, None, None, 0, None, None), set(), set(), None)
+            before = mapped.get(k, {}) if ranges is None else {}
+            seen = Intervals(list(before.items()) if ranges is None else list(zip(*ranges)))
+            totals, waiting, named = self._walk(batch, totals, set(waiting), set(named), seen)
+            if ranges is None:
+                ranges = None if len(seen.starts) <= self.few else ()
+                now = dict(zip(seen.starts, seen.ends)) if ranges is None else {}
+                _replace(self.seen, {(*k, first): last for first, last in before.items()}, {(*k, first): last for first, last in now.items()})
+            ledgers[k] = totals, waiting, named, None if ranges is None else (seen.starts, seen.ends)
+            receipts, duplicates, acked, unknown, shed, low, high, distinct, us, kind = totals
+            excess = len(self._excess(waiting)) if kind == "receipt" else 0
+            told.append((*k, receipts, distinct, duplicates, acked, unknown, shed + excess, len(waiting) - excess, low, high, max(0, (high or 0) - distinct), us))
+        _save(self.ledgers, ledgers)
+        names = ["window_id", "recipient_id", "receipts", "distinct_seq", "duplicates", "acked", "unknown_acks", "shed", "pending", "min_seq", "max_seq", "missing", "batch_us"]
+        yield pd.DataFrame({n: pd.Series(v, dtype="Int64") for n, v in zip(names, zip(*told))})
+
+    def _walk(self, batch: list, totals: tuple, waiting: set, named: set, seen: Intervals) -> tuple[tuple, set, set]:
+        receipts, duplicates, acked, unknown, shed, low, high, distinct, open_us, open_kind = totals
+        for kind, seq, us in batch:
             if (us, kind) != (open_us, open_kind):
                 if open_kind == "receipt":
                     for old in self._excess(waiting):
-                        del waiting[old]
+                        waiting.discard(old)
                         shed += 1
                 named, open_us, open_kind = set(), us, kind
             if kind == "ack":
                 if seq not in named:
                     named.add(seq)
-                    known = waiting.pop(seq, None) is not None
+                    known = seq in waiting
+                    waiting.discard(seq)
                     acked, unknown = acked + known, unknown + (not known)
                 continue
             receipts += 1
             low, high = seq if low is None else min(low, seq), seq if high is None else max(high, seq)
             new = seen.add(seq)
             distinct, duplicates = distinct + new, duplicates + (not new)
-            waiting.setdefault(seq, line)
-        _replace(self.pending, before, waiting)
-        _replace(self.acks, dict.fromkeys(told, 0), dict.fromkeys(named, 0))
-        _replace(self.seen, ranges, dict(zip(seen.starts, seen.ends)))
-        self.totals.update((receipts, duplicates, acked, unknown, shed, low, high, distinct, int(open_us), open_kind))
-        excess = len(self._excess(waiting)) if open_kind == "receipt" else 0
-        yield pd.DataFrame([{"window_id": key[0], "recipient_id": key[1], "receipts": receipts, "distinct_seq": distinct, "duplicates": duplicates,
-                             "acked": acked, "unknown_acks": unknown, "shed": shed + excess, "pending": len(waiting) - excess, "min_seq": low,
-                             "max_seq": high, "missing": max(0, (high or 0) - distinct), "batch_us": int(pdf["us"].max())}])
+            waiting.add(seq)
+        return (receipts, duplicates, acked, unknown, shed, low, high, distinct, open_us, open_kind), waiting, named
 
 
 def _replace(state, before: dict, now: dict) -> None:
-    """Brings a map state from ``before`` to ``now``, touching only what changed."""
+    """Brings a map state from ``before`` to ``now``, touching only what changed; keys are numbers or tuples."""
+    row = lambda k: k if isinstance(k, tuple) else (int(k),)
     for k in before.keys() - now.keys():
-        state.removeKey((int(k),))
+        state.removeKey(row(k))
     for k, v in now.items():
         if before.get(k) != v:
-            state.updateValue((int(k),), (int(v),))
+            state.updateValue(row(k), (int(v),))
 
 
 class WitnessMerge(StatefulProcessor):
@@ -254,49 +306,39 @@ class WitnessMerge(StatefulProcessor):
         yield from ()
 
 
-class Hysteresis(StatefulProcessor):
+class Hysteresis(KeyedWalk):
     """Relevance of one (object, peer): enter at one radius, leave beyond a larger one. ``tick_no`` counts the object's ticks."""
 
     def __init__(self, enter: float, slack: float):
+        super().__init__(["object_id", "peer_id"], ["tick"], ["tick_no", "distance"], ["object_id", "peer_id", "tick"], "transition")
         self.enter, self.slack = enter, slack
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "within boolean, tick_no bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["tick"])
-        if not len(pdf):
-            return
-        within, at = self.state.get() if self.state.exists() else (False, None)
-        made = []
-        for n, d in zip(pdf["tick_no"].tolist(), pdf["distance"].tolist()):
-            had = bool(within) and (at is None or n - at <= 1)
-            finite = d is not None and d == d and 0 <= d < float("inf")
-            within = finite and d <= (self.enter + self.slack if had else self.enter)
-            made.append("retained" if within and had else "entered" if within else "left" if had else "outside")
-            at = n
-        self.state.update((bool(within), int(at)))
-        yield pdf[["object_id", "peer_id", "tick"]].assign(transition=made)
+    def step(self, state, n, d):
+        within, at = state or (False, None)
+        had = within and (at is None or n - at <= 1)
+        finite = d is not None and d == d and 0 <= d < float("inf")
+        within = finite and d <= (self.enter + self.slack if had else self.enter)
+        return (within, n), "retained" if within and had else "entered" if within else "left" if had else "outside"
 
 
 class Lease(StatefulProcessor):
     """Ownership of one object: issue, validate, complete and reclaim with reasons in a fixed order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lease = handle.getValueState("lease", "epoch bigint, run_id string, holder string, expires bigint, state string")
+        self.states = handle.getValueState("states", "packed binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["at", "op_id"])
         if not len(pdf):
             return
-        lease = list(self.lease.get()) if self.lease.exists() else None
-        epochs, reasons = [], []
-        for row in pdf.itertuples(index=False):
-            lease, reason = self.step(lease, row)
+        leases, epochs, reasons = _load(self.states), [], []
+        for (k,), row in zip(_keys(pdf, ["object_id"]), pdf.itertuples(index=False)):
+            lease, reason = self.step(leases.get(k), row)
+            if lease:
+                leases[k] = lease
             epochs.append(lease[0] if lease else 0)
             reasons.append(reason)
-        if lease:
-            self.lease.update(tuple(lease))
+        _save(self.states, leases)
         yield pdf[["object_id", "op_id", "at", "op"]].assign(lease_epoch=epochs, reason=reasons)
 
     @staticmethod

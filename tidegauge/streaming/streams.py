@@ -6,7 +6,7 @@ Rows of one key within a micro-batch are sorted in memory, so the size of a micr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidegauge.operators.events import PUBLIC_TYPES
@@ -35,6 +35,21 @@ def _stateful(sdf: DataFrame, keys: list[str], processor: StatefulProcessor, sch
         eventTimeColumnName=event_time)
 
 
+#: Buckets of keys whose states lie side by side; fixed for the life of a stream. A task holds the rows and states of one bucket at a time.
+BUCKETS = 512
+
+
+def _bucket(keys: list[str]) -> Column:
+    """Bucket of a key. Keys with different columns missing never share one, so a column of a bucket has all values or none."""
+    missing = sum((F.when(F.col(k).isNull(), 1 << n).otherwise(0) for n, k in enumerate(keys)), F.lit(0))
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + missing * BUCKETS
+
+
+def _side_by_side(sdf: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """One call of the processor for the keys of a bucket."""
+    return _stateful(sdf.withColumn("bucket__", _bucket(keys)), ["bucket__"], processor, schema)
+
+
 #: Event time that timers go by, and how far rows may come behind the newest one. Rows reach processors as named tuples, so names start with a letter.
 EVENT_TIME, LATE = "event_time__", "10 minutes"
 
@@ -61,7 +76,7 @@ def stream_feed(sdf: DataFrame, types: list[str] | None = None) -> DataFrame:
 def spaced_stream(sdf: DataFrame, keys: list[str], at: str, tie: list[str], gap: int, reset: str | None = None) -> DataFrame:
     """Cooldowns, first hits, repeats and thinning on a stream; see ``spaced_picks``."""
     columns = sdf.columns
-    return _stateful(sdf, keys, P.SpacedPicks(gap, [at, *tie], columns, reset), _types(sdf, columns) + ", picked boolean")
+    return _side_by_side(sdf, keys, P.Spaced(gap, keys, [at, *tie], columns, reset), _types(sdf, columns) + ", picked boolean")
 
 
 def quest_fire_stream(sdf: DataFrame, quests: DataFrame, players: list[str], at: str, tie: list[str], cooldown: int = 60 * SECOND,
@@ -87,21 +102,21 @@ def quest_fire_stream(sdf: DataFrame, quests: DataFrame, players: list[str], at:
 
 def first_hit_stream(sdf: DataFrame, window: int) -> DataFrame:
     """First hits and killing blows on a stream; see ``first_hit``."""
-    return _stateful(sdf, ["target_id"], P.FirstHit(window), _types(sdf, ["target_id", "at", "hit_id", "kind"]) + ", emitted string")
+    return _side_by_side(sdf, ["target_id"], P.FirstHit(window), _types(sdf, ["target_id", "at", "hit_id", "kind"]) + ", emitted string")
 
 
 def journal_stream(sdf: DataFrame, keys: list[str], order: list[str], revision: str, active_epoch: str) -> DataFrame:
     """Verdicts of journal rows of the active epoch; delivery-only rows never change state."""
     rows = sdf.filter((F.col("world_epoch") == active_epoch) & ~F.col("delivery_only"))
     columns = rows.columns
-    return _stateful(rows, keys, P.JournalState(order, revision, columns), _types(rows, columns) + ", verdict string")
+    return _side_by_side(rows, keys, P.JournalState(keys, order, revision, columns), _types(rows, columns) + ", verdict string")
 
 
 def receipt_ledger(sdf: DataFrame, max_pending: int) -> DataFrame:
     """Status of each touched (window, recipient) after every batch; ``sdf`` mixes receipts and acks by ``kind``."""
     schema = ("window_id bigint, recipient_id bigint, receipts bigint, distinct_seq bigint, duplicates bigint, acked bigint, unknown_acks bigint, "
               "shed bigint, pending bigint, min_seq bigint, max_seq bigint, missing bigint, batch_us bigint")
-    return _stateful(sdf, ["window_id", "recipient_id"], P.ReceiptLedger(max_pending), schema)
+    return _side_by_side(sdf, ["window_id", "recipient_id"], P.ReceiptLedger(max_pending), schema)
 
 
 def witness_stream(sdf: DataFrame, window: int, late: str = LATE) -> DataFrame:
@@ -115,11 +130,11 @@ def witness_stream(sdf: DataFrame, window: int, late: str = LATE) -> DataFrame:
 
 
 def hysteresis_stream(sdf: DataFrame, enter: float, slack: float) -> DataFrame:
-    return _stateful(sdf, ["object_id", "peer_id"], P.Hysteresis(enter, slack), _types(sdf, ["object_id", "peer_id", "tick"]) + ", transition string")
+    return _side_by_side(sdf, ["object_id", "peer_id"], P.Hysteresis(enter, slack), _types(sdf, ["object_id", "peer_id", "tick"]) + ", transition string")
 
 
 def lease_stream(sdf: DataFrame) -> DataFrame:
-    return _stateful(sdf, ["object_id"], P.Lease(), _types(sdf, ["object_id", "op_id", "at", "op"]) + ", lease_epoch bigint, reason string")
+    return _side_by_side(sdf, ["object_id"], P.Lease(), _types(sdf, ["object_id", "op_id", "at", "op"]) + ", lease_epoch bigint, reason string")
 
 
 def tick_stream(sdf: DataFrame, n: int = 100, budget: float = 50.0) -> DataFrame:
