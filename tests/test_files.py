@@ -6,6 +6,7 @@ import os
 
 
 from conftest import rows
+from tidegauge.plans import catalog
 from tidegauge.sources import readers as R, sinks as S
 
 
@@ -92,3 +93,9 @@ def test_extract_formats(spark, tmp_path):
         S.write_extract(df, str(tmp_path / fmt), fmt, ["label", "k"])
     text = "".join(p.read_text() for p in (tmp_path / "tsv").glob("part-*"))
     assert text == "label\tk\na b c\t1\n"
+
+
+def test_candidates_are_counted_in_one_pass(spark):
+    df = catalog.QUERIES["split_candidates"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -101,18 +101,22 @@ def read_segments(spark: SparkSession, path: str, required: list[str] | None = N
     return good, bad, stats
 
 
-def split_candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every line ``(line, value)`` is a candidate, ignored with a reason, or an anomaly with its raw text."""
-    field = lambda k: F.get_json_object("value", f"$.{k}")
-    kind = json_kind(F.col("value"))
-    event = F.coalesce(field("event"), field("event_type"), F.lit(""))
+def judged_candidates(lines: DataFrame) -> DataFrame:
+    """Fate of every line ``(line, value)``, with its reason (null for candidates) and event; each line is parsed once for its kind, once for its fields."""
+    read = lines.select("line", "value", json_kind(F.col("value")).alias("kind"), F.json_tuple("value", "event", "event_type", "dir").alias("event", "event_type", "dir"))
+    kind, event = F.col("kind"), F.lower(F.coalesce("event", "event_type", F.lit("")))
     # The two candidate events of a native log.
-    candidate = (F.lower(event) == "object") | ((F.lower(event) == "zdo") & F.coalesce(F.lower(field("dir")) == "send", F.lit(False)))
+    candidate = (event == "object") | ((event == "zdo") & F.coalesce(F.lower("dir") == "send", F.lit(False)))
     fate = ladder((F.trim("value") == "", "ignored"), (kind.isNull(), "anomaly"), (~kind.startswith("OBJECT"), "anomaly"),
                   (candidate, "candidate"), default="ignored")
     reason = ladder((F.trim("value") == "", "blank_line"), (kind.isNull(), "malformed_json"), (~kind.startswith("OBJECT"), "root_not_object"),
                     (candidate, None), default="non_candidate_event")
-    judged = lines.withColumns({"event": F.lower(event), "fate": fate, "reason": reason})
+    return read.select("line", "value", fate.alias("fate"), reason.alias("reason"), event.alias("event"))
+
+
+def split_candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every line ``(line, value)`` is a candidate, ignored with a reason, or an anomaly with its raw text; to count them take ``judged_candidates``."""
+    judged = judged_candidates(lines)
     return (judged.filter("fate = 'candidate'").select("line", "event", "value"),
             judged.filter("fate = 'ignored'").select("line", "reason", "event"),
             judged.filter("fate = 'anomaly'").select("line", "reason", F.col("value").alias("raw")))
