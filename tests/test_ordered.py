@@ -71,3 +71,21 @@ def test_slices_compare_values_exactly(spark):
         assert rows(whole.df, "id", "n") == rows(sliced.df, "id", "n")
         sizes = [r["count"] for r in sliced.sliced_rows().groupBy("__slice").count().collect()]
         assert max(sizes) <= 60
+
+
+def test_fanout_needs_no_order_of_all_lines(spark):
+    from tidegauge.plans import catalog
+
+    plan = catalog.QUERIES["fanout_decision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_a_long_lane_is_not_sorted_by_one_task(spark, monkeypatch):
+    from tidegauge.operators import ranking
+
+    monkeypatch.setattr(ranking, "LANE_ROWS", 40)
+    records = spark.range(300).selectExpr("id", "concat('t', id * 7 % 100) AS title", "'guide' AS kind", "array('a') AS audiences", "array('a') AS primary")
+    lane = ranking.lane_order(records, "a")
+    assert "__slice" in lane._jdf.queryExecution().executedPlan().toString()
+    want = sorted(range(300), key=lambda i: (f"t{i * 7 % 100}", i))
+    assert [r.id for r in lane.orderBy("place").collect()] == want

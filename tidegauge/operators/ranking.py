@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidegauge.operators.ordered import ordered, position
+from tidegauge.runtime import GROUP_ROWS, setting
 
 
 def score_rank(df: DataFrame, score: str, key: str, top: int = 0, region: str | None = None) -> DataFrame:
@@ -87,12 +88,17 @@ def cursor_increment(df: DataFrame, line: str, row_id: str, at: str, now, since=
 KIND_ORDER = {"story": 0, "portal": 1, "guide": 2, "tool": 3}
 
 
+#: Records one task may sort: they carry whole texts, and a lane has no key that would part them.
+LANE_ROWS = 50_000
+
+
 def lane_order(records: DataFrame, role: str) -> DataFrame:
     """Core records of an audience in reading order: primary ones first, then by kind and title."""
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in KIND_ORDER.items() for x in p]), F.col("kind")), F.lit(9))
     core = records.filter(F.array_contains("audiences", role) & F.col("kind").isin(list(KIND_ORDER)))
     core = core.withColumns({"__primary": (~F.array_contains("primary", role)).cast("int"), "__kind": kind})
-    return ordered(core, [], ["__primary", "__kind", "title", "id"]).scan(place=position()).df.drop("__primary", "__kind")
+    limit = min(LANE_ROWS, setting(core.sparkSession, GROUP_ROWS))
+    return ordered(core, [], ["__primary", "__kind", "title", "id"], limit).scan(place=position()).df.drop("__primary", "__kind")
 
 
 def lane_recent(records: DataFrame, role: str, kind: str, k: int) -> DataFrame:
