@@ -203,3 +203,13 @@ def test_cursor_falls_back_step_by_step(spark):
     df = spark.createDataFrame([(1, "a", 10), (2, "b", 5), (3, "c", 20)], "line bigint, id string, at bigint")
     pick = lambda **k: [r[0] for r in rows(R.cursor_increment(df, "line", "id", "at", 100, default=85, **k), "id")]
     assert pick(since=10) == ["a", "c"] and pick(last_id="a") == ["b", "c"] and pick(last_id="gone", last_at=10) == ["c"] and pick() == ["c"]
+
+
+def test_nested_diff_sums_up_without_a_sort(spark):
+    old = spark.range(20).selectExpr("id % 5 AS part", "id AS field", "id * 3 AS kind")
+    new = spark.range(3, 23).selectExpr("id % 5 AS part", "id AS field", "CASE WHEN id % 4 > 0 THEN id * 3 END AS kind")
+    got = nested_diff(old, new, ["part"], ["field"], "kind")
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(f, "removed", f * 3, None) for f in range(3)] + [(f, "added", None, f * 3 if f % 4 else None) for f in range(20, 23)]
+    want += [(f, "retyped", f * 3, None) for f in range(3, 20) if f % 4 == 0]
+    assert rows(got, "field", "change", "old_value", "new_value") == sorted(want, key=repr)

@@ -36,17 +36,18 @@ def nested_diff(old: DataFrame, new: DataFrame, parent: list[str], child: list[s
     kinds = {c: old.schema[c].dataType for c in child} | {"old_value": old.schema[value].dataType, "new_value": new.schema[value].dataType}
     whole = parents.filter("side < 3").withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}).withColumn(
         "change", F.when(F.col("side") == 1, "removed").otherwise("added"))
-    # both snapshots in one grouping, so that null keys are equal and no join multiplies rows
-    rows = old.filter(leaf == 1).select(*parent, *child, F.struct(F.col(value).alias("v")).alias("old"), F.lit(None).alias("new")).unionByName(
-        new.filter(leaf == 1).select(*parent, *child, F.lit(None).alias("old"), F.struct(F.col(value).alias("v")).alias("new")))
-    both = rows.groupBy(*parent, *child).agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    change = (F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old.v").eqNullSafe(F.col("new.v")), "retyped"))
+    # both snapshots in one grouping, so that null keys are equal and no join multiplies rows; plain columns, which are summed up by hash without a sort
+    v, none = F.col(value), F.lit(None).cast(old.schema[value].dataType)
+    rows = old.filter(leaf == 1).select(*parent, *child, F.lit(1).alias("side"), v.alias("old_value"), none.alias("new_value")).unionByName(
+        new.filter(leaf == 1).select(*parent, *child, F.lit(2).alias("side"), none.alias("old_value"), v.alias("new_value")))
+    both = rows.groupBy(*parent, *child).agg(F.bit_or("side").alias("__side"), F.max("old_value").alias("old_value"), F.max("new_value").alias("new_value"))
+    change = (F.when(F.col("__side") == 2, "added").when(F.col("__side") == 1, "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "retyped"))
     changed = both.withColumn("change", change).filter("change is not null")
     alone = parents.filter("side < 3").select(*[F.col(c).alias(f"__{c}") for c in parent])
     same = F.lit(True)
     for c in parent:
         same = same & changed[c].eqNullSafe(alone[f"__{c}"])
-    inside = changed.join(alone, same, "left_anti").withColumns({"children": F.lit(None).cast("bigint"), "old_value": F.col("old.v"), "new_value": F.col("new.v")})
+    inside = changed.join(alone, same, "left_anti").withColumn("children", F.lit(None).cast("bigint"))
     columns = [*parent, *child, "change", "children", "old_value", "new_value"]
     return whole.select(*columns).unionByName(inside.select(*columns))
 
