@@ -213,3 +213,35 @@ def test_nested_diff_sums_up_without_a_sort(spark):
     want = [(f, "removed", f * 3, None) for f in range(3)] + [(f, "added", None, f * 3 if f % 4 else None) for f in range(20, 23)]
     want += [(f, "retyped", f * 3, None) for f in range(3, 20) if f % 4 == 0]
     assert rows(got, "field", "change", "old_value", "new_value") == sorted(want, key=repr)
+
+
+MUTATIONS = "object_id bigint, revision bigint, tombstone boolean, zone_x bigint, zone_y bigint, at bigint, target string, changes boolean, replay boolean"
+
+
+def told_at_random(spark):
+    """Mutations, registrations and acks; keys may be missing, acks repeat."""
+    rng = random.Random(3)
+    told = []
+    for at in range(1, 400, 2):
+        obj, kind = rng.choice([None, *range(8)]), rng.random()
+        told.append((obj, at if kind < 0.7 else at - 2, rng.random() < 0.2, (obj or 0) % 4, (obj or 0) % 3, at, rng.choice("ab") if kind > 0.8 else None, kind < 0.7, kind > 0.9))
+    regs = [(r, rng.randrange(4), rng.randrange(3), rng.randrange(2), rng.random() < 0.3, 2 * at) for at, r in zip(rng.sample(range(200), 24), [*"abc", None] * 6)]
+    acks = [(rng.choice(["a", "b", "c", None, "z"]), *rng.choice(told)[:2], rng.randrange(400)) for _ in range(600)]
+    return (spark.createDataFrame(told, MUTATIONS), spark.createDataFrame(regs, "recipient string, zone_x bigint, zone_y bigint, radius int, refresh boolean, at bigint"),
+            spark.createDataFrame(acks + acks[:50], "recipient string, object_id bigint, revision bigint, at bigint"))
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_deliveries_are_shuffled_once(spark):
+    told, regs, acks = told_at_random(spark)
+    sent, _ = L.interest_deliveries(told, regs, acks)
+    assert not [e for e in exchanges(sent) if "recipient" in e and "object_id" in e], "both passes keep to one layout by recipient"
+    names = sent.columns
+    spark.conf.set("tidegauge.groupRows", 20)
+    try:
+        assert rows(sent, *names) == rows(L.interest_deliveries(told, regs, acks)[0], *names)
+    finally:
+        spark.conf.unset("tidegauge.groupRows")
