@@ -235,6 +235,17 @@ def exchanges(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
 
 
+def test_acks_look_up_what_was_told_and_are_not_moved(spark, monkeypatch):
+    told, regs, acks = told_at_random(spark)
+    found = L.interest_acks(told, regs, acks.repartition(5, "object_id", "revision"))
+    assert len([e for e in exchanges(found) if "recipient" in e and "object_id" in e]) < 2, "only acks without an object or a revision are"
+    names = ("recipient", "object_id", "revision", "at", "known")
+    got = rows(found, *names)
+    monkeypatch.setattr(L, "LOOKED_UP", 0)
+    assert got == rows(L.interest_acks(told, regs, acks), *names)
+    assert len(got) == 650 and {True, False} == {r[-1] for r in got}
+
+
 def test_deliveries_are_shuffled_once(spark):
     told, regs, acks = told_at_random(spark)
     sent, _ = L.interest_deliveries(told, regs, acks)
