@@ -241,3 +241,15 @@ def test_replay_keeps_null_times_and_cuts_heavy_values(spark, tmp_path):
     assert rows(S.run_available(stream, str(tmp_path / "run")), "id", "at") == rows(df, "id", "at")
     sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "in" / "arrived")).groupBy(F.col("_metadata.file_name")).count().collect()]
     assert len(sizes) > 5 and max(sizes) <= 60
+
+
+def test_no_task_of_a_replay_sorts_a_whole_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_FILE", 100)
+    df = spark.range(4000).selectExpr("id DIV 3 AS at", "id")
+    stream = S.replay(df, str(tmp_path), "at", 1000)
+    cut = spark.read.parquet(f"{tmp_path}/cut").selectExpr("__batch", "at", "id", "_metadata.file_path AS file")
+    assert max(r["count"] for r in cut.groupBy("file").count().collect()) < 400, "ten tasks a batch"
+    ends = sorted(tuple(r) for r in cut.groupBy("__batch").agg({"at": "min", "id": "count"}).collect())
+    assert len(ends) == 4 and sum(r[2] for r in ends) == 4000
+    assert sorted(r["id"] for r in S.run_available(stream, str(tmp_path / "run")).collect()) == list(range(4000))
+    assert [r["__batch"] for r in cut.orderBy("at", "id").select("__batch").distinct().orderBy("__batch").collect()] == [0, 1, 2, 3]

@@ -167,8 +167,8 @@ def replay(df: DataFrame, folder: str, at: str, batch_rows: int | None = None) -
     """A stream over a table, in order of ``at``, NULL first.
 
     A table of at most ``batch_rows`` (setting ``tidegauge.replayRows``) is one micro-batch. A larger one is range-partitioned once by ``at`` and, inside equal
-    values, by the other columns; the ranges, each about ``batch_rows`` rows, then arrive one after the other, each as the same number of files, which is what
-    a micro-batch takes. So a micro-batch is written and read by as many tasks as it has files. No row is left out, whatever its ``at``.
+    values, by the other columns; ranges of about ``batch_rows`` rows in all then arrive together, one such batch after the other, each as the same number of files, which is what
+    a micro-batch takes. So a task sorts no more than a file's rows, and a micro-batch is written and read by as many tasks as it has files. No row is left out, whatever its ``at``.
     """
     spark = df.sparkSession
     batch_rows = batch_rows or setting(spark, REPLAY_ROWS)
@@ -179,8 +179,8 @@ def replay(df: DataFrame, folder: str, at: str, batch_rows: int | None = None) -
         return reader.parquet(f"{folder}/arrived")
     n, files = -(-count // batch_rows), min(MOST_FILES, max(1, batch_rows // ROWS_PER_FILE))
     others = [f.name for f in df.schema.fields if f.name != at and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    df.repartitionByRange(n, at, *others).withColumn("__batch", F.spark_partition_id()).write.partitionBy("__batch").parquet(f"{folder}/cut")
-    cut = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(f"{folder}/cut")
+    df.repartitionByRange(n * files, at, *others).withColumn("__batch", F.expr(f"spark_partition_id() div {files}")).write.partitionBy("__batch").parquet(f"{folder}/cut")
+    cut = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])).parquet(f"{folder}/cut")
     sizes = sorted((r["__batch"], r["count"]) for r in cut.groupBy("__batch").count().collect())  # a row a micro-batch
     held, rows = [], 0
     for number, size in sizes:  # a stream over files takes them by time, so each batch is put in place after the one before
