@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tidegauge.operators import graph as G, spatial as S
@@ -29,6 +32,16 @@ def test_components_of_chains_stars_and_loners(spark):
     assert dict(rows(got, "node", "root")) == components(nodes, edges)
 
 
+def test_size_estimates_of_rounds_do_not_multiply(spark, capsys):
+    """Each round joined tables whose estimates were products of earlier ones, so the number's digits tripled a round and filled the driver."""
+    edges = spark.range(1500).select("id", (F.col("id") + 1).alias("dst")).toDF("src", "dst")
+    got = G.connected_components(spark.range(1501).toDF("node"), edges)
+    got.explain("cost")
+    sizes = [int(e or 0) for e in re.findall(r"sizeInBytes=[\d.]+(?:E\+(\d+))?", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 1000
+    assert got.filter("root = 0").count() == 1501
+
+
 def test_cells_touch_in_26_directions_and_rank_by_size(spark):
     cells = [(0, 0, 0), (1, 1, 1), (2, 1, 0), (5, 5, 5), (-9, 0, 0), (-9, 0, 1), (7, 5, 5)]
     got = G.connected_cells(spark.createDataFrame([(*c, 4) for c in cells], "cx bigint, cy bigint, cz bigint, pieces bigint"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tidegauge import runtime
-from tidegauge.runtime import cut_lineage
+from tidegauge.runtime import cut_lineage, written  # noqa: F401 - written is taken from here by the operators
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,13 +27,6 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, columns pruned on each read, safe when executors go."""
-    folder = f"{runtime.shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def global_prefix(rows: DataFrame, order: list[Column | str], **values: Column) -> tuple[DataFrame, dict[str, int]]:
     """Exclusive prefix sums over all rows in ``order``, and the grand totals.
 

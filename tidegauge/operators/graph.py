@@ -1,6 +1,6 @@
 """Connected components, dependency layers and greedy spreading as rounds of joins and aggregates.
 
-Every round works on a graph that got smaller, is cut by a reliable checkpoint, and uses only combinable aggregates, so
+Every round works on a graph that got smaller, is cut by a reliable checkpoint or a written table, and uses only combinable aggregates, so
 a hub node costs one partial aggregate per task instead of one huge group.
 """
 
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.operators.ordered import ordered, position
-from tidegauge.runtime import BROADCAST_ROWS, cut_lineage, setting
+from tidegauge.runtime import BROADCAST_ROWS, cut_lineage, setting, written
 
 # Cell coordinates are packed three to a BIGINT; each must lie in (-HALF, HALF).
 HALF = 1 << 20
@@ -35,8 +35,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     def priority(c: str) -> Column:
         return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    graph = cut_lineage(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"),
-                                                          F.greatest("src", "dst").alias("dst")).distinct())
+    graph = written(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"),
+                                                      F.greatest("src", "dst").alias("dst")).distinct())
     maps: list[DataFrame] = []
     limit = setting(edges.sparkSession, BROADCAST_ROWS)
     while (size := graph.count()) > 0:
@@ -48,8 +48,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         maps.append(hop)
         left = side(hop.select(F.col("node").alias("src"), F.col("to").alias("a")))
         right = side(hop.select(F.col("node").alias("dst"), F.col("to").alias("b")))
-        graph = cut_lineage(graph.join(left, "src").join(right, "dst").filter("a <> b")
-                            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        graph = written(graph.join(left, "src").join(right, "dst").filter("a <> b")
+                        .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     if not maps:
         return nodes.select("node", F.col("node").alias("root"))
     total = maps.pop()
