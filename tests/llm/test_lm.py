@@ -86,3 +86,20 @@ def test_the_model_is_fitted_on_all_training_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(n, f"word{n % 9} and more") for n in range(200)], "doc_id bigint, text string")
     lm.lm_scores(docs, docs["doc_id"] % 4 != 0).count()
     assert seen[-1] == 150
+
+
+def test_a_step_of_training_passes_over_its_numbers_few_times(monkeypatch):
+    """Each logit was exponentiated twice, and gates and gradients were gone through step by step; now one pass of ``exp`` a softmax."""
+    counted, exp = [], np.exp
+    monkeypatch.setattr(gru.np, "exp", lambda x, *a, **k: counted.append(np.size(x)) or exp(x, *a, **k))
+    texts = [np.arange(2, 66, dtype=np.int32) for _ in range(8)]
+    gru.Model(gru.initial()).train(texts, np.zeros(gru.SIZE, np.float32))
+    assert sum(counted) <= sum(len(t) + 1 for t in texts) * (gru.CLASSES + gru.CLASS_WORDS)
+
+
+def test_large_logits_stay_finite():
+    model = gru.Model(gru.initial(3) * 5)
+    model.p["ww"][:] *= 400
+    model.p["bc"][:] = np.linspace(-300, 300, gru.CLASSES)
+    scores = model.score([np.arange(2, 200, dtype=np.int32)])
+    assert np.isfinite(scores).all() and scores[0] < 0

@@ -11,8 +11,8 @@ import numpy as np
 WIDTH, STATE, CLASSES, CLASS_WORDS = 16, 16, 32, 64
 VOCABULARY = CLASSES * CLASS_WORDS
 #: Tokens a window; gradients do not cross its start, the state does.
-STEPS = 32
-LANES, SCORED_LANES = 128, 512
+STEPS = 24
+LANES, SCORED_LANES = 256, 512
 RATE = 0.08
 #: Ids of the end of a text (also what stands before its start) and of words outside the vocabulary.
 END, OTHER = 0, 1
@@ -36,9 +36,31 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether no state, whose members lie between -1 and 1, gives logits that ``exp`` can't take; the last weights are the bias."""
+    return float(np.abs(weights).sum(axis=-2).max()) < 80
+
+
+def _with_one(hs: np.ndarray) -> np.ndarray:
+    return np.concatenate([hs, np.ones((len(hs), 1), hs.dtype)], axis=1)
+
+
+def _softmax(hs: np.ndarray, weights: np.ndarray, target: np.ndarray, bounded: bool, share: float, dw: np.ndarray | None):
+    """Log probability of each target, ``hs`` ending in ones for the bias. With ``dw``, gradients of minus their sum times ``share`` are added
+    there and that of ``hs`` is returned too."""
+    x, at = hs @ weights, np.arange(len(hs))
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[at, target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    own -= np.log(total)
+    if dw is None:
+        return own, None
+    x *= (share / total)[:, None]
+    x[at, target] -= share
+    dw += hs.T @ x
+    return own, x @ weights[:-1].T
 
 
 @dataclass
@@ -80,55 +102,57 @@ class Model:
         self.p = views(flat)
 
     def _states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, projected: np.ndarray, keep: bool):
-        """States after each step of a window; with ``keep`` also what the backward pass needs."""
-        wh, s = self.p["wh"], STATE
-        out = np.empty((len(inputs), *h.shape), np.float32)
-        kept = []
+        """States after each step of a window; with ``keep`` also what the backward pass needs: states before, gates, candidates and
+        the part of these that the reset gate scales."""
+        s, dtype = STATE, self.flat.dtype
+        half = np.repeat(np.array([0.5, 0.5, 1], dtype), s)  # a logistic gate is half a tanh of half its input
+        wh, gx = self.p["wh"] * half, (projected * half)[inputs]
+        out = np.empty((len(inputs), *h.shape), dtype)
+        before, gates, news, scaled = (np.empty((len(inputs), len(h), w), dtype) for w in (s, 2 * s, s, s)) if keep else [None] * 4
+        h, starts = h.astype(dtype), fresh.any(axis=1)
         for t in range(len(inputs)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            gx, gh = projected[inputs[t]], h @ wh
-            gates = 0.5 + 0.5 * np.tanh(0.5 * (gx[:, :2 * s] + gh[:, :2 * s]))
-            z, r = gates[:, :s], gates[:, s:]
-            n = np.tanh(gx[:, 2 * s:] + r * gh[:, 2 * s:])
+            if starts[t]:
+                h = np.where(fresh[t][:, None], dtype.type(0), h)
+            gh = h @ wh
+            g = np.add(gx[t, :, :2 * s], gh[:, :2 * s], out=gates[t] if keep else None)
+            np.tanh(g, out=g)
+            g *= dtype.type(0.5)
+            g += dtype.type(0.5)
+            n = np.multiply(g[:, s:], gh[:, 2 * s:], out=news[t] if keep else None)
+            n += gx[t, :, 2 * s:]
+            np.tanh(n, out=n)
             if keep:
-                kept.append((h, z, r, n, gh[:, 2 * s:]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h, kept
+                before[t], scaled[t] = h, gh[:, 2 * s:]
+            h = np.subtract(h, n, out=out[t])
+            h *= g[:, :s]
+            h += n
+        return out, h, (before, gates, news, scaled)
 
     def _outputs(self, hs: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None):
         """Natural log probability of each target: its class, then the word in the class. With ``grad``, gradients of
         minus their mean are added there and the gradient of the states is returned too."""
-        cls, slot, rows = y // CLASS_WORDS, y % CLASS_WORDS, np.arange(len(y))
-        lc = _log_softmax(hs @ self.p["wc"] + self.p["bc"])
-        logp = lc[rows, cls]
-        dh = None
-        if grad is not None:
-            g = np.exp(lc)
-            g[rows, cls] -= 1
-            g /= len(y)
-            grad["wc"] += hs.T @ g
-            grad["bc"] += g.sum(axis=0)
-            dh = g @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[ends[c]:ends[c + 1]]
-            if not len(own):
-                continue
-            h = hs[own]
-            lw = _log_softmax(h @ self.p["ww"][c] + self.p["bw"][c])
-            at = np.arange(len(own))
-            logp[own] += lw[at, slot[own]]
+        dtype, share = self.flat.dtype, 1 / max(1, len(y))
+        order = np.argsort((y // CLASS_WORDS).astype(np.uint8), kind="stable")
+        hs, y = _with_one(hs.astype(dtype, copy=False)[order]), y[order]
+        cls, slot = y // CLASS_WORDS, y % CLASS_WORDS
+        wc = np.concatenate([self.p["wc"], self.p["bc"][None]])
+        ww = np.concatenate([self.p["ww"], self.p["bw"][:, None]], axis=1)
+        dwc, dww = (None, None) if grad is None else (np.zeros_like(wc), np.zeros_like(ww))
+        logp, dh = _softmax(hs, wc, cls, _bounded(wc), share, dwc)
+        ends, bounded = np.searchsorted(cls, np.arange(CLASSES + 1)), _bounded(ww)
+        for c in np.flatnonzero(np.diff(ends)):
+            own = slice(ends[c], ends[c + 1])
+            more, dmore = _softmax(hs[own], ww[c], slot[own], bounded, share, None if grad is None else dww[c])
+            logp[own] += more
             if grad is not None:
-                g = np.exp(lw)
-                g[at, slot[own]] -= 1
-                g /= len(y)
-                grad["ww"][c] += h.T @ g
-                grad["bw"][c] += g.sum(axis=0)
-                dh[own] += g @ self.p["ww"][c].T
-        return logp, dh
+                dh[own] += dmore
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        if grad is None:
+            return logp[back], None
+        for name, d in (("wc", dwc[:-1]), ("bc", dwc[-1]), ("ww", dww[:, :-1]), ("bw", dww[:, -1])):
+            grad[name] += d
+        return logp[back], dh[back]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of each text with its end; a text's state is carried through all its windows."""
@@ -137,8 +161,8 @@ class Model:
         side = lanes(texts, SCORED_LANES)
         projected = self.p["emb"] @ self.p["wx"] + self.p["b"]
         out, h = np.zeros(len(texts)), np.zeros((side.inputs.shape[1], STATE), np.float32)
-        for a in range(0, len(side.inputs), 4 * STEPS):
-            part = slice(a, a + 4 * STEPS)
+        for a in range(0, len(side.inputs), 2 * STEPS):
+            part = slice(a, a + 2 * STEPS)
             hs, h, _ = self._states(side.inputs[part], side.fresh[part], h, projected, False)
             live = side.owner[part] >= 0
             logp, _ = self._outputs(hs[live], side.targets[part][live])
@@ -168,25 +192,30 @@ class Model:
         return total / max(count, 1)
 
     def _back(self, inputs, fresh, kept, douts, g) -> None:
-        wh, s = self.p["wh"], STATE
-        dgx = np.empty((*inputs.shape, 3 * s), np.float32)
-        carry = np.zeros_like(douts[0])
+        s, (before, gates, news, scaled) = STATE, kept
+        z, r = gates[:, :, :s], gates[:, :, s:]
+        back = np.ascontiguousarray(self.p["wh"].T)
+        # what a state's gradient is multiplied with to give those of the three parts of ``h @ wh``
+        by = np.empty((*inputs.shape, 3, s), before.dtype)
+        to_new = (1 - z) * (1 - news * news)
+        by[:, :, 0] = (before - news) * z * (1 - z)
+        by[:, :, 2] = to_new * r
+        by[:, :, 1] = by[:, :, 2] * scaled * (1 - r)
+        d_all, carry, starts = np.empty_like(before), np.zeros_like(before[0]), fresh.any(axis=1)
         for t in range(len(inputs) - 1, -1, -1):
-            h, z, r, n, ghn = kept[t]
-            d = douts[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dx = dgx[t]
-            dx[:, :s] = d * (h - n) * z * (1 - z)
-            dx[:, s:2 * s] = dn * ghn * r * (1 - r)
-            dx[:, 2 * s:] = dn
-            dgh = dx.copy()
-            dgh[:, 2 * s:] *= r
-            g["wh"] += h.T @ dgh
-            carry = d * z + dgh @ wh.T
-            carry[fresh[t]] = 0
-        flat, ids = dgx.reshape(-1, 3 * s), inputs.ravel()
+            d = np.add(douts[t], carry, out=d_all[t])
+            by[t] *= d[:, None]
+            carry = by[t].reshape(-1, 3 * s) @ back
+            carry += d * z[t]
+            if starts[t]:
+                carry[fresh[t]] = 0
+        g["wh"] += before.reshape(-1, s).T @ by.reshape(-1, 3 * s)
+        by[:, :, 2] = d_all * to_new  # and of the three parts of the inputs
+        flat, ids = by.reshape(-1, 3 * s), inputs.ravel()
         g["b"] += flat.sum(axis=0)
-        g["wx"] += self.p["emb"][ids].T @ flat
-        order = np.argsort(ids, kind="stable")
-        heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["emb"][ids[order][heads]] += np.add.reduceat(flat[order], heads, axis=0) @ self.p["wx"].T
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids[order]
+        heads = np.flatnonzero(np.diff(ids, prepend=-1))
+        sums, ids = np.add.reduceat(flat[order], heads, axis=0), ids[heads]
+        g["wx"] += self.p["emb"][ids].T @ sums
+        g["emb"][ids] += sums @ self.p["wx"].T

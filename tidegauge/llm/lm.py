@@ -25,7 +25,7 @@ REPLICA_TOKENS = 2_000_000
 WARM_DOCS = 512
 #: Tokens that are scored or trained on at once.
 CHUNK = 1_500_000
-TRAIN_CHUNK = 400_000
+TRAIN_CHUNK = 1_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
