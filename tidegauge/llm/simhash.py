@@ -141,21 +141,29 @@ def one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = near_duplica
                 **options) -> DataFrame:
     """``docs`` with one document of each group that ``groups`` gives, the one whose id is the group's.
 
-    Rows that repeat both id and text count once. Rows without an id go if a document with an id is in their group; of
+    Rows that repeat an id are told apart by ``mark``: those of other groups go, and of those that have their group's id one stays (if
+    ``groups`` names no ``root``, one for each ``mark``). Rows without an id go if a document with an id is in their group; of
     the others one stays for each ``mark``, or for each group if ``groups`` names its ``root``.
     """
     near = cut_lineage(groups(docs, **options))
-    ids = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    unnamed = F.col("component_id").isNull() & (F.col("fp") == F.col("root") if "root" in near.columns else F.lit(True))
+    rooted = "root" in near.columns
+    named = near.filter(F.col("doc_id") == F.col("component_id"))
+    repeats = near.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    kept = docs.join(named.join(repeats, "doc_id", "left_anti").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    unnamed = F.col("component_id").isNull() & (F.col("fp") == F.col("root") if rooted else F.lit(True))
     open_marks = near.filter(unnamed).select(F.col("fp").alias("__fp")).distinct()
-    if not open_marks.limit(1).count():
-        return kept
     at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([mark(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "__fp"])
+    if repeats.limit(1).count():
+        chosen = named.join(repeats, "doc_id", "left_semi")
+        chosen = chosen.groupBy("doc_id", "root").agg(F.min("fp").alias("__fp")) if rooted else chosen.select("doc_id", F.col("fp").alias("__fp")).distinct()
+        marked = mapped(docs.join(repeats, "doc_id", "left_semi").select(*docs.columns), add, schema)
+        kept = kept.unionByName(marked.join(chosen, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"]).select(*docs.columns))
+    if not open_marks.limit(1).count():
+        return kept
     nameless = mapped(docs.filter(F.col("doc_id").isNull()), add, schema)
     return kept.unionByName(nameless.join(open_marks, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*docs.columns))
