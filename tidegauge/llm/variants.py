@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.common import mapped, written
+from tidegauge.runtime import counted_side
 
 #: Closes each word in the trie, so that no word is the start of another.
 END = "$"
@@ -100,7 +101,7 @@ def _part(text: Column, start: Column, size: Column) -> Column:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The states without an edit, ``back, word, pos, node``, and the edge table, ``node, edges``.
+    """The states without an edit, ``back, word, n, pos, node``, and the edge table, ``node, edges``.
 
     Nodes with one way on are left out, so an edge has a label of one letter or more and words share an edge where they
     share its letters. ``edges`` lists a node's edges ``(label, child, onward, target, target_n)``; the last two are set where a word ends,
@@ -108,7 +109,8 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = _paths(words)
     forks = rows.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.bit_or(F.expr("shiftleft(1L, next % 64)")).alias("onward"))
-    met = rows.drop("next").join(forks.filter("a <> b").select("node", "onward"), "node")
+    # there is a fork for every few rows: far more than the words' table lets Spark expect
+    met = rows.drop("next").join(forks.filter("a <> b").select("node", "onward").hint("merge"), "node")
     path = written(met.groupBy("back", "word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "onward"))).alias("path")))
     at, after = F.col("step"), F.get("path", F.col("i") + 1)
     size = F.coalesce(after["pos"], F.char_length("read")) - at["pos"]
@@ -116,8 +118,8 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.when(after.isNull(), F.col("word")).alias("target"), F.when(after.isNull(), F.col("n")).alias("target_n"))
     steps = path.withColumn("read", _read()).select("*", F.posexplode("path").alias("i", "step"))
     edges = steps.select(at["node"].alias("node"), edge.alias("edge")).groupBy("node").agg(F.collect_set("edge").alias("edges"))
-    states = path.select("back", "word", F.explode("path").alias("step")).select(
-        "back", "word", "step.pos", "step.node").filter(F.col("pos") >= F.expr("char_length(word) div 2"))
+    states = path.select("back", "word", "n", F.explode("path").alias("step")).select(
+        "back", "word", "n", "step.pos", "step.node").filter(F.col("pos") >= F.expr("char_length(word) div 2"))
     return states, written(edges)
 
 
@@ -125,23 +127,25 @@ def _advance(states: DataFrame, edges: DataFrame, first: bool) -> DataFrame:
     """One level: each state goes along its node's edges, by an edit on the edge's first letter if it is the ``first`` level.
 
     The edit is made where word and target first differ, so only edges that start with another letter than the word are taken
-    then; afterwards all letters must agree.
+    then; afterwards all letters must agree. Of two words one finds the other: the shorter one by one more letter, of equal lengths the
+    one whose letter comes first.
     """
-    met = states.join(edges, "node").withColumn("read", _read()).select("back", "word", "pos", "read", F.explode("edges").alias("edge"))
+    met = states.join(edges.hint("merge"), "node") if first else counted_side(states).join(edges, "node")
+    met = met.withColumn("read", _read()).select("back", "word", "n", "pos", "read", F.explode("edges").alias("edge"))
     read, pos, label = F.col("read"), F.col("pos"), F.col("edge.label")
     size, rest = F.char_length(label), F.substring(label, F.lit(2), F.char_length(label) - 1)
     if first:
-        met = met.filter(F.substring(label, 1, 1) != _part(read, pos, F.lit(1)))
-        ends = F.array_compact(F.array(F.when(rest == _part(read, pos + 1, size - 1), pos + size),  # another letter
-                                       F.when(rest == _part(read, pos, size - 1), pos + size - 1),  # one more letter
-                                       F.when(label == _part(read, pos + 1, size), pos + size + 1)))  # one letter less
+        letter, mine = F.substring(label, 1, 1), _part(read, pos, F.lit(1))
+        met = met.filter(letter != mine)
+        ends = F.array_compact(F.array(F.when((mine < letter) & (rest == _part(read, pos + 1, size - 1)), pos + size),  # another letter
+                                       F.when(rest == _part(read, pos, size - 1), pos + size - 1)))  # one more letter
         met = met.withColumn("end", F.explode(ends))
     else:
         met = met.filter(label == _part(read, pos, size)).withColumn("end", pos + size)
     # a word goes on only where some word goes on by its next letter
     goes_on = F.expr("shiftright(edge.onward, ascii(substring(read, end + 1, 1)) % 64) & 1") == 1
     return met.filter(F.when(F.col("edge.target").isNotNull(), F.col("end") == F.char_length(read)).otherwise((F.col("end") < F.char_length(read)) & goes_on)).select(
-        "back", "word", F.col("end").alias("pos"), F.col("edge.child").alias("node"), "edge.target", "edge.target_n")
+        "back", "word", "n", F.col("end").alias("pos"), F.col("edge.child").alias("node"), "edge.target", "edge.target_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     enter at once. The half of a word before or behind the edit is equal in both; edits in the second half are found in the trie of the
     words, those in the first half in the trie of the words read backwards, so the frontier starts where the tries are thin.
     Levels are forks of the trie behind the middle of a word, not letters, and a state has at most as many ways on as there are
-    letters. Nodes are hashes, so the pairs are checked once more, letter by letter.
+    letters. A pair is found from one of its words and given both ways. Nodes are hashes, so the pairs are checked once more, letter by letter.
 
     Words of any length, null words and an empty table are allowed; a null word is no one's neighbour.
     """
@@ -162,7 +166,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     while True:
         reached = written(_advance(states, edges, level == 0))
         found.append(reached.filter("target is not null"))
-        states, level = reached.filter("target is null").select("back", "word", "pos", "node"), level + 1
+        states, level = reached.filter("target is null").select("back", "word", "n", "pos", "node"), level + 1
         if states.isEmpty():
             break
     pairs = found[0]
@@ -170,8 +174,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         pairs = pairs.union(more)
     half = F.expr("char_length(word) div 2")
     in_front = F.substring("word", F.lit(1), half) != F.substring("target", F.lit(1), half)
-    return pairs.filter((~F.col("back") | in_front) & (F.levenshtein("word", "target", 1) == 1)).select(
-        "word", F.col("target").alias("near"), F.col("target_n").alias("near_n"))
+    pairs = pairs.filter((~F.col("back") | in_front) & (F.levenshtein("word", "target", 1) == 1))
+    both = F.array(F.struct(F.col("word"), F.col("target").alias("near"), F.col("target_n").alias("near_n")),
+                   F.struct(F.col("target").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return pairs.select(F.inline(both))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = written(forms.select("word", F.col("form").alias("root")))
     while True:
         beyond = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        roots = written(roots.join(beyond, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        roots = written(roots.join(counted_side(beyond), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if not roots.filter("moved").limit(1).count():
             return roots.select("word", "root")
         roots = roots.select("word", "root")
@@ -197,8 +203,8 @@ def spelling_variants(docs: DataFrame, least: int = 7, occurrences: int = 2, rat
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
     near = neighbours(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     far = F.col("best.near_n") >= ratio * F.col("n")
-    named = written(words.join(near, "word", "left").select(
+    named = written(words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(far, F.col("best.near")).alias("form"),
         F.when(far, F.col("best.near_n")).alias("form_n")))
     roots = _roots(named.filter("form is not null"))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(counted_side(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
